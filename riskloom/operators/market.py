@@ -74,19 +74,23 @@ def histogram_range(market: DataFrame, value: str = "premium") -> tuple[float, f
     return float(lo), float(hi)
 
 
-def bin_index(v, lo: float, hi: float, bins: int):
-    """D07 / A09 bin of a value: clip to [lo, hi], equal-width bins, the top
-    edge belongs to the last bin; values below ``lo`` go to bin 0.  Same
-    arithmetic and edge corrections as ``numpy.histogram``."""
-    x = F.least(F.greatest(v, F.lit(lo)), F.lit(hi))
-    norm = bins / (hi - lo)
+def histogram_edges(lo: float, hi: float, bins: int) -> list[float]:
+    """``bins + 1`` equal-width edges, computed as ``numpy.linspace`` does
+    (``lo + i * step``, last edge exactly ``hi``)."""
     step = (hi - lo) / bins
-    idx = F.floor((x - F.lit(lo)) * F.lit(norm)).cast("int")
-    idx = F.when(idx >= bins, bins - 1).otherwise(idx)
-    edge = lambda i: F.when(i == bins, F.lit(hi)).otherwise(F.lit(lo) + i.cast("double") * F.lit(step))
-    idx = F.when(x < edge(idx), idx - 1).otherwise(idx)
-    idx = F.when((x >= edge(idx + 1)) & (idx != bins - 1), idx + 1).otherwise(idx)
-    return idx
+    return [lo + i * step for i in range(bins)] + [hi]
+
+
+def with_bin(df: DataFrame, v, lo: float, hi: float, bins: int, out: str = "bin") -> DataFrame:
+    """D07 / A09 bin of a value: bin ``i`` holds ``edge_i <= x < edge_i+1``
+    for ``x`` clipped to ``[lo, hi]`` (the top edge belongs to the last bin,
+    values below ``lo`` to bin 0) — the same bins as ``numpy.histogram``.
+    Written as a flat count of interior edges at or below ``x`` (one
+    comparison per edge, codegen-friendly)."""
+    x = F.least(F.greatest(v, F.lit(lo)), F.lit(hi))
+    edges = histogram_edges(lo, hi, bins)[1:-1]
+    idx = sum((F.when(x >= F.lit(e), 1).otherwise(0) for e in edges), F.lit(0))
+    return df.withColumn(out, idx.cast("int"))
 
 
 def market_histogram(market: DataFrame, value: str = "premium", bins: int = 30) -> DataFrame:
@@ -100,14 +104,14 @@ def market_histogram(market: DataFrame, value: str = "premium", bins: int = 30)
         return spark.createDataFrame([], "bin int, lo_edge double, hi_edge double, count long")
     lo, hi = rng
     m = market.select(F.col(value).cast("double").alias("v")).filter(finite("v"))
-    counts = m.groupBy(bin_index(F.col("v"), lo, hi, bins).alias("bin")).agg(
+    counts = with_bin(m, F.col("v"), lo, hi, bins).groupBy("bin").agg(
         F.count(F.lit(1)).alias("count"))
-    step = (hi - lo) / bins
-    seq = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
-    e = lambda i: F.when(i == bins, F.lit(hi)).otherwise(F.lit(lo) + i.cast("double") * F.lit(step))
+    e = histogram_edges(lo, hi, bins)
+    seq = spark.createDataFrame([(i, e[i], e[i + 1]) for i in range(bins)],
+                                "bin int, lo_edge double, hi_edge double")
     return (seq.join(F.broadcast(counts), "bin", "left")
-               .select("bin", round_dp(e(F.col("bin")), 2).alias("lo_edge"),
-                       round_dp(e(F.col("bin") + 1), 2).alias("hi_edge"),
+               .select("bin", round_dp("lo_edge", 2).alias("lo_edge"),
+                       round_dp("hi_edge", 2).alias("hi_edge"),
                        F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count")))
 
 
@@ -120,7 +124,7 @@ def market_position(quotes: DataFrame, market: DataFrame, premium_col: str = "pr
     if rng is None:
         return quotes.withColumn("market_bin", F.lit(None).cast("int"))
     lo, hi = rng
-    return quotes.withColumn("market_bin", bin_index(F.col(premium_col).cast("double"), lo, hi, bins))
+    return with_bin(quotes, F.col(premium_col).cast("double"), lo, hi, bins, "market_bin")
 
 
 def cohort_stats(df: DataFrame, premium_col: str = "premium", age_col: str = "DrivAge",

@@ -32,9 +32,7 @@ def training_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 def premium_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Policies with the analytic premium (the market for steps that must
     not depend on a fitted model)."""
-    pol = fx.policies(spark, sf_dir)
-    prem = fx.analytic_premium(pol).withColumnRenamed("pred", "premium")
-    return pol.join(prem, "IDpol")
+    return fx.policies(spark, sf_dir).withColumn("premium", fx.analytic_premium_col())
 
 
 # ----------------------------------------------------------------- queries
@@ -133,9 +131,7 @@ def q_risk_percentile(spark, sf_dir):
 
 def scored_frame(spark, sf_dir):
     """Training table with the analytic premium as prediction."""
-    t = training_frame(spark, sf_dir)
-    prem = fx.analytic_premium(fx.policies(spark, sf_dir))
-    return t.join(prem, "IDpol")
+    return training_frame(spark, sf_dir).withColumn("pred", fx.analytic_premium_col())
 
 
 def q_balance_ratio(spark, sf_dir):

@@ -54,12 +54,15 @@ def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.concat(F.lit("R"), (11 + F.col("c_nationkey")).cast("string")).alias("Region")))
 
 
-def analytic_premium(policy: DataFrame) -> DataFrame:
+def analytic_premium_col():
     """A premium that does not depend on a fitted model (ties are common)."""
-    return policy.select(
-        "IDpol",
-        ((0.05 + 0.002 * F.abs(F.col("DrivAge") - 45) + 0.001 * (F.col("BonusMalus") - 50))
-         * (800.0 + 10.0 * F.col("VehPower"))).alias("pred"))
+    return ((0.05 + 0.002 * F.abs(F.col("DrivAge") - 45) + 0.001 * (F.col("BonusMalus") - 50))
+            * (800.0 + 10.0 * F.col("VehPower")))
+
+
+def analytic_premium(policy: DataFrame) -> DataFrame:
+    """``IDpol, pred`` with the analytic premium."""
+    return policy.select("IDpol", analytic_premium_col().alias("pred"))
 
 
 def quotes(policy: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import bands
 from riskloom.functions.columns import average_claim, round_dp
-from riskloom.operators import clean, market, metrics, ordered
+from riskloom.operators import clean, market, metrics, ordered, raking, report
 from riskloom.sources import fixtures as fx
 
 
@@ -193,6 +193,64 @@ def q_seeded_sample(spark, sf_dir):
     return ordered.seeded_sample(training_frame(spark, sf_dir), 1000).select("IDpol", "ClaimNb")
 
 
+def valid_quotes(spark, sf_dir):
+    """F04 → F03 over the fixture quotes; valid rows with their premium."""
+    q = fx.quotes(fx.policies(spark, sf_dir))
+    valid, _ = clean.validate_quotes(q)
+    return valid.withColumn("premium", fx.analytic_premium_col())
+
+
+def q_gross_premium_tiers(spark, sf_dir):
+    """X01 for every valid quote against the policy market."""
+    rep = report.build_report(valid_quotes(spark, sf_dir), premium_frame(spark, sf_dir),
+                              loading={"expense_ratio": 0.25, "profit_margin": 0.05})
+    return report.flatten_report(rep)
+
+
+def q_diagnosis_report(spark, sf_dir):
+    """X02 for every valid quote: report + cohort + bands."""
+    pf = premium_frame(spark, sf_dir)
+    cohorts = market.cohort_stats(pf, "premium").cache()
+    rep = report.diagnose(valid_quotes(spark, sf_dir), pf, cohorts,
+                          loading={"expense_ratio": 0.25, "profit_margin": 0.05})
+    return report.flatten_report(rep)
+
+
+def stat_frames(spark, sf_dir):
+    return fx.statistics_rows(fx.policies(spark, sf_dir))
+
+
+def q_license_gender_margin(spark, sf_dir):
+    return raking.gender_shares(stat_frames(spark, sf_dir)["license_gender"])
+
+
+def q_license_age_margin(spark, sf_dir):
+    return raking.age_shares(stat_frames(spark, sf_dir)["license_age"])
+
+
+def q_vehicle_margin(spark, sf_dir):
+    return raking.vehicle_shares(stat_frames(spark, sf_dir)["vehicle"])
+
+
+def q_all_margins(spark, sf_dir):
+    st = stat_frames(spark, sf_dir)
+    return raking.all_margins(st["license_gender"], st["license_age"], st["vehicle"])
+
+
+def q_post_stratify(spark, sf_dir):
+    """Driver-age raking of the training table from the config."""
+    w = raking.rake_from_config(training_frame(spark, sf_dir), raking.DEFAULT_CONFIG, "fremtpl2")
+    return w.select("IDpol", r6("rake_weight").alias("rake_weight"))
+
+
+def q_weight_summary(spark, sf_dir):
+    """G04 + A18: raking weights re-raked on the training split."""
+    train, _ = ordered.grouped_split(training_frame(spark, sf_dir))
+    w = raking.training_weight(train, raking.DEFAULT_CONFIG, "fremtpl2")
+    s = metrics.weight_summary(w, "weight")
+    return s.select(*[r6(c).alias(c) for c in s.columns])
+
+
 QUERIES = {
     "training_table": q_training_table,
     "factor_frequency": q_factor_frequency,
@@ -220,6 +278,14 @@ QUERIES = {
     "grouped_kfold": q_grouped_kfold,
     "early_stopping_split": q_early_stopping_split,
     "seeded_sample": q_seeded_sample,
+    "gross_premium_tiers": q_gross_premium_tiers,
+    "diagnosis_report": q_diagnosis_report,
+    "license_gender_margin": q_license_gender_margin,
+    "license_age_margin": q_license_age_margin,
+    "vehicle_margin": q_vehicle_margin,
+    "all_margins": q_all_margins,
+    "post_stratify": q_post_stratify,
+    "weight_summary": q_weight_summary,
 }
 
-FLAGSHIP = "factor_frequency"
+FLAGSHIP = "diagnosis_report"

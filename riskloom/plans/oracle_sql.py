@@ -2,13 +2,13 @@
 registered query.  Every query starts with the fixture CTEs."""
 from __future__ import annotations
 
-from riskloom.sources.fixtures import CLAIM_SQL, POLICY_SQL, PREMIUM_SQL, QUOTE_SQL
+from riskloom.sources.fixtures import CLAIM_SQL, POLICY_SQL, PREMIUM_SQL, QUOTE_SQL, STAT_SQL
 
 STRIP = "chr(39) || chr(34) || ' '"
 
 
 def with_fixtures(*ctes: str) -> str:
-    return "WITH " + ",\n".join([CLAIM_SQL, POLICY_SQL, PREMIUM_SQL, QUOTE_SQL, *ctes]) + "\n"
+    return "WITH " + ",\n".join([CLAIM_SQL, POLICY_SQL, PREMIUM_SQL, QUOTE_SQL, STAT_SQL, *ctes]) + "\n"
 
 
 # Coerced + capped policies, orphan-free claims, severity clip, training table.
@@ -259,3 +259,133 @@ FROM train WHERE {split_hash_sql('IDpol')} >= 2000""",
     "seeded_sample": with_fixtures(*TRAINING_CTES) + """
 SELECT IDpol, ClaimNb FROM train ORDER BY md5(concat('42:', CAST(IDpol AS VARCHAR))), IDpol LIMIT 1000""",
 })
+
+_GROSS_DENOM = 1.0 - 0.25 - 0.05
+
+QUOTE_CTES = [
+    f"""qv AS (
+  SELECT IDpol, coalesce(VehPower, 6) AS VehPower, coalesce(VehAge, 2) AS VehAge, coalesce(DrivAge, 40) AS DrivAge,
+         coalesce(BonusMalus, 50) AS BonusMalus, coalesce(Density, 1000) AS Density,
+         trim(coalesce(VehBrand, 'B1'), {STRIP}) AS VehBrand, trim(coalesce(VehGas, 'Regular'), {STRIP}) AS VehGas,
+         trim(coalesce(Area, 'C'), {STRIP}) AS Area, trim(coalesce(Region, 'R24'), {STRIP}) AS Region
+  FROM quote)""",
+    """qp AS (
+  SELECT *, (0.05e0 + 0.002e0 * abs(DrivAge - 45) + 0.001e0 * (BonusMalus - 50)) * (800e0 + 10e0 * VehPower) AS premium
+  FROM qv
+  WHERE NOT (VehPower < 1 OR VehAge < 0 OR DrivAge < 16 OR BonusMalus < 50 OR BonusMalus > 350 OR Density < 0))""",
+    """mkt AS (SELECT premium AS v, count(*) AS c FROM pf WHERE isfinite(premium) GROUP BY premium)""",
+    """qu AS (SELECT premium AS v, 0 AS kind, IDpol AS id, 0 AS c FROM qp
+          UNION ALL SELECT v, 1, 0, c FROM mkt)""",
+    """qw AS (SELECT id, kind, 100e0 * coalesce(sum(c) OVER (ORDER BY v, kind, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                    / (SELECT sum(c) FROM mkt) AS pct
+          FROM qu)""",
+    """qr AS (SELECT id, pct FROM qw WHERE kind = 0)""",
+    f"""rep AS (
+  SELECT qp.*, qr.pct, round(qp.premium, 2) AS pure_premium, round(qr.pct, 1) AS risk_percentile,
+         CASE WHEN qr.pct >= 70 THEN 'high_risk' WHEN qr.pct >= 30 THEN 'standard' ELSE 'low_risk' END AS tier,
+         round(qp.premium / {_GROSS_DENOM!r}, 2) AS estimated_gross_premium,
+         '순보험료는 리스크 원가이며 실제 청구 보험료와 다릅니다.' AS disclaimer
+  FROM qp JOIN qr ON qr.id = qp.IDpol)""",
+    """rep2 AS (
+  SELECT *, CASE tier WHEN 'high_risk' THEN '상향(보험료 절감)' WHEN 'standard' THEN '표준' ELSE '낮춤 가능' END AS deductible,
+         CASE tier WHEN 'high_risk' THEN '필수 담보 중심' WHEN 'standard' THEN '표준 패키지' ELSE '보장 확대 여력' END AS coverage_limit
+  FROM rep)""",
+]
+
+_REPORT_COLS = "IDpol, pure_premium, risk_percentile, tier, deductible, coverage_limit, disclaimer, estimated_gross_premium"
+
+SQL.update({
+    "gross_premium_tiers": with_fixtures(*MARKET_CTES, *QUOTE_CTES) + f"""
+SELECT {_REPORT_COLS} FROM rep2""",
+    "diagnosis_report": with_fixtures(*MARKET_CTES, *QUOTE_CTES, f"""qb AS (
+  SELECT r.*, {age_band_sql('r.DrivAge')} AS ab, r.Area AS ar FROM rep2 r)""", """qc AS (
+  SELECT q.*,
+    CASE WHEN c.count >= 30 THEN 'cell' WHEN a.count >= 30 THEN 'age' ELSE 'overall' END AS cohort_level,
+    CASE WHEN c.count >= 30 THEN q.ab || ' · Area ' || q.ar WHEN a.count >= 30 THEN q.ab || ' 연령대' ELSE '전체 시장' END AS cohort_group,
+    CASE WHEN c.count >= 30 THEN c.count WHEN a.count >= 30 THEN a.count ELSE o.count END AS cohort_count,
+    CASE WHEN c.count >= 30 THEN c.mean WHEN a.count >= 30 THEN a.mean ELSE o.mean END AS cohort_mean,
+    CASE WHEN c.count >= 30 THEN c.median WHEN a.count >= 30 THEN a.median ELSE o.median END AS cohort_median
+  FROM qb q
+  LEFT JOIN cs c ON c.level = 'cell' AND c.age_band = q.ab AND c.area = q.ar
+  LEFT JOIN cs a ON a.level = 'age' AND a.age_band = q.ab
+  LEFT JOIN cs o ON o.level = 'overall')""") + f"""
+SELECT {_REPORT_COLS}, cohort_group, cohort_level, cohort_count, cohort_mean, cohort_median,
+       ab AS band_DrivAge,
+       CASE WHEN BonusMalus >= 0 AND BonusMalus < 60 THEN '50–59' WHEN BonusMalus >= 60 AND BonusMalus < 80 THEN '60–79'
+            WHEN BonusMalus >= 80 AND BonusMalus < 100 THEN '80–99' WHEN BonusMalus >= 100 AND BonusMalus < 150 THEN '100–149'
+            WHEN BonusMalus >= 150 AND BonusMalus < 1e9 THEN '150+' END AS band_BonusMalus,
+       CASE WHEN VehAge >= 0 AND VehAge < 2 THEN '0–1' WHEN VehAge >= 2 AND VehAge < 6 THEN '2–5'
+            WHEN VehAge >= 6 AND VehAge < 11 THEN '6–10' WHEN VehAge >= 11 AND VehAge < 16 THEN '11–15'
+            WHEN VehAge >= 16 AND VehAge < 1e9 THEN '16+' END AS band_VehAge,
+       Area AS band_Area, VehGas AS band_VehGas
+FROM qc""",
+})
+
+AGE_TARGET_VALUES = """age_target(level, share) AS (VALUES
+  ('<20', 0.007e0), ('20s', 0.130e0), ('30s', 0.179e0), ('40s', 0.209e0), ('50s', 0.226e0), ('60s', 0.177e0), ('70+', 0.072e0))"""
+
+MARGIN_CTES = [
+    """gm AS (SELECT max(CASE WHEN C1_NM = '총계' AND C2_NM = '남자' THEN CAST(DT AS BIGINT) END) AS m,
+                 max(CASE WHEN C1_NM = '총계' AND C2_NM = '여자' THEN CAST(DT AS BIGINT) END) AS f FROM stat_gender)""",
+    """gender_m AS (SELECT 'Gender' AS margin, 'Male' AS level, round(m / (m + f), 3) AS share FROM gm
+               UNION ALL SELECT 'Gender', 'Female', round(f / (m + f), 3) FROM gm)""",
+    f"""ar AS (SELECT {age_band_sql("CAST(nullif(regexp_extract(C1_NM, '(\\d+)', 1), '') AS INT)")} AS level,
+                  CAST(DT AS BIGINT) AS dt
+           FROM stat_age WHERE C2_NM = '총계' AND C1_NM <> '총계')""",
+    """ag AS (SELECT level, sum(dt) AS dt FROM ar WHERE level IS NOT NULL GROUP BY level)""",
+    """bo(level, ord) AS (VALUES ('<20', 0), ('20s', 1), ('30s', 2), ('40s', 3), ('50s', 4), ('60s', 5), ('70+', 6))""",
+    """aj AS (SELECT bo.level, bo.ord, coalesce(ag.dt, 0) AS dt FROM bo LEFT JOIN ag ON ag.level = bo.level)""",
+    """ap AS (SELECT *, round(dt / sum(dt) OVER (), 3) AS prop FROM aj)""",
+    """apr AS (SELECT *, round(1 - sum(prop) OVER (), 3) AS residual,
+                  row_number() OVER (ORDER BY prop DESC, ord) AS rk FROM ap)""",
+    """age_m AS (SELECT 'DrivAge' AS margin, level,
+                    CASE WHEN rk = 1 AND residual <> 0 THEN round(prop + residual, 3) ELSE prop END AS share FROM apr)""",
+    """vt AS (SELECT
+      max(CASE WHEN ITM_NM = '계' AND C2_NM = '총계' THEN CAST(DT AS BIGINT) END) AS total,
+      max(CASE WHEN ITM_NM = '계' AND C2_NM = '승용' THEN CAST(DT AS BIGINT) END) AS ptotal,
+      max(CASE WHEN ITM_NM = '계' AND C2_NM = '승합' THEN CAST(DT AS BIGINT) END) AS t1,
+      max(CASE WHEN ITM_NM = '계' AND C2_NM = '화물' THEN CAST(DT AS BIGINT) END) AS t2,
+      max(CASE WHEN ITM_NM = '계' AND C2_NM = '특수' THEN CAST(DT AS BIGINT) END) AS t3,
+      max(CASE WHEN ITM_NM = '자가용' AND C2_NM = '승용' THEN CAST(DT AS BIGINT) END) AS u0,
+      max(CASE WHEN ITM_NM = '영업용' AND C2_NM = '승용' THEN CAST(DT AS BIGINT) END) AS u1,
+      max(CASE WHEN ITM_NM = '관용' AND C2_NM = '승용' THEN CAST(DT AS BIGINT) END) AS u2
+    FROM stat_vehicle)""",
+    """veh_m AS (
+      SELECT 'vehicle_type' AS margin, '승용' AS level, round(ptotal / total, 4) AS share FROM vt
+      UNION ALL SELECT 'vehicle_type', '승합', round(t1 / total, 4) FROM vt
+      UNION ALL SELECT 'vehicle_type', '화물', round(t2 / total, 4) FROM vt
+      UNION ALL SELECT 'vehicle_type', '특수', round(t3 / total, 4) FROM vt
+      UNION ALL SELECT 'passenger_use', '자가용', round(u0 / ptotal, 4) FROM vt
+      UNION ALL SELECT 'passenger_use', '영업용', round(u1 / ptotal, 4) FROM vt
+      UNION ALL SELECT 'passenger_use', '관용', round(u2 / ptotal, 4) FROM vt)""",
+]
+
+
+def post_strat_sql(source: str) -> list[str]:
+    return [
+        AGE_TARGET_VALUES,
+        f"""psb AS (SELECT IDpol, {age_band_sql('DrivAge')} AS level FROM {source})""",
+        """psn AS (SELECT level, count(*) AS n FROM psb GROUP BY level)""",
+        """pst AS (SELECT sum(t.share) AS tsum FROM age_target t WHERE t.level IN (SELECT level FROM psn))""",
+        """psw AS (
+  SELECT b.IDpol, CASE WHEN t.share IS NULL THEN 1e0 ELSE t.share * (SELECT count(*) FROM psb) / n.n END AS w0
+  FROM psb b JOIN psn n ON n.level IS NOT DISTINCT FROM b.level LEFT JOIN age_target t ON t.level = b.level)""",
+        """psm AS (SELECT avg(w0) AS mw FROM psw)""",
+        """ps AS (SELECT IDpol, w0 / mw AS rake_weight FROM psw, psm)""",
+    ]
+
+
+SQL.update({
+    "license_gender_margin": with_fixtures(*MARGIN_CTES) + "SELECT margin, level, share FROM gender_m",
+    "license_age_margin": with_fixtures(*MARGIN_CTES) + "SELECT margin, level, share FROM age_m",
+    "vehicle_margin": with_fixtures(*MARGIN_CTES) + "SELECT margin, level, share FROM veh_m",
+    "all_margins": with_fixtures(*MARGIN_CTES) + """
+SELECT margin, level, share FROM gender_m UNION ALL SELECT margin, level, share FROM age_m
+UNION ALL SELECT margin, level, share FROM veh_m""",
+    "post_stratify": with_fixtures(*TRAINING_CTES, *post_strat_sql("train")) + """
+SELECT IDpol, round(rake_weight, 6) AS rake_weight FROM ps""",
+    "weight_summary": with_fixtures(*TRAINING_CTES, f"""trs AS (SELECT * FROM train WHERE {split_hash_sql('IDpol')} >= 2000)""",
+                                    *post_strat_sql("trs")) + """
+SELECT round(avg(rake_weight), 6) AS weight_mean, round(min(rake_weight), 6) AS weight_min,
+       round(max(rake_weight), 6) AS weight_max FROM ps""",
+})

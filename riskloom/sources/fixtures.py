@@ -77,6 +77,46 @@ def quotes(policy: DataFrame) -> DataFrame:
         "Density", "VehBrand", "VehGas", "Area", "Region")
 
 
+def _stat_rows(counts: DataFrame, itm, c1, c2) -> DataFrame:
+    return counts.select(itm.alias("ITM_NM"), c1.alias("C1_NM"), c2.alias("C2_NM"),
+                         F.col("n").cast("string").alias("DT"), F.lit(None).cast("string").alias("errMsg"))
+
+
+def statistics_rows(policy: DataFrame) -> dict[str, DataFrame]:
+    """Published-statistics-like rows (``ITM_NM, C1_NM, C2_NM, DT``) counted
+    from the policy table with CUBE totals (``총계`` / ``계``):
+
+    * ``license_age``: C1 = age label ``"<DrivAge>세"``, C2 = licence class
+      (``1종`` when VehAge < 10 else ``2종``);
+    * ``license_gender``: C1 = licence class, C2 = sex (``남자`` when VehPower
+      is even, else ``여자``);
+    * ``vehicle``: ITM = use (Density mod 10: 0–7 ``자가용``, 8 ``영업용``, 9
+      ``관용``), C2 = type from the brand number (1–10 ``승용``, 11 ``승합``,
+      12–13 ``화물``, 14 ``특수``)."""
+    tot, all_ = F.lit("총계"), F.lit("계")
+    lic = F.when(F.col("VehAge") < 10, "1종").otherwise("2종")
+    sex = F.when(F.col("VehPower") % 2 == 0, "남자").otherwise("여자")
+    age = F.concat(F.col("DrivAge").cast("string"), F.lit("세"))
+    d = F.col("Density") % 10
+    use = F.when(d <= 7, "자가용").when(d == 8, "영업용").otherwise("관용")
+    bn = F.substring(F.col("VehBrand"), 2, 3).cast("int")
+    vtype = F.when(bn <= 10, "승용").when(bn == 11, "승합").when(bn <= 13, "화물").otherwise("특수")
+
+    def cube(a, b):
+        c = policy.select(a.alias("a"), b.alias("b")).cube("a", "b").agg(
+            F.count(F.lit(1)).alias("n"), F.grouping("a").alias("ga"), F.grouping("b").alias("gb"))
+        return c
+    ca = cube(age, lic)
+    cg = cube(lic, sex)
+    cv = cube(use, vtype)
+    pick = lambda g, v, t: F.when(F.col(g) == 1, t).otherwise(F.col(v))
+    return {
+        "license_age": _stat_rows(ca, all_, pick("ga", "a", tot), pick("gb", "b", tot)),
+        "license_gender": _stat_rows(cg, all_, pick("ga", "a", tot), pick("gb", "b", tot)),
+        "vehicle": _stat_rows(cv, pick("ga", "a", all_), tot, pick("gb", "b", tot)),
+    }
+
+
 # The same definitions as SQL text; used as leading CTEs of the oracle queries.
 CLAIM_SQL = """claim AS (
   SELECT l_orderkey AS IDpol, l_linenumber AS claim_no,
@@ -108,6 +148,26 @@ PREMIUM_SQL = """premium AS (
   SELECT IDpol, (0.05e0 + 0.002e0 * abs(DrivAge - 45) + 0.001e0 * (BonusMalus - 50)) * (800e0 + 10e0 * VehPower) AS pred
   FROM policy)"""
 
+STAT_SQL = """stat_age AS (
+  SELECT '계' AS ITM_NM, CASE WHEN grouping(a) = 1 THEN '총계' ELSE a END AS C1_NM,
+         CASE WHEN grouping(b) = 1 THEN '총계' ELSE b END AS C2_NM, CAST(count(*) AS VARCHAR) AS DT
+  FROM (SELECT CAST(DrivAge AS VARCHAR) || '세' AS a, CASE WHEN VehAge < 10 THEN '1종' ELSE '2종' END AS b FROM policy)
+  GROUP BY CUBE (a, b)),
+stat_gender AS (
+  SELECT '계' AS ITM_NM, CASE WHEN grouping(a) = 1 THEN '총계' ELSE a END AS C1_NM,
+         CASE WHEN grouping(b) = 1 THEN '총계' ELSE b END AS C2_NM, CAST(count(*) AS VARCHAR) AS DT
+  FROM (SELECT CASE WHEN VehAge < 10 THEN '1종' ELSE '2종' END AS a,
+               CASE WHEN VehPower % 2 = 0 THEN '남자' ELSE '여자' END AS b FROM policy)
+  GROUP BY CUBE (a, b)),
+stat_vehicle AS (
+  SELECT CASE WHEN grouping(a) = 1 THEN '계' ELSE a END AS ITM_NM, '총계' AS C1_NM,
+         CASE WHEN grouping(b) = 1 THEN '총계' ELSE b END AS C2_NM, CAST(count(*) AS VARCHAR) AS DT
+  FROM (SELECT CASE WHEN Density % 10 <= 7 THEN '자가용' WHEN Density % 10 = 8 THEN '영업용' ELSE '관용' END AS a,
+               CASE WHEN CAST(substr(VehBrand, 2, 3) AS INT) <= 10 THEN '승용'
+                    WHEN CAST(substr(VehBrand, 2, 3) AS INT) = 11 THEN '승합'
+                    WHEN CAST(substr(VehBrand, 2, 3) AS INT) <= 13 THEN '화물' ELSE '특수' END AS b FROM policy)
+  GROUP BY CUBE (a, b))"""
+
 QUOTE_SQL = """quote AS (
   SELECT IDpol, VehPower, VehAge,
          CAST(CASE WHEN IDpol % 41 = 0 THEN 10 ELSE DrivAge END AS INT) AS DrivAge,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import bands
 from riskloom.functions.columns import average_claim, round_dp
-from riskloom.operators import clean, market, metrics, ordered, raking, report
+from riskloom.operators import clean, features, glm, isotonic, market, metrics, ordered, raking, report
 from riskloom.sources import fixtures as fx
 
 
@@ -251,6 +251,54 @@ def q_weight_summary(spark, sf_dir):
     return s.select(*[r6(c).alias(c) for c in s.columns])
 
 
+def q_design_matrix(spark, sf_dir):
+    """GLM design columns of every training row (levels learnt)."""
+    t = training_frame(spark, sf_dir)
+    enc = features.fit_encoding(t)
+    d = features.design_columns(t, enc, keep=["IDpol"])
+    return d.withColumn("Density", r6("Density"))
+
+
+def _one_factor_levels(t, enc):
+    return t.select("Area").distinct()
+
+
+def q_poisson_glm_one_factor(spark, sf_dir):
+    """M04/M06 with Area as the only factor: fitted claim rate per level."""
+    t = training_frame(spark, sf_dir).cache()
+    enc = features.fit_encoding(t, ["Area"], [])
+    model = glm.fit_poisson_frequency(features.design_frame(t, enc, keep=["ClaimNb", "Exposure"]))
+    lv = features.design_frame(_one_factor_levels(t, enc), enc, keep=["Area"])
+    return glm.predict_glm(model, lv, "rate").select("Area", r6("rate").alias("rate"))
+
+
+def q_gamma_glm_one_factor(spark, sf_dir):
+    """M05/M06 with Area as the only factor: fitted mean severity per level."""
+    t = training_frame(spark, sf_dir)
+    c = clean.claim_policies(t).withColumn("avg_claim", average_claim("sev_total", "sev_count")).cache()
+    enc = features.fit_encoding(c, ["Area"], [])
+    model = glm.fit_gamma_severity(features.design_frame(c, enc, keep=["avg_claim", "sev_count"]))
+    lv = features.design_frame(c.select("Area").distinct(), enc, keep=["Area"])
+    return glm.predict_glm(model, lv, "severity").select("Area", r6("severity").alias("severity"))
+
+
+def q_isotonic_binned(spark, sf_dir):
+    """M11/M12 on the ten rank bins of the analytic premium."""
+    b = metrics.calibration_bins(scored_frame(spark, sf_dir), "pure_premium", "pred", "Exposure").cache()
+    model = isotonic.fit_isotonic(b, "predicted", "actual", "w_sum")
+    return isotonic.apply_isotonic(model, b, "predicted", "fitted").select("bin", r6("fitted").alias("fitted"))
+
+
+def q_calibrated_premium(spark, sf_dir):
+    """M11/M12 on every policy: isotonic map of the analytic premium to the
+    observed pure premium, weight exposure × raking (rows-only check)."""
+    s = raking.training_weight(scored_frame(spark, sf_dir), raking.DEFAULT_CONFIG, "fremtpl2",
+                               base_weight="Exposure").cache()
+    model = isotonic.fit_isotonic(s, "pred", "pure_premium", "weight")
+    return isotonic.apply_isotonic(model, s, "pred", "calibrated").select(
+        "IDpol", r6("pred").alias("pred"), r6("calibrated").alias("calibrated"))
+
+
 QUERIES = {
     "training_table": q_training_table,
     "factor_frequency": q_factor_frequency,
@@ -286,6 +334,11 @@ QUERIES = {
     "all_margins": q_all_margins,
     "post_stratify": q_post_stratify,
     "weight_summary": q_weight_summary,
+    "design_matrix": q_design_matrix,
+    "poisson_glm_one_factor": q_poisson_glm_one_factor,
+    "gamma_glm_one_factor": q_gamma_glm_one_factor,
+    "isotonic_binned": q_isotonic_binned,
+    "calibrated_premium": q_calibrated_premium,
 }
 
 FLAGSHIP = "diagnosis_report"

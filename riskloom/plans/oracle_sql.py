@@ -389,3 +389,41 @@ SELECT IDpol, round(rake_weight, 6) AS rake_weight FROM ps""",
 SELECT round(avg(rake_weight), 6) AS weight_mean, round(min(rake_weight), 6) AS weight_min,
        round(max(rake_weight), 6) AS weight_max FROM ps""",
 })
+
+_LEVELS = {
+    "VehBrand": sorted(f"B{i}" for i in range(1, 15)),
+    "VehGas": ["Diesel", "Regular"],
+    "Area": list("ABCDEF"),
+    "Region": sorted(f"R{11 + i}" for i in range(25)),
+}
+_DUMMIES = ",\n       ".join(
+    f"CASE WHEN {c} = '{lv}' THEN 1e0 ELSE 0e0 END AS \"{c}_{lv}\""
+    for c in ("VehBrand", "VehGas", "Area", "Region") for lv in _LEVELS[c][1:])
+
+ISO_CTES = [
+    """iso_pairs AS (
+  SELECT a.bin AS j, b.bin AS k,
+         (SELECT sum(x.w_sum * x.actual) / sum(x.w_sum) FROM bins x WHERE x.bin BETWEEN a.bin AND b.bin) AS avg_jk
+  FROM bins a JOIN bins b ON a.bin <= b.bin)""",
+    """iso_fit AS (
+  SELECT i.bin, max(mn) AS fitted FROM bins i
+  JOIN (SELECT p.j, i2.bin AS i, min(p.avg_jk) AS mn
+        FROM iso_pairs p JOIN bins i2 ON p.j <= i2.bin AND p.k >= i2.bin GROUP BY p.j, i2.bin) q
+    ON q.i = i.bin
+  GROUP BY i.bin)""",
+]
+
+SQL.update({
+    "design_matrix": with_fixtures(*TRAINING_CTES) + f"""
+SELECT IDpol, CAST(VehPower AS DOUBLE) AS VehPower, CAST(VehAge AS DOUBLE) AS VehAge, CAST(DrivAge AS DOUBLE) AS DrivAge,
+       CAST(BonusMalus AS DOUBLE) AS BonusMalus, round(ln(1 + Density), 6) AS Density,
+       {_DUMMIES}
+FROM train""",
+    "poisson_glm_one_factor": with_fixtures(*TRAINING_CTES) + """
+SELECT Area, round(sum(ClaimNb) / sum(CASE WHEN Exposure < 1e-6 THEN 1e-6 ELSE Exposure END), 6) AS rate
+FROM train GROUP BY Area""",
+    "gamma_glm_one_factor": with_fixtures(*TRAINING_CTES) + """
+SELECT Area, round(sum(sev_total) / sum(sev_count), 6) AS severity FROM train WHERE sev_count > 0 GROUP BY Area""",
+    "isotonic_binned": with_fixtures(*TRAINING_CTES, SCORED_CTE, *CAL_CTES, *ISO_CTES) + """
+SELECT bin, round(fitted, 6) AS fitted FROM iso_fit""",
+})

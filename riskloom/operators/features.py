@@ -68,16 +68,19 @@ def numeric_columns(enc: Encoding) -> list:
 
 def design_frame(df: DataFrame, enc: Encoding, out: str = "features", keep=None) -> DataFrame:
     """Numerics + one dummy per training level except the first
-    (alphabetical); unseen/NULL levels -> all zeros.  Adds vector ``out``."""
-    keep = list(keep or [])
-    d = _clean_cats(df, enc.cat_cols)
-    dummies = [F.when(F.col(c) == lv, 1.0).otherwise(0.0).alias(f"{c}_{lv}")
+    (alphabetical); unseen/NULL levels -> all zeros.  Adds vector ``out``;
+    ``keep`` columns (default: all) pass through unchanged."""
+    keep = list(df.columns if keep is None else keep)
+    pre = "__g_"
+    nums = [e.alias(pre + c) for e, c in zip(numeric_columns(enc), enc.num_cols)]
+    dummies = [F.when(strip_quotes(F.col(c).cast("string")) == lv, 1.0).otherwise(0.0).alias(f"{pre}{c}_{lv}")
                for c in enc.cat_cols for lv in enc.labels[c][1:]]
-    flat = d.select(*keep, *numeric_columns(enc), *dummies)
-    names = enc.glm_names()
+    names = [pre + n for n in enc.glm_names()]
+    flat = df.select(*keep, *nums, *dummies)
     if not names:
         return flat.withColumn(out, F.array().cast("array<double>"))
-    return VectorAssembler(inputCols=names, outputCol=out, handleInvalid="keep").transform(flat)
+    v = VectorAssembler(inputCols=names, outputCol=out, handleInvalid="keep").transform(flat)
+    return v.drop(*names)
 
 
 def design_columns(df: DataFrame, enc: Encoding, keep=None) -> DataFrame:
@@ -89,24 +92,27 @@ def design_columns(df: DataFrame, enc: Encoding, keep=None) -> DataFrame:
     return d.select(*keep, *numeric_columns(enc), *dummies)
 
 
-def indexer(enc: Encoding) -> StringIndexerModel:
+def indexer(enc: Encoding, prefix: str = "") -> StringIndexerModel:
     """Indexer rebuilt from the persisted training labels (unseen -> last)."""
     return StringIndexerModel.from_arrays_of_labels(
-        [enc.labels[c] for c in enc.cat_cols], inputCols=enc.cat_cols,
-        outputCols=[f"{c}__idx" for c in enc.cat_cols], handleInvalid="keep")
+        [enc.labels[c] for c in enc.cat_cols], inputCols=[prefix + c for c in enc.cat_cols],
+        outputCols=[f"{prefix}{c}__idx" for c in enc.cat_cols], handleInvalid="keep")
 
 
 def tree_frame(df: DataFrame, enc: Encoding, out: str = "tree_features", keep=None) -> DataFrame:
     """Numerics (double, log1p Density) + categorical indices carrying
-    nominal metadata, so trees split on them as categories."""
-    keep = list(keep or [])
-    d = _clean_cats(df, enc.cat_cols)
-    d = d.select(*keep, *numeric_columns(enc), *[F.col(c) for c in enc.cat_cols if c not in keep])
+    nominal metadata, so trees split on them as categories.  ``keep``
+    columns (default: all) pass through unchanged."""
+    keep = list(df.columns if keep is None else keep)
+    pre = "__t_"
+    nums = [e.alias(pre + c) for e, c in zip(numeric_columns(enc), enc.num_cols)]
+    cats = [strip_quotes(F.col(c).cast("string")).alias(pre + c) for c in enc.cat_cols]
+    d = df.select(*keep, *nums, *cats)
     if enc.cat_cols:
-        d = indexer(enc).transform(d)
-    names = list(enc.num_cols) + [f"{c}__idx" for c in enc.cat_cols]
+        d = indexer(enc, pre).transform(d)
+    names = [pre + c for c in enc.num_cols] + [f"{pre}{c}__idx" for c in enc.cat_cols]
     v = VectorAssembler(inputCols=names, outputCol=out, handleInvalid="keep").transform(d)
-    return v.drop(*[f"{c}__idx" for c in enc.cat_cols])
+    return v.drop(*names, *[pre + c for c in enc.cat_cols])
 
 
 def max_categories(enc: Encoding) -> int:

@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import bands
 from riskloom.functions.columns import average_claim, round_dp
-from riskloom.operators import clean, features, glm, isotonic, market, metrics, ordered, raking, report
+from riskloom.functions.columns import floor_at
+from riskloom.operators import (attribution, boosting, clean, features, glm, isotonic, market, metrics,
+                                ordered, raking, report)
+from riskloom.plans import engine, runs
+from riskloom.session import cut_lineage, ensure_checkpoint_dir
+from riskloom.streaming import quotes as quotes_stream
 from riskloom.sources import fixtures as fx
 
 
@@ -299,6 +304,104 @@ def q_calibrated_premium(spark, sf_dir):
         "IDpol", r6("pred").alias("pred"), r6("calibrated").alias("calibrated"))
 
 
+# ------------------------------------------------- fitted models (rows-only)
+
+GBM_ROUNDS = 10
+GBM_LR = 0.2
+
+
+def _split_encoded(spark, sf_dir):
+    t = training_frame(spark, sf_dir).cache()
+    enc = features.fit_encoding(t)
+    tr, te = ordered.grouped_split(t)
+    return t, enc, tr, te
+
+
+def _poisson_gbm(spark, sf_dir):
+    t, enc, tr, te = _split_encoded(spark, sf_dir)
+    tr2, val = ordered.early_stopping_split(tr)
+    tr2 = raking.training_weight(tr2, raking.DEFAULT_CONFIG, "fremtpl2", out="rw")
+    val = raking.training_weight(val, raking.DEFAULT_CONFIG, "fremtpl2", out="rw")
+    m = boosting.fit_boosted(tr2, enc, "ClaimNb", "Exposure", "rw", "poisson", rounds=GBM_ROUNDS,
+                             learning_rate=GBM_LR, valid=val, patience=5)
+    return m, te
+
+
+def q_poisson_gbm(spark, sf_dir):
+    """Poisson GBM with grouped early stopping; test predictions."""
+    m, te = _poisson_gbm(spark, sf_dir)
+    p = boosting.predict_boosted(m, te, "rate")
+    return p.select("IDpol", r6("rate").alias("rate"), r6(F.col("rate") * F.col("Exposure")).alias("count"))
+
+
+def q_tweedie_gbm(spark, sf_dir):
+    """Tweedie(1.7) GBM on pure premium, weight exposure × raking."""
+    t, enc, tr, te = _split_encoded(spark, sf_dir)
+    tr = raking.training_weight(tr, raking.DEFAULT_CONFIG, "fremtpl2", base_weight="Exposure", out="tw")
+    m = boosting.fit_boosted(tr, enc, "pure_premium", None, "tw", "tweedie", 1.7, rounds=GBM_ROUNDS,
+                             learning_rate=GBM_LR)
+    p = boosting.predict_boosted(m, te, "pred").withColumn("pred", floor_at("pred", 1e-6))
+    return p.select("IDpol", r6("pred").alias("pure_premium_pred"))
+
+
+def q_tweedie_power_search(spark, sf_dir):
+    """M10 + A19 + K06: mean validation Gini per power, best power flagged."""
+    t, enc, tr, te = _split_encoded(spark, sf_dir)
+    best, means = runs.tweedie_power_search(tr, enc, [1.5, 1.7, 1.9], n_folds=2, rounds=4,
+                                            learning_rate=GBM_LR)
+    return means.select("power", r6("mean_score").alias("mean_gini"),
+                        (F.col("power") == F.lit(best)).alias("is_best"))
+
+
+def q_policy_drivers(spark, sf_dir):
+    """M16 + K04: top-3 signed attributions of the Poisson GBM per test policy."""
+    m, te = _poisson_gbm(spark, sf_dir)
+    a = attribution.attributions(m, te)
+    cols = []
+    for i in range(3):
+        cols += [F.col("drivers")[i]["feature"].alias(f"driver{i + 1}"),
+                 F.col("drivers")[i]["effect"].alias(f"effect{i + 1}")]
+    return a.select("IDpol", r6("base").alias("base"), r6("raw").alias("raw"), *cols)
+
+
+def q_top_factors(spark, sf_dir):
+    """Mean |attribution| per feature over the test policies, top 8."""
+    m, te = _poisson_gbm(spark, sf_dir)
+    f = attribution.top_factors(attribution.attributions(m, te), 8)
+    return f.select("feature", r6("mean_abs_effect").alias("mean_abs_effect"))
+
+
+def q_engine_diagnosis(spark, sf_dir):
+    """M15 → X02 with fitted models for every test policy (with drivers)."""
+    t, enc, tr, te = _split_encoded(spark, sf_dir)
+    eng = engine.fit_engine(tr, rounds=GBM_ROUNDS, learning_rate=GBM_LR, patience=5)
+    rep = engine.diagnose_with_engine(eng, te)
+    flat = report.flatten_report(rep)
+    return flat.join(rep.select("IDpol", F.col("drivers")[0]["feature"].alias("driver1")), "IDpol")
+
+
+def q_stream_diagnosis(spark, sf_dir):
+    """Quotes written as JSON files, read as a stream (one file per
+    trigger), diagnosed per micro-batch against the policy market."""
+    import uuid
+    base = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    q = fx.quotes(fx.policies(spark, sf_dir))
+    q.repartition(4, "IDpol").write.json(f"{base}/in")
+    pf = premium_frame(spark, sf_dir)
+    cohorts = cut_lineage(market.cohort_stats(pf, "premium"))
+    mk = cut_lineage(pf.select("IDpol", "premium"))
+    query = quotes_stream.start_quote_stream(
+        spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", mk, cohorts,
+        lambda d: d.withColumn("premium", fx.analytic_premium_col()),
+        {"expense_ratio": 0.25, "profit_margin": 0.05})
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    out = quotes_stream.read_stream_output(spark, f"{base}/out")
+    return report.flatten_report(out)
+
+
 QUERIES = {
     "training_table": q_training_table,
     "factor_frequency": q_factor_frequency,
@@ -339,6 +442,13 @@ QUERIES = {
     "gamma_glm_one_factor": q_gamma_glm_one_factor,
     "isotonic_binned": q_isotonic_binned,
     "calibrated_premium": q_calibrated_premium,
+    "poisson_gbm": q_poisson_gbm,
+    "tweedie_gbm": q_tweedie_gbm,
+    "tweedie_power_search": q_tweedie_power_search,
+    "policy_drivers": q_policy_drivers,
+    "top_factors": q_top_factors,
+    "engine_diagnosis": q_engine_diagnosis,
+    "stream_diagnosis": q_stream_diagnosis,
 }
 
 FLAGSHIP = "diagnosis_report"

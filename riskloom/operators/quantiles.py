@@ -31,9 +31,10 @@ _G = "_qgrp"
 
 
 def _on(left: DataFrame, right: DataFrame, keys):
+    """Null-safe equality of ``left[k]`` with the renamed ``right[_t_k]``."""
     cond = None
     for k in keys:
-        c = left[k].eqNullSafe(right[k])
+        c = left[k].eqNullSafe(right[f"_t_{k}"])
         cond = c if cond is None else cond & c
     return cond
 
@@ -56,7 +57,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float],
                .withColumn("_p", F.explode(F.array(*[
                    F.struct(F.lit(i).alias("i"), F.lit(nm).alias("name"), F.lit(float(q)).alias("q"))
                    for i, (nm, q) in enumerate(prob_items)])))
-               .select(*keys, "_n", F.col("_p.i").alias("_i"), F.col("_p.name").alias("q_name"),
+               .select(*[F.col(k).alias(f"_t_{k}") for k in keys], "_n", F.col("_p.i").alias("_i"), F.col("_p.name").alias("q_name"),
                        (F.col("_p.q") * (F.col("_n") - 1)).alias("_pos"))
                .withColumn("_r0", F.floor("_pos").cast("long"))
                .withColumn("_r1", F.least(F.col("_r0") + 1, F.col("_n") - 1)))
@@ -70,7 +71,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float],
             Window.partitionBy(*keys).orderBy("_v")) - 1)
         t = bc(targets)
         j = ranked.join(t, _on(ranked, t, keys)).select(
-            *[ranked[k] for k in keys], "_v", "_rank", "q_name", "_i", "_pos", "_r0", "_r1")
+            *keys, "_v", "_rank", "q_name", "_i", "_pos", "_r0", "_r1")
     else:
         acc = accuracy or int(min(10_000_000, max(10_000, 12 * max_n // max_group_rows)))
         slack = 4.0 / acc
@@ -79,16 +80,22 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float],
             fracs += [max(0.0, q - slack), min(1.0, q + slack)]
         approx = data.groupBy(*keys).agg(
             F.percentile_approx("_v", F.array(*[F.lit(f) for f in fracs]), acc).alias("_pv"))
-        tg = (targets.join(approx, _on(targets, approx, keys))
-                     .select(*[targets[k] for k in keys], "_n", "_i", "q_name", "_pos", "_r0", "_r1",
+        tg = (approx.join(targets, _on(approx, targets, keys))
+                     .select(*[f"_t_{k}" for k in keys], "_n", "_i", "q_name", "_pos", "_r0", "_r1",
                              F.element_at("_pv", 2 * F.col("_i") + 1).alias("_lo"),
                              F.element_at("_pv", 2 * F.col("_i") + 2).alias("_hi")))
         t = bc(tg)
         probe = data.join(t, _on(data, t, keys))
-        check = (probe.groupBy(*[t[k] for k in keys], t["_i"])
+        tkeys = [f"_t_{k}" for k in keys]
+        check = (probe.groupBy(*tkeys, "_i")
                  .agg(F.sum(F.when(F.col("_v") < F.col("_lo"), 1).otherwise(0)).alias("_below"),
                       F.sum(F.when(F.col("_v") <= F.col("_hi"), 1).otherwise(0)).alias("_le_hi")))
-        tg = tg.join(check, keys + ["_i"], "left")
+        check = check.select(*[F.col(k).alias("_c" + k) for k in tkeys], F.col("_i").alias("_ci"),
+                             "_below", "_le_hi")
+        cond = F.col("_i") == F.col("_ci")
+        for k in tkeys:
+            cond = cond & F.col(k).eqNullSafe(F.col("_c" + k))
+        tg = tg.join(check, cond, "left").drop(*["_c" + k for k in tkeys], "_ci")
         ok = (F.col("_below") <= F.col("_r0")) & (F.col("_le_hi") > F.col("_r1"))
         inf = float("inf")
         tg = (tg.withColumn("_lo", F.when(ok, F.col("_lo")).otherwise(F.lit(-inf)))
@@ -98,9 +105,9 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float],
         t = bc(tg)
         inside = (data.join(t, _on(data, t, keys))
                       .filter((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))))
-        w = Window.partitionBy(*[t[k] for k in keys], t["_i"]).orderBy("_v")
+        w = Window.partitionBy(*[f"_t_{k}" for k in keys], "_i").orderBy("_v")
         j = (inside.withColumn("_rank", F.col("_below") + F.row_number().over(w) - 1)
-                   .select(*[t[k] for k in keys], "_v", "_rank", "q_name", "_i", "_pos", "_r0", "_r1"))
+                   .select(*keys, "_v", "_rank", "q_name", "_i", "_pos", "_r0", "_r1"))
 
     picked = j.filter((F.col("_rank") == F.col("_r0")) | (F.col("_rank") == F.col("_r1")))
     res = (picked.groupBy(*keys, "q_name", "_i", "_pos", "_r0")

@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 from itertools import accumulate
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,20 +85,24 @@ def exclusive_prefix(df: DataFrame, order: Order, sums: dict[str, Column] | None
     part = _range_index(order, cuts) if cuts else F.lit(0)
     d = df.withColumn("_part", part).withColumns({f"_s_{k}": v.cast("double") for k, v in sums.items()})
 
-    totals = d.groupBy("_part").agg(F.count(F.lit(1)).alias("_cnt"),
-                                    *[F.sum(f"_s_{k}").alias(k) for k in sums]).collect()
     k_parts = len(cuts) + 1
     cnt = [0] * k_parts
     tot = {k: [0.0] * k_parts for k in sums}
-    for r in totals:
-        cnt[r["_part"]] = r["_cnt"]
-        for k in sums:
-            tot[k][r["_part"]] = r[k] or 0.0
+    if k_parts > 1:
+        # Per-range totals: at most ``max_parts`` rows reach the driver.
+        totals = d.groupBy("_part").agg(F.count(F.lit(1)).alias("_cnt"),
+                                        *[F.sum(f"_s_{k}").alias(k) for k in sums]).collect()
+        for r in totals:
+            cnt[r["_part"]] = r["_cnt"]
+            for k in sums:
+                tot[k][r["_part"]] = r[k] or 0.0
 
     def offsets(vals):
         return [0] + list(accumulate(vals))[:-1]
 
     def lookup(vals, cast):
+        if k_parts == 1:
+            return F.lit(0).cast(cast)
         return F.element_at(F.array(*[F.lit(v) for v in offsets(vals)]).cast(f"array<{cast}>"),
                             F.col("_part") + 1)
 
@@ -157,6 +162,7 @@ def rank_bins(df: DataFrame, p: str, n_bins: int, id_col: str = S.ID,
               n_rows: int | None = None, **kw) -> DataFrame:
     """``bin`` = quantile bin of the rank (method "first", ties by id)
     of ``p``: ``greatest(ceil((rank-1)·q/(n-1)) - 1, 0)``; n = 1 -> 0."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     n = df.count() if n_rows is None else n_rows
     pre = exclusive_prefix(df, [(p, False), (id_col, False)], {}, n_rows=n, **kw)
     if n <= 1:
@@ -179,17 +185,21 @@ def risk_percentile(rows: DataFrame, market: DataFrame, value: str = "premium",
     below each row.  The row's columns travel through the union in a
     struct, so nothing joins back."""
     mk = (market.select(F.col(market_value).cast("double").alias("_v")).filter(finite("_v"))
-                .groupBy("_v").agg(F.count(F.lit(1)).alias("_c")))
-    m_total = mk.agg(F.sum("_c")).first()[0] or 0
+                .groupBy("_v").agg(F.count(F.lit(1)).alias("_c"))
+                .persist(StorageLevel.MEMORY_AND_DISK))
+    mt = mk.agg(F.sum("_c").alias("m"), F.count(F.lit(1)).alias("d")).first()
+    m_total, m_distinct = mt["m"] or 0, mt["d"]
     row_struct = F.struct(*[F.col(c) for c in rows.columns])
     r = rows.select(F.col(value).cast("double").alias("_v"), F.lit(0).alias("_kind"),
                     F.col(id_col).cast("long").alias("_id"), F.lit(0).cast("long").alias("_c"),
-                    row_struct.alias("_row"))
+                    row_struct.alias("_row")).persist(StorageLevel.MEMORY_AND_DISK)
     m = mk.select("_v", F.lit(1).alias("_kind"), F.lit(0).cast("long").alias("_id"), "_c",
                   F.lit(None).cast(r.schema["_row"].dataType).alias("_row"))
     # NULL/NaN row values cannot be ordered: they get a NULL percentile.
     ok = r.filter(finite("_v"))
     both = ok.unionByName(m)
+    if "n_rows" not in kw:
+        kw["n_rows"] = ok.count() + m_distinct
     pre = exclusive_prefix(both, [("_v", False), ("_kind", False), ("_id", False)],
                            {"below": F.col("_c")}, **kw)
     pct = (F.lit(100.0) * F.col("below_before") / F.lit(float(m_total))) if m_total else F.lit(None)

@@ -21,6 +21,7 @@ bound.
 """
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,8 +47,11 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float],
     ``value`` per group (NULL/NaN/inf values ignored; empty groups absent)."""
     user_keys = list(keys)
     keys = user_keys or [_G]
-    data = df.select(*(user_keys or [F.lit(0).alias(_G)]),
-                     F.col(value).cast("double").alias("_v")).filter(finite("_v"))
+    # The narrow projection is scanned by every pass: persist it once so
+    # the passes do not re-run the upstream plan (joins, aggregations).
+    data = (df.select(*(user_keys or [F.lit(0).alias(_G)]),
+                      F.col(value).cast("double").alias("_v")).filter(finite("_v"))
+              .persist(StorageLevel.MEMORY_AND_DISK))
     counts = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).cache()
     stats = counts.agg(F.max("_n").alias("m"), F.count(F.lit(1)).alias("g")).first()
     max_n, n_groups = stats["m"] or 0, stats["g"]

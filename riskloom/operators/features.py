@@ -70,7 +70,7 @@ def design_frame(df: DataFrame, enc: Encoding, out: str = "features", keep=None)
     """Numerics + one dummy per training level except the first
     (alphabetical); unseen/NULL levels -> all zeros.  Adds vector ``out``;
     ``keep`` columns (default: all) pass through unchanged."""
-    keep = list(df.columns if keep is None else keep)
+    keep = [c for c in (df.columns if keep is None else keep) if c != out]
     pre = "__g_"
     nums = [e.alias(pre + c) for e, c in zip(numeric_columns(enc), enc.num_cols)]
     dummies = [F.when(strip_quotes(F.col(c).cast("string")) == lv, 1.0).otherwise(0.0).alias(f"{pre}{c}_{lv}")
@@ -103,7 +103,7 @@ def tree_frame(df: DataFrame, enc: Encoding, out: str = "tree_features", keep=No
     """Numerics (double, log1p Density) + categorical indices carrying
     nominal metadata, so trees split on them as categories.  ``keep``
     columns (default: all) pass through unchanged."""
-    keep = list(df.columns if keep is None else keep)
+    keep = [c for c in (df.columns if keep is None else keep) if c != out]
     pre = "__t_"
     nums = [e.alias(pre + c) for e, c in zip(numeric_columns(enc), enc.num_cols)]
     cats = [strip_quotes(F.col(c).cast("string")).alias(pre + c) for c in enc.cat_cols]

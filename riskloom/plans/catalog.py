@@ -304,6 +304,20 @@ def q_calibrated_premium(spark, sf_dir):
         "IDpol", r6("pred").alias("pred"), r6("calibrated").alias("calibrated"))
 
 
+def q_own_bands(spark, sf_dir):
+    """Each valid quote's band per factor with the market frequency of
+    that band (the band the report highlights)."""
+    freq = market.factor_frequency(training_frame(spark, sf_dir))
+    ob = market.own_bands(valid_quotes(spark, sf_dir), freq)
+    return ob.select("IDpol", "feature", "band", "ord", "n", "frequency")
+
+
+def q_baseline_metrics(spark, sf_dir):
+    """GLM baseline run on the fixture; metric table (S10 rows)."""
+    freq, sev = raw_frames(spark, sf_dir)
+    return runs.baseline_run(freq, sev)
+
+
 # ------------------------------------------------- fitted models (rows-only)
 
 GBM_ROUNDS = 10
@@ -442,6 +456,8 @@ QUERIES = {
     "gamma_glm_one_factor": q_gamma_glm_one_factor,
     "isotonic_binned": q_isotonic_binned,
     "calibrated_premium": q_calibrated_premium,
+    "own_bands": q_own_bands,
+    "baseline_metrics": q_baseline_metrics,
     "poisson_gbm": q_poisson_gbm,
     "tweedie_gbm": q_tweedie_gbm,
     "tweedie_power_search": q_tweedie_power_search,

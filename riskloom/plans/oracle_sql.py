@@ -427,3 +427,20 @@ SELECT Area, round(sum(sev_total) / sum(sev_count), 6) AS severity FROM train WH
     "isotonic_binned": with_fixtures(*TRAINING_CTES, SCORED_CTE, *CAL_CTES, *ISO_CTES) + """
 SELECT bin, round(fitted, 6) AS fitted FROM iso_fit""",
 })
+
+SQL.update({
+    "own_bands": with_fixtures(*TRAINING_CTES, *BAND_CTES, *MARKET_CTES, *QUOTE_CTES, f"""qband AS (
+  SELECT IDpol, 'DrivAge' AS feature, {age_band_sql('DrivAge')} AS band FROM qp
+  UNION ALL SELECT IDpol, 'BonusMalus',
+       CASE WHEN BonusMalus >= 0 AND BonusMalus < 60 THEN '50–59' WHEN BonusMalus >= 60 AND BonusMalus < 80 THEN '60–79'
+            WHEN BonusMalus >= 80 AND BonusMalus < 100 THEN '80–99' WHEN BonusMalus >= 100 AND BonusMalus < 150 THEN '100–149'
+            WHEN BonusMalus >= 150 AND BonusMalus < 1e9 THEN '150+' END FROM qp
+  UNION ALL SELECT IDpol, 'VehAge',
+       CASE WHEN VehAge >= 0 AND VehAge < 2 THEN '0–1' WHEN VehAge >= 2 AND VehAge < 6 THEN '2–5'
+            WHEN VehAge >= 6 AND VehAge < 11 THEN '6–10' WHEN VehAge >= 11 AND VehAge < 16 THEN '11–15'
+            WHEN VehAge >= 16 AND VehAge < 1e9 THEN '16+' END FROM qp
+  UNION ALL SELECT IDpol, 'Area', Area FROM qp
+  UNION ALL SELECT IDpol, 'VehGas', VehGas FROM qp)""") + """
+SELECT q.IDpol, q.feature, q.band, f.ord, f.n, f.frequency
+FROM qband q LEFT JOIN factor_freq f ON f.feature = q.feature AND f.band = q.band""",
+})

@@ -10,7 +10,7 @@ from riskloom import schema as S
 from riskloom.functions.bands import age_band, band_order_rows, factor_bands
 from riskloom.functions.columns import cohort_label, finite, floor_at, median_ratio, round_dp
 from riskloom.operators.quantiles import exact_quantiles, pivot_quantiles
-from riskloom.session import broadcast_if_small
+from riskloom.session import BROADCAST_MAX_ROWS
 
 
 def band_order(spark) -> DataFrame:
@@ -167,21 +167,25 @@ def cohort_lookup(rows: DataFrame, stats: DataFrame, age_col: str = "DrivAge",
     its age band if large enough, else the overall market (no minimum).
     Adds ``cohort_group, cohort_level, cohort_count, cohort_mean,
     cohort_median``.  ``stats`` is bounded (≤ bands × areas + bands + 1
-    rows) and broadcast after a size check."""
-    st = broadcast_if_small(stats)
-    cell = st.filter(F.col("level") == "cell").select(
+    rows): its cell and band slices are broadcast after a size check, the
+    single overall row becomes three literals (no constant-key join)."""
+    n_stats = stats.limit(BROADCAST_MAX_ROWS + 1).count()
+    if n_stats > BROADCAST_MAX_ROWS:
+        raise ValueError("cohort statistics exceed the broadcast bound")
+    cell = F.broadcast(stats.filter(F.col("level") == "cell").select(
         F.col("age_band").alias("_cab"), F.col("area").alias("_car"),
-        F.col("count").alias("_cc"), F.col("mean").alias("_cm"), F.col("median").alias("_cmed"))
-    age = st.filter(F.col("level") == "age").select(
+        F.col("count").alias("_cc"), F.col("mean").alias("_cm"), F.col("median").alias("_cmed")))
+    age = F.broadcast(stats.filter(F.col("level") == "age").select(
         F.col("age_band").alias("_aab"), F.col("count").alias("_ac"),
-        F.col("mean").alias("_am"), F.col("median").alias("_amed"))
-    ov = st.filter(F.col("level") == "overall").select(
-        F.lit(1).alias("_ok"), F.col("count").alias("_oc"), F.col("mean").alias("_om"),
-        F.col("median").alias("_omed"))
+        F.col("mean").alias("_am"), F.col("median").alias("_amed")))
+    # The overall cohort is one row: its three numbers become literals.
+    ov = stats.filter(F.col("level") == "overall").select("count", "mean", "median").first()
     r = rows.withColumn("_ab", age_band(age_col)).withColumn("_ar", F.col(area_col).cast("string"))
     r = (r.join(cell, (r["_ab"] == cell["_cab"]) & (r["_ar"] == cell["_car"]), "left")
           .join(age, r["_ab"] == age["_aab"], "left")
-          .withColumn("_ok", F.lit(1)).join(ov, "_ok", "left"))
+          .withColumns({"_oc": F.lit(ov["count"] if ov else None).cast("long"),
+                        "_om": F.lit(ov["mean"] if ov else None).cast("double"),
+                        "_omed": F.lit(ov["median"] if ov else None).cast("double")}))
     use_cell = F.col("_cc") >= min_count
     use_age = F.col("_ac") >= min_count
     has_ov = F.col("_oc").isNotNull()
@@ -195,7 +199,7 @@ def cohort_lookup(rows: DataFrame, stats: DataFrame, age_col: str = "DrivAge",
         "cohort_median": pick("_cmed", "_amed", "_omed"),
     })
     drop = ["_ab", "_ar", "_cab", "_car", "_cc", "_cm", "_cmed", "_aab", "_ac", "_am", "_amed",
-            "_ok", "_oc", "_om", "_omed"]
+            "_oc", "_om", "_omed"]
     return out.drop(*drop)
 
 

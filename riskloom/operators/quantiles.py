@@ -77,7 +77,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float],
         j = ranked.join(t, _on(ranked, t, keys)).select(
             *keys, "_v", "_rank", "q_name", "_i", "_pos", "_r0", "_r1")
     else:
-        acc = accuracy or int(min(10_000_000, max(10_000, 12 * max_n // max_group_rows)))
+        acc = accuracy or int(min(1_000_000, max(10_000, 12 * max_n // max_group_rows)))
         slack = 4.0 / acc
         fracs = []
         for _, q in prob_items:

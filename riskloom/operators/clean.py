@@ -102,7 +102,7 @@ def preprocess(freq: DataFrame, sev: DataFrame, id_col: str = S.ID,
         ids = f.select(id_col)
         s = s.join(ids, id_col, "left_semi")
     if clip_value is None and severity_clip_quantile:
-        s = s.persist(StorageLevel.MEMORY_AND_DISK)
+        s = s.persist(StorageLevel.MEMORY_AND_DISK_DESER)
         clip_value = severity_clip_value(s, severity_clip_quantile, amount_col)
     if clip_value is not None:
         s = s.withColumn(amount_col, cap(amount_col, float(clip_value)))

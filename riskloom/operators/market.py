@@ -50,7 +50,7 @@ def market_summary(market: DataFrame, value: str = "premium") -> DataFrame:
     Quantiles are exact (distributed selection); the moments are one
     partial+final aggregate."""
     m = market.select(F.col(value).cast("double").alias("v")).filter(finite("v")).persist(
-        StorageLevel.MEMORY_AND_DISK)
+        StorageLevel.MEMORY_AND_DISK_DESER)
     moments = m.agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"),
                     F.min("v").alias("min"), F.max("v").alias("max"))
     qs = pivot_quantiles(exact_quantiles(m, "v", MARKET_PROBS), [], list(MARKET_PROBS))
@@ -138,7 +138,7 @@ def cohort_stats(df: DataFrame, premium_col: str = "premium", age_col: str = "Dr
     medians.  Grouped levels drop rows whose data key is NULL; the overall
     level keeps every row (its count is the row count)."""
     base = df.select(age_band(age_col).alias("ab"), F.col(area_col).cast("string").alias("ar"),
-                     F.col(premium_col).cast("double").alias("pp")).persist(StorageLevel.MEMORY_AND_DISK)
+                     F.col(premium_col).cast("double").alias("pp")).persist(StorageLevel.MEMORY_AND_DISK_DESER)
     lv = F.explode(F.array(
         F.struct(F.lit("cell").alias("level"), F.col("ab").alias("age_band"), F.col("ar").alias("area")),
         F.struct(F.lit("age").alias("level"), F.col("ab").alias("age_band"),

@@ -162,7 +162,7 @@ def rank_bins(df: DataFrame, p: str, n_bins: int, id_col: str = S.ID,
               n_rows: int | None = None, **kw) -> DataFrame:
     """``bin`` = quantile bin of the rank (method "first", ties by id)
     of ``p``: ``greatest(ceil((rank-1)·q/(n-1)) - 1, 0)``; n = 1 -> 0."""
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    df = df.persist(StorageLevel.MEMORY_AND_DISK_DESER)
     n = df.count() if n_rows is None else n_rows
     pre = exclusive_prefix(df, [(p, False), (id_col, False)], {}, n_rows=n, **kw)
     if n <= 1:
@@ -186,13 +186,13 @@ def risk_percentile(rows: DataFrame, market: DataFrame, value: str = "premium",
     struct, so nothing joins back."""
     mk = (market.select(F.col(market_value).cast("double").alias("_v")).filter(finite("_v"))
                 .groupBy("_v").agg(F.count(F.lit(1)).alias("_c"))
-                .persist(StorageLevel.MEMORY_AND_DISK))
+                .persist(StorageLevel.MEMORY_AND_DISK_DESER))
     mt = mk.agg(F.sum("_c").alias("m"), F.count(F.lit(1)).alias("d")).first()
     m_total, m_distinct = mt["m"] or 0, mt["d"]
     row_struct = F.struct(*[F.col(c) for c in rows.columns])
     r = rows.select(F.col(value).cast("double").alias("_v"), F.lit(0).alias("_kind"),
                     F.col(id_col).cast("long").alias("_id"), F.lit(0).cast("long").alias("_c"),
-                    row_struct.alias("_row")).persist(StorageLevel.MEMORY_AND_DISK)
+                    row_struct.alias("_row")).persist(StorageLevel.MEMORY_AND_DISK_DESER)
     m = mk.select("_v", F.lit(1).alias("_kind"), F.lit(0).cast("long").alias("_id"), "_c",
                   F.lit(None).cast(r.schema["_row"].dataType).alias("_row"))
     # NULL/NaN row values cannot be ordered: they get a NULL percentile.

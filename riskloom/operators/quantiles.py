@@ -51,7 +51,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float],
     # the passes do not re-run the upstream plan (joins, aggregations).
     data = (df.select(*(user_keys or [F.lit(0).alias(_G)]),
                       F.col(value).cast("double").alias("_v")).filter(finite("_v"))
-              .persist(StorageLevel.MEMORY_AND_DISK))
+              .persist(StorageLevel.MEMORY_AND_DISK_DESER))
     counts = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).cache()
     stats = counts.agg(F.max("_n").alias("m"), F.count(F.lit(1)).alias("g")).first()
     max_n, n_groups = stats["m"] or 0, stats["g"]

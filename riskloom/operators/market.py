@@ -35,6 +35,7 @@ def factor_frequency(df: DataFrame, claim_col: str = S.CLAIM_NB,
                .agg(F.count(F.lit(1)).alias("n"), F.sum("_cn").alias("_claims"),
                     F.sum("_ex").alias("_exp")))
     order = F.broadcast(band_order(df.sparkSession))
+    # ``ord`` carries the fixed display order (sort by feature, ord).
     return (agg.join(order, ["feature", "band"])
                .select("feature", "title", "band", "ord", F.col("n").cast("long").alias("n"),
                        round_dp(F.col("_claims") / F.col("_exp"), 4).alias("frequency")))

@@ -78,6 +78,8 @@ def rake(df: DataFrame, target_margins: dict[str, dict], weight_col: str | None
     for i, c in enumerate(cols):
         e = df[c].cast("string").eqNullSafe(table[f"_k{i}"])
         cond = e if cond is None else cond & e
+    # Factor back to rows — broadcast (cells are bounded) left join,
+    # null-safe so rows in no target level keep their row and factor.
     joined = df.join(F.broadcast(table), cond, "left")
     return joined.withColumn(out, w0 * F.col("_f")).drop(*[f"_k{i}" for i in range(len(cols))], "_f")
 

@@ -17,6 +17,7 @@ from riskloom.plans import engine, runs
 from riskloom.session import cut_lineage, ensure_checkpoint_dir
 from riskloom.streaming import quotes as quotes_stream
 from riskloom.sources import fixtures as fx
+from riskloom.sources import tables
 
 
 def r6(c):
@@ -76,6 +77,20 @@ def q_nominal_clean(spark, sf_dir):
                        "VehBrand", "VehGas", "Area", "Region")
 
 
+def q_csv_policy_scan(spark, sf_dir):
+    """S01–S03 + P01/P02: the fixture tables written as header CSV, read
+    back with the declared raw schemas (numbers that may hold junk as
+    strings), then coerced and quote-stripped."""
+    import uuid
+    base = f"{ensure_checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}"
+    pol, clm = raw_frames(spark, sf_dir)
+    pol.write.option("header", True).csv(f"{base}/policy.csv")
+    clm.select("IDpol", "ClaimAmount").write.option("header", True).csv(f"{base}/claim.csv")
+    freq, _ = clean.coerce(*tables.load_raw(spark, f"{base}/policy.csv", f"{base}/claim.csv"))
+    return freq.select("IDpol", "ClaimNb", r6("Exposure").alias("Exposure"),
+                       "VehBrand", "VehGas", "Area", "Region")
+
+
 def q_factor_bands(spark, sf_dir):
     t = training_frame(spark, sf_dir)
     return t.select("IDpol", *bands.factor_bands(prefix="band_"))
@@ -423,6 +438,7 @@ QUERIES = {
     "consistency_report": q_consistency_report,
     "orphan_claims": q_orphan_claims,
     "nominal_clean": q_nominal_clean,
+    "csv_policy_scan": q_csv_policy_scan,
     "factor_bands": q_factor_bands,
     "quote_validation": q_quote_validation,
     "market_summary": q_market_summary,

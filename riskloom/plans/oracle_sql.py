@@ -444,3 +444,5 @@ SQL.update({
 SELECT q.IDpol, q.feature, q.band, f.ord, f.n, f.frequency
 FROM qband q LEFT JOIN factor_freq f ON f.feature = q.feature AND f.band = q.band""",
 })
+
+SQL["csv_policy_scan"] = SQL["nominal_clean"]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from riskloom import schema as S
 from riskloom.functions.bands import age_band, band_order_rows, factor_bands
 from riskloom.functions.columns import cohort_label, finite, floor_at, median_ratio, round_dp
-from riskloom.operators.quantiles import exact_quantiles, pivot_quantiles
+from riskloom.operators.quantiles import exact_quantile_values, exact_quantiles, pivot_quantiles
 from riskloom.session import BROADCAST_MAX_ROWS
 
 
@@ -65,13 +65,14 @@ def market_summary(market: DataFrame, value: str = "premium") -> DataFrame:
 
 
 def histogram_range(market: DataFrame, value: str = "premium") -> tuple[float, float] | None:
-    """``(lo, hi)`` of the A09 histogram: min and exact p99; ``hi = lo + 1``
-    when p99 <= min.  Two scalars to the driver; None when empty."""
+    """``(lo, hi)`` of the A09 histogram: min (the 0-quantile) and exact
+    p99; ``hi = lo + 1`` when p99 <= min.  Two scalars to the driver; None
+    when empty."""
     m = market.select(F.col(value).cast("double").alias("v")).filter(finite("v"))
-    lo = m.agg(F.min("v")).first()[0]
+    q = exact_quantile_values(m, "v", {"p0": 0.0, "p99": 0.99})
+    lo, hi = q["p0"], q["p99"]
     if lo is None:
         return None
-    hi = exact_quantiles(m, "v", {"p99": 0.99}).first()["q_value"]
     if hi <= lo:
         hi = lo + 1.0
     return float(lo), float(hi)
@@ -170,17 +171,22 @@ def cohort_lookup(rows: DataFrame, stats: DataFrame, age_col: str = "DrivAge",
     cohort_median``.  ``stats`` is bounded (≤ bands × areas + bands + 1
     rows): its cell and band slices are broadcast after a size check, the
     single overall row becomes three literals (no constant-key join)."""
-    n_stats = stats.limit(BROADCAST_MAX_ROWS + 1).count()
-    if n_stats > BROADCAST_MAX_ROWS:
+    # The statistics table is bounded: collect it once (with a size check)
+    # and join from local data, so it is not recomputed per use.
+    st = stats.select("level", "age_band", "area", F.col("count").cast("long").alias("count"),
+                      F.col("mean").cast("double").alias("mean"),
+                      F.col("median").cast("double").alias("median")).limit(BROADCAST_MAX_ROWS + 1).collect()
+    if len(st) > BROADCAST_MAX_ROWS:
         raise ValueError("cohort statistics exceed the broadcast bound")
-    cell = F.broadcast(stats.filter(F.col("level") == "cell").select(
-        F.col("age_band").alias("_cab"), F.col("area").alias("_car"),
-        F.col("count").alias("_cc"), F.col("mean").alias("_cm"), F.col("median").alias("_cmed")))
-    age = F.broadcast(stats.filter(F.col("level") == "age").select(
-        F.col("age_band").alias("_aab"), F.col("count").alias("_ac"),
-        F.col("mean").alias("_am"), F.col("median").alias("_amed")))
+    spark = rows.sparkSession
+    cell = F.broadcast(spark.createDataFrame(
+        [(r.age_band, r.area, r["count"], r.mean, r.median) for r in st if r.level == "cell"],
+        "_cab string, _car string, _cc long, _cm double, _cmed double"))
+    age = F.broadcast(spark.createDataFrame(
+        [(r.age_band, r["count"], r.mean, r.median) for r in st if r.level == "age"],
+        "_aab string, _ac long, _am double, _amed double"))
     # The overall cohort is one row: its three numbers become literals.
-    ov = stats.filter(F.col("level") == "overall").select("count", "mean", "median").first()
+    ov = next((r for r in st if r.level == "overall"), None)
     r = rows.withColumn("_ab", age_band(age_col)).withColumn("_ar", F.col(area_col).cast("string"))
     r = (r.join(cell, (r["_ab"] == cell["_cab"]) & (r["_ar"] == cell["_car"]), "left")
           .join(age, r["_ab"] == age["_aab"], "left")

@@ -187,8 +187,6 @@ def risk_percentile(rows: DataFrame, market: DataFrame, value: str = "premium",
     mk = (market.select(F.col(market_value).cast("double").alias("_v")).filter(finite("_v"))
                 .groupBy("_v").agg(F.count(F.lit(1)).alias("_c"))
                 .persist(StorageLevel.MEMORY_AND_DISK_DESER))
-    mt = mk.agg(F.sum("_c").alias("m"), F.count(F.lit(1)).alias("d")).first()
-    m_total, m_distinct = mt["m"] or 0, mt["d"]
     row_struct = F.struct(*[F.col(c) for c in rows.columns])
     r = rows.select(F.col(value).cast("double").alias("_v"), F.lit(0).alias("_kind"),
                     F.col(id_col).cast("long").alias("_id"), F.lit(0).cast("long").alias("_c"),
@@ -198,8 +196,12 @@ def risk_percentile(rows: DataFrame, market: DataFrame, value: str = "premium",
     # NULL/NaN row values cannot be ordered: they get a NULL percentile.
     ok = r.filter(finite("_v"))
     both = ok.unionByName(m)
-    if "n_rows" not in kw:
-        kw["n_rows"] = ok.count() + m_distinct
+    # One pass sizes both sides: rows to score, distinct market values and
+    # the market total.
+    sizes = {x["_kind"]: x for x in both.groupBy("_kind").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("_c").alias("c")).collect()}
+    m_total = (sizes[1]["c"] if 1 in sizes else 0) or 0
+    kw.setdefault("n_rows", sum(x["n"] for x in sizes.values()))
     pre = exclusive_prefix(both, [("_v", False), ("_kind", False), ("_id", False)],
                            {"below": F.col("_c")}, **kw)
     pct = (F.lit(100.0) * F.col("below_before") / F.lit(float(m_total))) if m_total else F.lit(None)

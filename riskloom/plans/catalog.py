@@ -263,6 +263,17 @@ def q_post_stratify(spark, sf_dir):
     return w.select("IDpol", r6("rake_weight").alias("rake_weight"))
 
 
+def q_rake_two_margins(spark, sf_dir):
+    """G01 with two margins at once (sex and driver-age band, the config's
+    targets): sex follows the statistics rows' rule (VehPower even ->
+    Male).  Rows-only here; equality with row-wise IPF is a pytest."""
+    t = training_frame(spark, sf_dir).withColumns({
+        "Gender": F.when(F.col("VehPower") % 2 == 0, "Male").otherwise("Female"),
+        "AgeBand": bands.age_band("DrivAge")})
+    w = raking.rake(t, {"Gender": raking.S.GENDER_TARGET, "AgeBand": raking.S.DRIVAGE_TARGET})
+    return w.select("IDpol", "Gender", "AgeBand", r6("rake_weight").alias("rake_weight"))
+
+
 def q_weight_summary(spark, sf_dir):
     """G04 + A18: raking weights re-raked on the training split."""
     train, _ = ordered.grouped_split(training_frame(spark, sf_dir))
@@ -467,6 +478,7 @@ QUERIES = {
     "all_margins": q_all_margins,
     "post_stratify": q_post_stratify,
     "weight_summary": q_weight_summary,
+    "rake_two_margins": q_rake_two_margins,
     "design_matrix": q_design_matrix,
     "poisson_glm_one_factor": q_poisson_glm_one_factor,
     "gamma_glm_one_factor": q_gamma_glm_one_factor,

@@ -1,18 +1,20 @@
 """Order-dependent operators at scale.
 
-Global running sums (`ORDER BY` without `PARTITION BY`) put every row in
-one task.  ``exclusive_prefix`` instead cuts the total order into ranges:
-
-* cut points are taken from a small sample of the composite order key
-  (the tie-breaking id is part of the key, so one value holding a third of
-  the rows is still split across ranges);
-* each row gets its range index from a binary-search ``CASE`` over the
-  (bounded) cut list — a codegen'd expression, no join;
-* one window partitioned by range computes the in-range running sums (one
-  shuffle), and per-range totals (≤ ``max_parts`` numbers, collected) give
-  the offsets, added back as a literal array lookup.
-
-Only cut points and per-range totals reach the driver.
+Global running sums (``ORDER BY`` without ``PARTITION BY``) put every row in
+one task.  ``exclusive_prefix`` instead cuts the total order into ranges
+when the data is large:
+
+* ``repartitionByRange`` on the composite order key (Spark's range
+  partitioner: sampled bounds, JVM binary search; the tie-breaking id is
+  part of the key, so one value holding a third of the rows is still split
+  across ranges) — the partition id becomes the range number and the
+  assignment is persisted so every pass sees the same ranges;
+* one window partitioned by range computes the in-range running sums;
+* per-range totals (≤ ``max_parts`` numbers, collected) give the offsets,
+  added back as a literal array lookup.
+
+Small inputs (≤ ``rows_per_part`` rows) use one window directly.  Only
+per-range totals reach the driver.
 """
 from __future__ import annotations
 
@@ -29,48 +31,6 @@ from riskloom.functions.columns import finite
 Order = list[tuple[str, bool]]  # (column, descending)
 
 
-def _at_or_after(order: Order, cut: tuple) -> Column:
-    """True when the row sorts at or after ``cut`` in ``order``."""
-    res = F.lit(True)
-    for (c, desc), v in reversed(list(zip(order, cut))):
-        col, lit = F.col(c), F.lit(v)
-        after = (col < lit) if desc else (col > lit)
-        res = after | ((col == lit) & res)
-    return res
-
-
-def _range_index(order: Order, cuts: list[tuple]) -> Column:
-    """Number of cuts at or before the row (binary search, depth log2)."""
-    def search(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(_at_or_after(order, cuts[mid]), search(mid + 1, hi)).otherwise(search(lo, mid))
-    return search(0, len(cuts))
-
-
-def _sort_key(order: Order):
-    def key(row):
-        return tuple((-row[i] if desc else row[i]) for i, (_, desc) in enumerate(order))
-    return key
-
-
-def range_cuts(df: DataFrame, order: Order, n_rows: int, n_parts: int,
-               per_part: int = 64, seed: int = 7) -> list[tuple]:
-    """Cut points splitting ``order`` into about ``n_parts`` equal ranges,
-    from a sample of about ``per_part * n_parts`` keys (bounded)."""
-    frac = min(1.0, per_part * n_parts / max(n_rows, 1))
-    sample = df.select(*[c for c, _ in order]).sample(False, frac, seed).collect()
-    keyed = sorted((tuple(r) for r in sample), key=_sort_key(order))
-    cuts, seen = [], set()
-    for i in range(1, n_parts):
-        c = keyed[(i * len(keyed)) // n_parts] if keyed else None
-        if c is not None and c not in seen:
-            seen.add(c)
-            cuts.append(c)
-    return cuts
-
-
 def exclusive_prefix(df: DataFrame, order: Order, sums: dict[str, Column] | None = None,
                      n_rows: int | None = None, rows_per_part: int = 4_000_000,
                      max_parts: int = 1024) -> DataFrame:
@@ -81,11 +41,15 @@ def exclusive_prefix(df: DataFrame, order: Order, sums: dict[str, Column] | None
     sums = sums or {}
     n = df.count() if n_rows is None else n_rows
     n_parts = max(1, min(max_parts, math.ceil(n / rows_per_part)))
-    cuts = range_cuts(df, order, n, n_parts) if n_parts > 1 else []
-    part = _range_index(order, cuts) if cuts else F.lit(0)
-    d = df.withColumn("_part", part).withColumns({f"_s_{k}": v.cast("double") for k, v in sums.items()})
-
-    k_parts = len(cuts) + 1
+    ordered = [F.col(c).desc() if desc else F.col(c).asc() for c, desc in order]
+    d = df.withColumns({f"_s_{k}": v.cast("double") for k, v in sums.items()})
+    if n_parts > 1:
+        d = (d.repartitionByRange(n_parts, *ordered).withColumn("_part", F.spark_partition_id())
+              .persist(StorageLevel.MEMORY_AND_DISK_DESER))
+    else:
+        d = d.withColumn("_part", F.lit(0))
+
+    k_parts = n_parts
     cnt = [0] * k_parts
     tot = {k: [0.0] * k_parts for k in sums}
     if k_parts > 1:
@@ -106,7 +70,6 @@ def exclusive_prefix(df: DataFrame, order: Order, sums: dict[str, Column] | None
         return F.element_at(F.array(*[F.lit(v) for v in offsets(vals)]).cast(f"array<{cast}>"),
                             F.col("_part") + 1)
 
-    ordered = [F.col(c).desc() if desc else F.col(c).asc() for c, desc in order]
     w = Window.partitionBy("_part").orderBy(*ordered)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     out = d.withColumn("_rn", F.row_number().over(w) - 1 + lookup(cnt, "bigint"))

@@ -82,34 +82,53 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float],
         fracs = []
         for _, q in prob_items:
             fracs += [max(0.0, q - slack), min(1.0, q + slack)]
+        m = len(prob_items)
+        # Wide brackets: one row per group with lo_i / hi_i per quantile, so
+        # no data row is repeated per quantile.
         approx = data.groupBy(*keys).agg(
             F.percentile_approx("_v", F.array(*[F.lit(f) for f in fracs]), acc).alias("_pv"))
-        tg = (approx.join(targets, _on(approx, targets, keys))
-                     .select(*[f"_t_{k}" for k in keys], "_n", "_i", "q_name", "_pos", "_r0", "_r1",
-                             F.element_at("_pv", 2 * F.col("_i") + 1).alias("_lo"),
-                             F.element_at("_pv", 2 * F.col("_i") + 2).alias("_hi")))
-        t = bc(tg)
+        wide = approx.select(*[F.col(k).alias(f"_t_{k}") for k in keys],
+                             *[F.element_at("_pv", 2 * i + 1).alias(f"_lo{i}") for i in range(m)],
+                             *[F.element_at("_pv", 2 * i + 2).alias(f"_hi{i}") for i in range(m)])
+        t = bc(wide)
         probe = data.join(t, _on(data, t, keys))
         tkeys = [f"_t_{k}" for k in keys]
-        check = (probe.groupBy(*tkeys, "_i")
-                 .agg(F.sum(F.when(F.col("_v") < F.col("_lo"), 1).otherwise(0)).alias("_below"),
-                      F.sum(F.when(F.col("_v") <= F.col("_hi"), 1).otherwise(0)).alias("_le_hi")))
-        check = check.select(*[F.col(k).alias("_c" + k) for k in tkeys], F.col("_i").alias("_ci"),
-                             "_below", "_le_hi")
-        cond = F.col("_i") == F.col("_ci")
-        for k in tkeys:
-            cond = cond & F.col(k).eqNullSafe(F.col("_c" + k))
-        tg = tg.join(check, cond, "left").drop(*["_c" + k for k in tkeys], "_ci")
-        ok = (F.col("_below") <= F.col("_r0")) & (F.col("_le_hi") > F.col("_r1"))
+        check = probe.groupBy(*tkeys).agg(
+            *[F.sum(F.when(F.col("_v") < F.col(f"_lo{i}"), 1).otherwise(0)).alias(f"_below{i}") for i in range(m)],
+            *[F.sum(F.when(F.col("_v") <= F.col(f"_hi{i}"), 1).otherwise(0)).alias(f"_le{i}") for i in range(m)])
+        # Back to one row per (group, quantile) with a verified bracket; a
+        # bracket that misses its ranks widens to the whole group.
+        long_b = check.select(*tkeys, F.explode(F.array(*[
+            F.struct(F.lit(i).alias("i"), F.col(f"_below{i}").alias("below"), F.col(f"_le{i}").alias("le"))
+            for i in range(m)])).alias("_b")).select(*tkeys, F.col("_b.i").alias("_bi"),
+                                                      F.col("_b.below").alias("_below"), F.col("_b.le").alias("_le"))
+        wl = wide.select(*tkeys, F.explode(F.array(*[
+            F.struct(F.lit(i).alias("i"), F.col(f"_lo{i}").alias("lo"), F.col(f"_hi{i}").alias("hi"))
+            for i in range(m)])).alias("_w")).select(*tkeys, F.col("_w.i").alias("_wi"),
+                                                      F.col("_w.lo").alias("_lo"), F.col("_w.hi").alias("_hi"))
+        tg = (targets.alias("tt")
+              .join(long_b.alias("bb"), [F.col(f"tt.{k}").eqNullSafe(F.col(f"bb.{k}")) for k in tkeys]
+                    + [F.col("tt._i") == F.col("bb._bi")])
+              .join(wl.alias("ww"), [F.col(f"tt.{k}").eqNullSafe(F.col(f"ww.{k}")) for k in tkeys]
+                    + [F.col("tt._i") == F.col("ww._wi")])
+              .select(*[F.col(f"tt.{k}").alias(k) for k in tkeys], "tt._n", "tt._i", "tt.q_name", "tt._pos",
+                      "tt._r0", "tt._r1", "bb._below", "bb._le", "ww._lo", "ww._hi"))
+        ok = (F.col("_below") <= F.col("_r0")) & (F.col("_le") > F.col("_r1"))
         inf = float("inf")
         tg = (tg.withColumn("_lo", F.when(ok, F.col("_lo")).otherwise(F.lit(-inf)))
                 .withColumn("_hi", F.when(ok, F.col("_hi")).otherwise(F.lit(inf)))
                 .withColumn("_below", F.when(ok, F.col("_below")).otherwise(F.lit(0)))
-                .cache())
-        t = bc(tg)
+                .drop("_le").cache())
+        # Each row joins its group's brackets once (wide) and is emitted
+        # only for the quantiles whose bracket holds it.
+        bw = tg.groupBy(*tkeys).agg(F.collect_list(F.struct("_i", "q_name", "_pos", "_r0", "_r1",
+                                                             "_below", "_lo", "_hi")).alias("_br"))
+        t = bc(bw)
         inside = (data.join(t, _on(data, t, keys))
-                      .filter((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))))
-        w = Window.partitionBy(*[f"_t_{k}" for k in keys], "_i").orderBy("_v")
+                      .select(*keys, *tkeys, "_v", F.explode(F.filter(
+                          "_br", lambda b: (F.col("_v") >= b["_lo"]) & (F.col("_v") <= b["_hi"]))).alias("_b"))
+                      .select(*keys, *tkeys, "_v", "_b.*"))
+        w = Window.partitionBy(*tkeys, "_i").orderBy("_v")
         j = (inside.withColumn("_rank", F.col("_below") + F.row_number().over(w) - 1)
                    .select(*keys, "_v", "_rank", "q_name", "_i", "_pos", "_r0", "_r1"))
 

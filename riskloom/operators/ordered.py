@@ -136,9 +136,17 @@ def rank_bins(df: DataFrame, p: str, n_bins: int, id_col: str = S.ID,
 
 # ------------------------------------------------------------ risk percentile
 
+def market_counts(market: DataFrame, market_value: str = "premium") -> DataFrame:
+    """The market collapsed to ``(_v, _c)``: one row per distinct finite
+    value with its multiplicity (a hot value becomes one row).  Precompute
+    it once when many batches are scored against the same market."""
+    return (market.select(F.col(market_value).cast("double").alias("_v")).filter(finite("_v"))
+                  .groupBy("_v").agg(F.count(F.lit(1)).alias("_c")))
+
+
 def risk_percentile(rows: DataFrame, market: DataFrame, value: str = "premium",
                     market_value: str = "premium", id_col: str = S.ID,
-                    out: str = "risk_percentile", **kw) -> DataFrame:
+                    out: str = "risk_percentile", counted: bool = False, **kw) -> DataFrame:
     """``100 · count(m < v) / count(m)`` for every row against the
     finite market values ``m`` (strict).
 
@@ -146,10 +154,10 @@ def risk_percentile(rows: DataFrame, market: DataFrame, value: str = "premium",
     becomes one row — then unioned with the rows and one exclusive running
     count over ``(value, market-after-rows, id)`` gives the strict count
     below each row.  The row's columns travel through the union in a
-    struct, so nothing joins back."""
-    mk = (market.select(F.col(market_value).cast("double").alias("_v")).filter(finite("_v"))
-                .groupBy("_v").agg(F.count(F.lit(1)).alias("_c"))
-                .persist(StorageLevel.MEMORY_AND_DISK_DESER))
+    struct, so nothing joins back.  With ``counted=True`` ``market`` is
+    already ``market_counts(...)``."""
+    mk = market if counted else market_counts(market, market_value)
+    mk = mk.persist(StorageLevel.MEMORY_AND_DISK_DESER)
     row_struct = F.struct(*[F.col(c) for c in rows.columns])
     r = rows.select(F.col(value).cast("double").alias("_v"), F.lit(0).alias("_kind"),
                     F.col(id_col).cast("long").alias("_id"), F.lit(0).cast("long").alias("_c"),

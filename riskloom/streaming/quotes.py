@@ -20,15 +20,18 @@ from pyspark.sql import functions as F
 
 from riskloom import schema as S
 from riskloom.operators import clean, report
+from riskloom.operators.ordered import market_counts
+from riskloom.session import cut_lineage
 from riskloom.sources.tables import read_quote_stream
 
 
 def diagnose_batch(quotes: DataFrame, market: DataFrame, cohorts: DataFrame | None,
                    scorer: Callable[[DataFrame], DataFrame], loading: dict | None = None,
-                   id_col: str = S.ID) -> tuple[DataFrame, DataFrame]:
+                   id_col: str = S.ID, market_counted: bool = False) -> tuple[DataFrame, DataFrame]:
     """The batch path shared by batch and stream: (reports, quarantine)."""
     valid, bad = clean.validate_quotes(quotes)
-    reps = report.diagnose(scorer(valid), market, cohorts, "premium", "premium", id_col, loading)
+    reps = report.diagnose(scorer(valid), market, cohorts, "premium", "premium", id_col, loading,
+                           market_counted=market_counted)
     return reps, bad
 
 
@@ -36,11 +39,14 @@ def start_quote_stream(spark: SparkSession, source: str, out: str, checkpoint: s
                        market: DataFrame, cohorts: DataFrame | None,
                        scorer: Callable[[DataFrame], DataFrame], loading: dict | None = None,
                        max_files_per_trigger: int = 1, trigger: dict | None = None):
-    """Start T01; returns the ``StreamingQuery``."""
+    """Start T01; returns the ``StreamingQuery``.  The market is collapsed
+    to distinct (value, count) once, written to the shared checkpoint
+    folder, and every micro-batch is scored against that table."""
     stream = read_quote_stream(spark, source, max_files_per_trigger)
+    counts = cut_lineage(market_counts(market, "premium"))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        reps, bad = diagnose_batch(batch, market, cohorts, scorer, loading)
+        reps, bad = diagnose_batch(batch, counts, cohorts, scorer, loading, market_counted=True)
         reps.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(
             f"{out}/valid/batch={batch_id}")
         bad.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(

@@ -221,5 +221,6 @@ def own_bands(rows: DataFrame, freq: DataFrame, id_col: str = S.ID) -> DataFrame
     n, frequency``.  ``freq`` is the 30-row A11 table (broadcast)."""
     wide = rows.select(id_col, *[b.alias(f) for b, f in zip(factor_bands(), S.FACTORS)])
     long = wide.unpivot([id_col], S.FACTORS, "feature", "band")
+    # ``freq`` is the A11 table: at most 30 rows (inner join with the order).
     fq = F.broadcast(freq.select("feature", "band", "ord", "n", "frequency"))
     return long.join(fq, ["feature", "band"], "left")

@@ -357,7 +357,19 @@ def _split_encoded(spark, sf_dir):
     return t, enc, tr, te
 
 
+_FITTED: dict = {}
+
+
 def _poisson_gbm(spark, sf_dir):
+    """The Poisson GBM of the fixture, fitted once per Spark application and
+    data folder and shared by the queries that score with it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FITTED:
+        _FITTED[key] = _fit_poisson_gbm(spark, sf_dir)
+    return _FITTED[key]
+
+
+def _fit_poisson_gbm(spark, sf_dir):
     t, enc, tr, te = _split_encoded(spark, sf_dir)
     tr2, val = ordered.early_stopping_split(tr)
     tr2 = raking.training_weight(tr2, raking.DEFAULT_CONFIG, "fremtpl2", out="rw")
@@ -414,7 +426,8 @@ def q_top_factors(spark, sf_dir):
 def q_engine_diagnosis(spark, sf_dir):
     """M15 → X02 with fitted models for every test policy (with drivers)."""
     t, enc, tr, te = _split_encoded(spark, sf_dir)
-    eng = engine.fit_engine(tr, rounds=GBM_ROUNDS, learning_rate=GBM_LR, patience=5)
+    m, _ = _poisson_gbm(spark, sf_dir)
+    eng = engine.fit_engine(tr, rounds=GBM_ROUNDS, learning_rate=GBM_LR, patience=5, freq=m)
     rep = engine.diagnose_with_engine(eng, te)
     flat = report.flatten_report(rep)
     return flat.join(rep.select("IDpol", F.col("drivers")[0]["feature"].alias("driver1")), "IDpol")

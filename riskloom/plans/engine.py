@@ -35,21 +35,24 @@ def calibrated_pure_premium(eng: Engine, df: DataFrame, out: str = "premium") ->
 
 def fit_engine(df: DataFrame, cfg: dict | None = DEFAULT_CONFIG, seed: int = 42, rounds: int = 30,
                learning_rate: float = 0.1, patience: int | None = 10, max_depth: int = 5,
-               min_rows: int = 100, loading: dict | None = None) -> Engine:
+               min_rows: int = 100, loading: dict | None = None,
+               freq: boosting.BoostedModel | None = None) -> Engine:
     """Bands, frequency GBM with grouped early stopping, Gamma
     severity on claim policies, isotonic on the training rows (weight
     exposure × raking), then the unweighted market (A08 input), cohorts
-    (A10) and factor frequencies (A11) — all from ``df`` (a training table)."""
+    (A10) and factor frequencies (A11) — all from ``df`` (a training table).
+    ``freq`` reuses an already fitted frequency model (same encoding)."""
     loading = loading if loading is not None else {"expense_ratio": S.EXPENSE_RATIO,
                                                     "profit_margin": S.PROFIT_MARGIN}
-    enc = features.fit_encoding(df)
-    tr2, val = ordered.early_stopping_split(df, seed=seed)
-    tr2 = training_weight(tr2, cfg, "fremtpl2", out="_rw")
-    val = training_weight(val, cfg, "fremtpl2", out="_rw")
-    wcol = "_rw" if "_rw" in tr2.columns else None
-    freq = boosting.fit_boosted(tr2, enc, S.CLAIM_NB, S.EXPOSURE, wcol, "poisson", rounds=rounds,
-                                learning_rate=learning_rate, max_depth=max_depth, min_rows=min_rows,
-                                valid=val, patience=patience, seed=seed)
+    enc = freq.encoding if freq is not None else features.fit_encoding(df)
+    if freq is None:
+        tr2, val = ordered.early_stopping_split(df, seed=seed)
+        tr2 = training_weight(tr2, cfg, "fremtpl2", out="_rw")
+        val = training_weight(val, cfg, "fremtpl2", out="_rw")
+        wcol = "_rw" if "_rw" in tr2.columns else None
+        freq = boosting.fit_boosted(tr2, enc, S.CLAIM_NB, S.EXPOSURE, wcol, "poisson", rounds=rounds,
+                                    learning_rate=learning_rate, max_depth=max_depth, min_rows=min_rows,
+                                    valid=val, patience=patience, seed=seed)
     claims = clean.claim_policies(df).withColumn("avg_claim", average_claim("sev_total", "sev_count"))
     claims = training_weight(claims, cfg, "fremtpl2", out="_rw")
     sev = glm.fit_gamma_severity(features.design_frame(claims, enc, keep=["avg_claim", "sev_count", *(

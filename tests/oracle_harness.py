@@ -20,13 +20,16 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+STRICT = False
+
+
 def _norm(v):
     if v is None:
         return None
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return round(v, 6)
+        return v if STRICT else round(v, 6)
     if hasattr(v, "item"):
         return _norm(v.item())
     return v
@@ -59,6 +62,10 @@ def main(argv):
     sys.path.insert(0, ".")
     from __spark_entry__ import oracle_sql, queries
     from riskloom.session import build_session
+    global STRICT
+    if "--strict" in argv:
+        STRICT = True
+        argv = [a for a in argv if a != "--strict"]
     sf = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
     names = argv[2:] or list(oracle_sql())
     spark = build_session()

@@ -3,8 +3,11 @@ import pytest
 
 from __spark_entry__ import oracle_sql, queries
 from tests.conftest import SF_SMALL
+from tests import oracle_harness
 from tests.oracle_harness import compare
 
+oracle_harness.STRICT = True     # doubles must be bit-identical, not just close
+
 ORACLE = sorted(oracle_sql())
 
 

@@ -72,3 +72,27 @@ def test_quote_validation_defaults_first(spark):
     reasons = {r.IDpol: r.reasons for r in bad.collect()}
     assert reasons == {1: ["DrivAge<16"], 3: ["BonusMalus>350"]}
     assert valid.first().VehGas == "Regular" and valid.first().BonusMalus == 50
+
+
+def test_helper_columns(spark):
+    df = spark.createDataFrame([(150.0, 100.0, 0.5, float("nan")), (0.0, 0.0, 2e-7, 120.0), (None, 50.0, None, -3.0)],
+                               "pp double, med double, exp double, pct double")
+    r = df.select(columns.median_ratio("pp", "med").alias("ratio"),
+                  columns.clamp_percentile("pct").alias("clamped"),
+                  columns.floor_at("exp", 1e-6).alias("floored"),
+                  columns.rate_from_count(F.lit(1.0), "exp").alias("rate"),
+                  columns.exposure_offset("exp").alias("off")).collect()
+    assert r[0].ratio == 1.5 and r[1].ratio is None and r[2].ratio is None
+    assert [x.clamped for x in r] == [0.0, 100.0, 0.0]
+    assert r[1].floored == 1e-6 and r[2].floored is None
+    assert r[0].rate == 2.0 and r[1].rate == pytest.approx(1e6)
+    assert r[1].off == pytest.approx(-13.815510557964274)
+    assert columns.weight_product(None, None) is None
+
+
+def test_round_dp_half_away_from_zero(spark):
+    df = spark.createDataFrame([(2.5,), (-2.5,), (0.125,), (1.005,)], "x double")
+    got = [r[0] for r in df.select(columns.round_dp("x", 0)).collect()]
+    assert got == [3.0, -3.0, 0.0, 1.0]
+    got2 = [r[0] for r in df.select(columns.round_dp("x", 2)).collect()]
+    assert got2[2] == 0.13

@@ -360,6 +360,11 @@ def _split_encoded(spark, sf_dir):
 _FITTED: dict = {}
 
 
+def reset_fitted() -> None:
+    """Forget shared fitted models (the bench times every fit in full)."""
+    _FITTED.clear()
+
+
 def _poisson_gbm(spark, sf_dir):
     """The Poisson GBM of the fixture, fitted once per Spark application and
     data folder and shared by the queries that score with it."""

@@ -290,16 +290,12 @@ def q_design_matrix(spark, sf_dir):
     return d.withColumn("Density", r6("Density"))
 
 
-def _one_factor_levels(t, enc):
-    return t.select("Area").distinct()
-
-
 def q_poisson_glm_one_factor(spark, sf_dir):
     """M04/M06 with Area as the only factor: fitted claim rate per level."""
     t = training_frame(spark, sf_dir).cache()
     enc = features.fit_encoding(t, ["Area"], [])
     model = glm.fit_poisson_frequency(features.design_frame(t, enc, keep=["ClaimNb", "Exposure"]))
-    lv = features.design_frame(_one_factor_levels(t, enc), enc, keep=["Area"])
+    lv = features.design_frame(t.select("Area").distinct(), enc, keep=["Area"])
     return glm.predict_glm(model, lv, "rate").select("Area", r6("rate").alias("rate"))
 
 

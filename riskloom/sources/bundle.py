@@ -19,7 +19,6 @@ from pyspark.ml.regression import (DecisionTreeRegressionModel, GeneralizedLinea
                                    IsotonicRegressionModel)
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom import schema as S
 from riskloom.operators.boosting import BoostedModel
 from riskloom.operators.features import Encoding
 from riskloom.sources.tables import _exists
@@ -85,5 +84,3 @@ def load_engine(spark: SparkSession, path: str) -> Engine:
                   spark.read.parquet(f"{path}/market"), spark.read.parquet(f"{path}/cohorts"),
                   spark.read.parquet(f"{path}/factors"), loading)
 
-
-__all__ = ["Engine", "save_engine", "load_engine", "S"]

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.operators import attribution, boosting, features, glm, isotonic, metrics, ordered
+from riskloom.operators import attribution, boosting, features, glm, isotonic, metrics
 from riskloom.plans import catalog, engine
 from riskloom.sources.bundle import load_engine, save_engine
 from tests.conftest import SF_SMALL

@@ -23,3 +23,20 @@ def test_diagnosis_run_writes_bundle(spark):
     assert all(len(d) == 3 for d in rep.drivers)
     eng = load_engine(spark, path)
     assert eng.market.count() > 0 and eng.factors.count() > 0
+
+
+def test_boosting_run_metrics(spark):
+    m = runs.boosting_run(*catalog.raw_frames(spark, SF_SMALL), grid=[1.5, 1.9], folds=2, rounds=2,
+                          learning_rate=0.3).toPandas()
+    assert set(m.model) == {"glm", "gbm", "tweedie_gbm"}
+    assert m[m.metric == "tweedie_power"].value.iloc[0] in (1.5, 1.9)
+    assert np.isfinite(m.value).all()
+
+
+def test_evaluation_run_metrics(spark):
+    m, factors = runs.evaluation_run(*catalog.raw_frames(spark, SF_SMALL), rounds=2, learning_rate=0.3)
+    m = m.toPandas()
+    assert set(m.model) == {"raw_train", "isotonic_train", "raw_test", "isotonic_test"}
+    bal = m[(m.metric == "balance")].set_index("model").value
+    assert abs(bal["isotonic_train"] - 1) <= abs(bal["raw_train"] - 1) + 1e-9
+    assert 0 < factors.count() <= 8

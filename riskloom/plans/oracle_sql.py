@@ -446,3 +446,35 @@ FROM qband q LEFT JOIN factor_freq f ON f.feature = q.feature AND f.band = q.ban
 })
 
 SQL["csv_policy_scan"] = SQL["nominal_clean"]
+
+
+def rake_two_margins_sql(passes: int = 4) -> str:
+    """IPF on (sex, age band) cells, ``passes`` passes unrolled: per pass and
+    margin, every level's cells are scaled by target share / current share
+    (current shares over the cells' totals ``n · r``)."""
+    ctes = [AGE_TARGET_VALUES,
+            """sex_target(level, share) AS (VALUES ('Male', 0.566e0), ('Female', 0.434e0))""",
+            f"""rkr AS (SELECT IDpol, CASE WHEN VehPower % 2 = 0 THEN 'Male' ELSE 'Female' END AS g,
+                        {age_band_sql('DrivAge')} AS a FROM train)""",
+            """c0 AS (SELECT g, a, count(*) AS n, 1e0 AS r FROM rkr GROUP BY g, a)"""]
+    prev = "c0"
+    step = 0
+    for _ in range(passes):
+        for col, tgt in (("g", "sex_target"), ("a", "age_target")):
+            step += 1
+            cur = f"c{step}"
+            ctes.append(f"""{cur} AS (
+  SELECT c.g, c.a, c.n,
+         CASE WHEN t.share IS NOT NULL AND s.sh > 0 THEN c.r * (t.share / s.sh) ELSE c.r END AS r
+  FROM {prev} c
+  LEFT JOIN (SELECT {col} AS lv, sum(n * r) / (SELECT sum(n * r) FROM {prev}) AS sh
+             FROM {prev} GROUP BY {col}) s ON s.lv = c.{col}
+  LEFT JOIN {tgt} t ON t.level = c.{col})""")
+            prev = cur
+    ctes.append(f"""rk_mean AS (SELECT sum(n * r) / sum(n) AS m FROM {prev})""")
+    return with_fixtures(*TRAINING_CTES, *ctes) + f"""
+SELECT x.IDpol, x.g AS Gender, x.a AS AgeBand, round(c.r / (SELECT m FROM rk_mean), 6) AS rake_weight
+FROM rkr x JOIN {prev} c ON c.g = x.g AND c.a = x.a"""
+
+
+SQL["rake_two_margins"] = rake_two_margins_sql(4)

@@ -8,6 +8,7 @@ from riskloom import schema as S
 from riskloom.functions.bands import factor_bands
 from riskloom.functions.columns import coverage, gross_up, round_dp
 from riskloom.operators.market import cohort_lookup
+from riskloom.operators.market_index import indexed_percentile
 from riskloom.operators.ordered import risk_percentile
 
 DRIVER_TYPE = "array<struct<feature:string,effect:double>>"
@@ -16,13 +17,17 @@ DRIVER_TYPE = "array<struct<feature:string,effect:double>>"
 def build_report(rows: DataFrame, market: DataFrame, premium_col: str = "premium",
                  market_col: str = "premium", id_col: str = S.ID,
                  loading: dict | None = None, drivers_col: str | None = None,
-                 market_counted: bool = False) -> DataFrame:
+                 market_counted: bool = False, market_index=None) -> DataFrame:
     """X01 for every row: ``pure_premium`` (2 dp), ``risk_percentile``
     (1 dp, strict share of the market below), ``coverage`` struct from the
     unrounded percentile, ``drivers``, ``disclaimer`` and — only with a
-    loading — ``estimated_gross_premium`` (2 dp)."""
-    scored = risk_percentile(rows, market, premium_col, market_col, id_col, out="_pct",
-                             counted=market_counted)
+    loading — ``estimated_gross_premium`` (2 dp).  With ``market_index``
+    (a ``MarketIndex``) the percentile reads only the touched market ranges."""
+    if market_index is not None:
+        scored = indexed_percentile(rows, market_index, premium_col, id_col, out="_pct")
+    else:
+        scored = risk_percentile(rows, market, premium_col, market_col, id_col, out="_pct",
+                                 counted=market_counted)
     drivers = F.col(drivers_col) if drivers_col else F.array().cast(DRIVER_TYPE)
     cols = {
         "pure_premium": round_dp(premium_col, 2),
@@ -47,11 +52,12 @@ def band_map() -> "F.Column":
 def diagnose(rows: DataFrame, market: DataFrame, cohorts: DataFrame | None,
              premium_col: str = "premium", market_col: str = "premium", id_col: str = S.ID,
              loading: dict | None = None, drivers_col: str | None = None,
-             min_count: int = S.COHORT_MIN_COUNT, market_counted: bool = False) -> DataFrame:
+             min_count: int = S.COHORT_MIN_COUNT, market_counted: bool = False,
+             market_index=None) -> DataFrame:
     """X02 over a whole table of policies or quotes: the report (X01), the
     cohort (D05, when cohort statistics exist) and the row's bands."""
     rep = build_report(rows, market, premium_col, market_col, id_col, loading, drivers_col,
-                       market_counted)
+                       market_counted, market_index)
     if cohorts is not None:
         rep = cohort_lookup(rep, cohorts, min_count=min_count)
         rep = rep.withColumn("cohort", F.when(F.col("cohort_level").isNotNull(), F.struct(

@@ -4,7 +4,8 @@
 validation (F03) → premium → the batch diagnosis (X02) against the bundle
 tables (market, cohorts).  The operator is stateless, so there is no
 watermark; ``foreachBatch`` is needed because the risk percentile is an
-ordered (non-time) window over the market, which streams do not allow.
+ordered (non-time) window over the market, which streams do not allow; the
+market is indexed once so a micro-batch touches only its value ranges.
 
 Each micro-batch is written to ``<out>/valid/batch=<id>`` and
 ``<out>/quarantine/batch=<id>`` with overwrite, so a batch replayed after a
@@ -20,18 +21,17 @@ from pyspark.sql import functions as F
 
 from riskloom import schema as S
 from riskloom.operators import clean, report
-from riskloom.operators.ordered import market_counts
-from riskloom.session import cut_lineage
+from riskloom.operators.market_index import build_market_index
 from riskloom.sources.tables import read_quote_stream
 
 
-def diagnose_batch(quotes: DataFrame, market: DataFrame, cohorts: DataFrame | None,
+def diagnose_batch(quotes: DataFrame, market: DataFrame | None, cohorts: DataFrame | None,
                    scorer: Callable[[DataFrame], DataFrame], loading: dict | None = None,
-                   id_col: str = S.ID, market_counted: bool = False) -> tuple[DataFrame, DataFrame]:
+                   id_col: str = S.ID, market_index=None) -> tuple[DataFrame, DataFrame]:
     """The batch path shared by batch and stream: (reports, quarantine)."""
     valid, bad = clean.validate_quotes(quotes)
     reps = report.diagnose(scorer(valid), market, cohorts, "premium", "premium", id_col, loading,
-                           market_counted=market_counted)
+                           market_index=market_index)
     return reps, bad
 
 
@@ -39,14 +39,14 @@ def start_quote_stream(spark: SparkSession, source: str, out: str, checkpoint: s
                        market: DataFrame, cohorts: DataFrame | None,
                        scorer: Callable[[DataFrame], DataFrame], loading: dict | None = None,
                        max_files_per_trigger: int = 1, trigger: dict | None = None):
-    """Start T01; returns the ``StreamingQuery``.  The market is collapsed
-    to distinct (value, count) once, written to the shared checkpoint
-    folder, and every micro-batch is scored against that table."""
+    """Start T01; returns the ``StreamingQuery``.  The market is indexed
+    once (distinct values cut into ranges, written to the shared checkpoint
+    folder); each micro-batch reads only the ranges its quotes fall in."""
     stream = read_quote_stream(spark, source, max_files_per_trigger)
-    counts = cut_lineage(market_counts(market, "premium"))
+    index = build_market_index(market, "premium")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        reps, bad = diagnose_batch(batch, counts, cohorts, scorer, loading, market_counted=True)
+        reps, bad = diagnose_batch(batch, None, cohorts, scorer, loading, market_index=index)
         reps.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(
             f"{out}/valid/batch={batch_id}")
         bad.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(

@@ -46,7 +46,8 @@ MARKET_PROBS = {"q10": 0.10, "q25": 0.25, "median": 0.50, "q75": 0.75, "q90": 0.
 
 def market_summary(market: DataFrame, value: str = "premium") -> DataFrame:
     """``n, mean, median, min, max, p99, q10, q25, q50, q75, q90`` of the
-    finite market values (F05), rounded to 2 dp.  Empty -> one row, n = 0.
+    finite market values (F05), rounded to 2 dp; ``p99`` is the histogram's
+    upper clip (``min + 1`` when p99 <= min).  Empty -> one row, n = 0.
 
     Quantiles are exact (distributed selection); the moments are one
     partial+final aggregate."""
@@ -58,24 +59,30 @@ def market_summary(market: DataFrame, value: str = "premium") -> DataFrame:
     one = F.lit(1)
     j = moments.withColumn("_k", one).join(qs.withColumn("_k", one), "_k", "left")
     r2 = lambda c: round_dp(c, 2)
+    p99 = F.when(F.col("p99") <= F.col("min"), F.col("min") + 1.0).otherwise(F.col("p99"))
     return j.select(F.col("n").cast("long").alias("n"), r2("mean").alias("mean"),
                     r2("median").alias("median"), r2("min").alias("min"), r2("max").alias("max"),
-                    r2("p99").alias("p99"), r2("q10").alias("q10"), r2("q25").alias("q25"),
+                    round_dp(p99, 2).alias("p99"), r2("q10").alias("q10"), r2("q25").alias("q25"),
                     r2("median").alias("q50"), r2("q75").alias("q75"), r2("q90").alias("q90"))
 
 
-def histogram_range(market: DataFrame, value: str = "premium") -> tuple[float, float] | None:
-    """``(lo, hi)`` of the A09 histogram: min (the 0-quantile) and exact
-    p99; ``hi = lo + 1`` when p99 <= min.  Two scalars to the driver; None
-    when empty."""
+def histogram_range(market: DataFrame, value: str = "premium") -> tuple[float, float, float, float] | None:
+    """``(lo, hi, first, last)`` of the A09 histogram: values are clipped to
+    ``[lo, hi]`` = [min, exact p99] (``hi = lo + 1`` when p99 <= min) and the
+    equal-width edges span the clipped data, ``[lo, min(max, hi)]`` — one
+    value only: ``±0.5`` around it, as NumPy does.  Scalars only; None when
+    empty."""
     m = market.select(F.col(value).cast("double").alias("v")).filter(finite("v"))
-    q = exact_quantile_values(m, "v", {"p0": 0.0, "p99": 0.99})
-    lo, hi = q["p0"], q["p99"]
+    q = exact_quantile_values(m, "v", {"p0": 0.0, "p99": 0.99, "p100": 1.0})
+    lo, hi, mx = q["p0"], q["p99"], q["p100"]
     if lo is None:
         return None
     if hi <= lo:
         hi = lo + 1.0
-    return float(lo), float(hi)
+    first, last = lo, min(mx, hi)
+    if first == last:
+        first, last = first - 0.5, last + 0.5
+    return float(lo), float(hi), float(first), float(last)
 
 
 def histogram_edges(lo: float, hi: float, bins: int) -> list[float]:
@@ -85,14 +92,17 @@ def histogram_edges(lo: float, hi: float, bins: int) -> list[float]:
     return [lo + i * step for i in range(bins)] + [hi]
 
 
-def with_bin(df: DataFrame, v, lo: float, hi: float, bins: int, out: str = "bin") -> DataFrame:
-    """D07 / A09 bin of a value: bin ``i`` holds ``edge_i <= x < edge_i+1``
-    for ``x`` clipped to ``[lo, hi]`` (the top edge belongs to the last bin,
-    values below ``lo`` to bin 0) — the same bins as ``numpy.histogram``.
-    Written as a flat count of interior edges at or below ``x`` (one
-    comparison per edge, codegen-friendly)."""
+def with_bin(df: DataFrame, v, lo: float, hi: float, bins: int, out: str = "bin",
+             first: float | None = None, last: float | None = None) -> DataFrame:
+    """D07 / A09 bin of a value: ``x`` = value clipped to ``[lo, hi]``; bin
+    ``i`` holds ``edge_i <= x < edge_i+1`` over the edges of ``[first, last]``
+    (default ``[lo, hi]``), the top edge in the last bin, values below the
+    first edge in bin 0 — the bins of ``numpy.histogram``.  Written as a
+    flat count of interior edges at or below ``x`` (codegen-friendly)."""
+    first = lo if first is None else first
+    last = hi if last is None else last
     x = F.least(F.greatest(v, F.lit(lo)), F.lit(hi))
-    edges = histogram_edges(lo, hi, bins)[1:-1]
+    edges = histogram_edges(first, last, bins)[1:-1]
     idx = sum((F.when(x >= F.lit(e), 1).otherwise(0) for e in edges), F.lit(0))
     return df.withColumn(out, idx.cast("int"))
 
@@ -106,11 +116,11 @@ def market_histogram(market: DataFrame, value: str = "premium", bins: int = 30)
     rng = histogram_range(market, value)
     if rng is None:
         return spark.createDataFrame([], "bin int, lo_edge double, hi_edge double, count long")
-    lo, hi = rng
+    lo, hi, first, last = rng
     m = market.select(F.col(value).cast("double").alias("v")).filter(finite("v"))
-    counts = with_bin(m, F.col("v"), lo, hi, bins).groupBy("bin").agg(
+    counts = with_bin(m, F.col("v"), lo, hi, bins, first=first, last=last).groupBy("bin").agg(
         F.count(F.lit(1)).alias("count"))
-    e = histogram_edges(lo, hi, bins)
+    e = histogram_edges(first, last, bins)
     seq = spark.createDataFrame([(i, e[i], e[i + 1]) for i in range(bins)],
                                 "bin int, lo_edge double, hi_edge double")
     return (seq.join(F.broadcast(counts), "bin", "left")
@@ -127,8 +137,9 @@ def market_position(quotes: DataFrame, market: DataFrame, premium_col: str = "pr
     rng = histogram_range(market, value)
     if rng is None:
         return quotes.withColumn("market_bin", F.lit(None).cast("int"))
-    lo, hi = rng
-    return with_bin(quotes, F.col(premium_col).cast("double"), lo, hi, bins, "market_bin")
+    lo, hi, first, last = rng
+    return with_bin(quotes, F.col(premium_col).cast("double"), lo, hi, bins, "market_bin",
+                    first=first, last=last)
 
 
 def cohort_stats(df: DataFrame, premium_col: str = "premium", age_col: str = "DrivAge",

@@ -112,9 +112,10 @@ MARKET_CTES = [
   FROM cb WHERE ab IS NOT NULL GROUP BY ab
   UNION ALL
   SELECT 'overall', NULL, NULL, CAST(count(*) AS BIGINT), round(avg(pp), 2), round(median(pp), 2) FROM cb)""",
-    """hr AS (SELECT min(v) AS lo,
-                 CASE WHEN quantile_cont(v, 0.99) <= min(v) THEN min(v) + 1 ELSE quantile_cont(v, 0.99) END AS hi
-          FROM m)""",
+    """hr0 AS (SELECT min(v) AS lo, max(v) AS mx,
+                  CASE WHEN quantile_cont(v, 0.99) <= min(v) THEN min(v) + 1 ELSE quantile_cont(v, 0.99) END AS hi
+           FROM m)""",
+    """hr AS (SELECT lo, hi FROM hr0)""",
 ]
 
 
@@ -198,7 +199,8 @@ SELECT IDpol, DrivAge, BonusMalus,
 FROM qd""",
     "market_summary": with_fixtures(*MARKET_CTES) + """
 SELECT CAST(count(*) AS BIGINT) AS n, round(avg(v), 2) AS mean, round(quantile_cont(v, 0.5), 2) AS median,
-       round(min(v), 2) AS min, round(max(v), 2) AS max, round(quantile_cont(v, 0.99), 2) AS p99,
+       round(min(v), 2) AS min, round(max(v), 2) AS max,
+       round(CASE WHEN quantile_cont(v, 0.99) <= min(v) THEN min(v) + 1 ELSE quantile_cont(v, 0.99) END, 2) AS p99,
        round(quantile_cont(v, 0.1), 2) AS q10, round(quantile_cont(v, 0.25), 2) AS q25,
        round(quantile_cont(v, 0.5), 2) AS q50, round(quantile_cont(v, 0.75), 2) AS q75,
        round(quantile_cont(v, 0.9), 2) AS q90

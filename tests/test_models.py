@@ -144,3 +144,19 @@ def test_market_stats_histogram(spark):
     assert (h.sort_values("bin")["count"].to_numpy() == ref).all()
     s = market.market_summary(df, "premium").first()
     assert s.n == 1000 and s.median == pytest.approx(500.0)
+
+
+@pytest.mark.parametrize("vals", [[5.0] * 50, [5.0] * 199 + [9.0], [1.0] * 150 + [2.0, 3.0] * 25])
+def test_histogram_degenerate_markets(spark, vals):
+    from riskloom.operators import market
+    df = spark.createDataFrame(pd.DataFrame({"premium": vals}))
+    h = market.market_histogram(df, "premium", 30).toPandas().sort_values("bin")
+    m = np.asarray(vals)
+    lo, hi = m.min(), np.quantile(m, .99)
+    if hi <= lo:
+        hi = lo + 1
+    ref, edges = np.histogram(np.clip(m, lo, hi), bins=30)
+    assert (h["count"].to_numpy() == ref).all()
+    assert np.allclose(h.lo_edge.to_numpy(), np.round(edges[:-1], 2))
+    s = market.market_summary(df, "premium").first()
+    assert s.p99 == round(hi, 2)

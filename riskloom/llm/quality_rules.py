@@ -27,7 +27,7 @@ from math import log, log1p
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import crc_of_id, match_key, text_of, words_of, written
+from riskloom.llm.common import match_key, text_of, words_of, written
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20

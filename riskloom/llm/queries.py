@@ -4,8 +4,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from riskloom.llm import quality_rules
+from riskloom.llm import bpe, mixing, quality_classifier, quality_rules, simhash, syncmers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,32 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
              "base_failed", "kept")
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), with_ids=False)
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    comp = simhash.near_components(table(spark, sf_dir, "documents"))
+    return comp.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.edited_neighbours(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op6_mixing": op6_mixing,
+    "op8_bpe": op8_bpe,
+    "op9_simhash": op9_simhash,
+    "op10_syncmers": op10_syncmers,
 }

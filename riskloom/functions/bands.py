@@ -1,5 +1,5 @@
-"""Banding (P10–P15) and the named-transform registry used by raking
-(P16 value map, P17 identity)."""
+"""Banding (P10–P15) and the named transforms of raking margins (P16 value
+map, P17 identity)."""
 from __future__ import annotations
 
 from itertools import chain
@@ -76,12 +76,18 @@ def identity(c: Column | str) -> Column:
     return col(c)
 
 
-# Named transforms: name -> (column, spec) -> column.  Built-ins only.
-TRANSFORMS = {
-    "age_band": lambda c, spec: age_band(c),
-    "value_map": lambda c, spec: value_map(c, spec.get("map", {})),
-    "identity": lambda c, spec: identity(c).cast("string"),
-}
+def transformed(name: str, c: Column | str, spec: dict) -> Column:
+    """The named transform of a raking margin, as a string level."""
+    match name:
+        case "age_band":
+            level = age_band(c)
+        case "value_map":
+            level = value_map(c, spec.get("map", {}))
+        case "identity":
+            level = identity(c)
+        case _:
+            raise KeyError(f"no transform is called {name!r}")
+    return level.cast("string")
 
 
 def band_order_rows() -> list[tuple[str, str, int]]:

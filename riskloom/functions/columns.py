@@ -88,7 +88,7 @@ def count_from_rate(rate: Column | str, exposure: Column | str) -> Column:
 def check_loading(expense_ratio: float, profit_margin: float) -> float:
     denom = 1.0 - expense_ratio - profit_margin
     if denom <= 0:
-        raise ValueError("expense_ratio + profit_margin must be < 1")
+        raise ValueError(f"expenses and profit take {expense_ratio + profit_margin:g} of the premium; it must be below 1")
     return denom
 
 

@@ -1,87 +1,85 @@
 """Re-weighting to population margins (G01–G04) and the margin builders
 from published statistics rows (A14–A17).
 
-IPF never touches rows while iterating: rows are first collapsed to
-**cells** — one per combination of margin levels, so the cell count is
-bounded by the product of the level counts, not by the data — and the
-passes run on the cells.  One broadcast join (null-safe, so rows in no
-target level keep their cell) brings the final factor back to the rows.
+A raked weight is the base weight times one factor per margin, and a factor
+depends on the row's level alone.  So the state of the iteration is one small
+map per margin (levels named by the target), never a weight per row: rows are
+collapsed once to the combinations of their levels, and a step is a grouped
+sum over that (distributed) cell table.  The finished factors go back to the
+rows as map lookups, without a join.
 """
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+from itertools import chain
+
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom import schema as S
-from riskloom.functions.bands import TRANSFORMS, stat_age_band
-from riskloom.functions.columns import round_dp
+from riskloom.functions.bands import stat_age_band, transformed
+from riskloom.functions.columns import round_dp, weight_product
 
-MAX_CELLS = 200_000
+Factors = dict[str, dict[str, float]]
 
 
-def _cells(df: DataFrame, cols: list[str], w0) -> list:
-    cells = df.groupBy(*cols).agg(F.sum(w0).alias("_w"), F.count(F.lit(1)).alias("_n"))
-    rows = cells.limit(MAX_CELLS + 1).collect()
-    if len(rows) > MAX_CELLS:
-        raise ValueError(f"raking cells exceed {MAX_CELLS}; margins have too many levels")
-    return rows
+def _factor(level: Column, factors: dict[str, float]) -> Column:
+    """A level's factor; 1 for a level the target does not name (or NULL)."""
+    pairs = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in factors.items()))
+    return F.coalesce(F.try_element_at(pairs, F.coalesce(level.cast("string"), F.lit(""))), F.lit(1.0))
+
+
+def _raked(weight: Column, factors: Factors, levels: dict[str, Column]) -> Column:
+    return reduce(lambda w, m: w * _factor(levels[m], factors[m]), factors, weight)
 
 
-def ipf_factors(cells: list, cols: list[str], margins: dict[str, dict], max_iter: int,
-                tol: float) -> tuple[np.ndarray, float]:
-    """Run IPF on cell weights; returns per-cell factors and the final
-    mean weight per row.  Per pass and margin: ``total`` once, then every
-    level with current share > 0 is scaled to its target."""
-    w0 = np.array([float(r["_w"] or 0.0) for r in cells])
-    n = np.array([int(r["_n"]) for r in cells])
-    w = w0.copy()
-    masks = {c: {lv: np.array([r[c] == lv for r in cells], dtype=bool) for lv in m}
-             for c, m in margins.items()}
+def margin_factors(cells: DataFrame, targets: dict[str, dict[str, float]], max_iter: int,
+                   tol: float) -> Factors:
+    """Iterative proportional fitting over ``cells`` (one string column per
+    margin and ``_w``).  A margin's step sums the current weight per level and
+    rescales each named level to its share; a pass that moved no share by
+    ``tol`` or more ends the loop.  Only sums per named level are collected."""
+    factors: Factors = {m: dict.fromkeys(t, 1.0) for m, t in targets.items()}
+    levels = {m: F.col(f"`{m}`") for m in targets}
     for _ in range(max_iter):
-        max_dev = 0.0
-        for c, targets in margins.items():
-            total = w.sum()
-            for lv, share in targets.items():
-                mk = masks[c][lv]
-                cur = w[mk].sum() / total
-                if cur > 0:
-                    w[mk] *= share / cur
-                    max_dev = max(max_dev, abs(share - cur))
-        if max_dev < tol:
+        gaps = [0.0]
+        for m, target in targets.items():
+            named = F.when(levels[m].isin(list(target)), levels[m])
+            held = {r["level"]: r["w"] or 0.0 for r in
+                    cells.groupBy(named.alias("level")).agg(F.sum(_raked(F.col("_w"), factors, levels)).alias("w"))
+                    .collect()}
+            whole = sum(held.values())
+            for level, share in target.items():
+                if held.get(level, 0.0) > 0 and whole > 0:
+                    gaps.append(abs(share - held[level] / whole))
+                    factors[m][level] *= share * whole / held[level]
+        if max(gaps) < tol:
             break
-    fac = np.where(w0 != 0, w / np.where(w0 != 0, w0, 1.0), 1.0)
-    mean = w.sum() / n.sum()
-    return fac, mean
+    return factors
 
 
 def rake(df: DataFrame, target_margins: dict[str, dict], weight_col: str | None = None,
          max_iter: int = S.RAKING_MAX_ITER, tol: float = S.RAKING_TOL,
          out: str = "rake_weight") -> DataFrame:
-    """IPF weights (mean 1) as column ``out``.  Empty margins and
-    margins whose column is absent are skipped (F08); none left -> the base
-    weight divided by its mean."""
-    w0 = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
-    margins = {c: m for c, m in target_margins.items() if m and c in df.columns}
-    if not margins:
-        mean = df.agg(F.avg(w0)).first()[0]
-        return df.withColumn(out, w0 / F.lit(mean))
-    cols = list(margins)
-    cells = _cells(df, cols, w0)
-    fac, mean = ipf_factors(cells, cols, margins, max_iter, tol)
-    spark = df.sparkSession
-    schema = ", ".join([f"`_k{i}` string" for i in range(len(cols))] + ["_f double"])
-    table = spark.createDataFrame(
-        [tuple(None if r[c] is None else str(r[c]) for c in cols) + (float(f / mean),)
-         for r, f in zip(cells, fac)], schema)
-    cond = None
-    for i, c in enumerate(cols):
-        e = df[c].cast("string").eqNullSafe(table[f"_k{i}"])
-        cond = e if cond is None else cond & e
-    # Factor back to rows — broadcast (cells are bounded) left join,
-    # null-safe so rows in no target level keep their row and factor.
-    joined = df.join(F.broadcast(table), cond, "left")
-    return joined.withColumn(out, w0 * F.col("_f")).drop(*[f"_k{i}" for i in range(len(cols))], "_f")
+    """IPF weights (mean 1) as column ``out``.  Margins without a target
+    or without their column are skipped (F08); none left -> the base weight
+    divided by its mean."""
+    base = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
+    targets = {c: {str(k): float(v) for k, v in t.items()}
+               for c, t in target_margins.items() if t and c in df.columns}
+    cells = df.groupBy(*[F.col(f"`{c}`").cast("string").alias(c) for c in targets]).agg(
+        F.sum(base).alias("_w"), F.count(F.lit(1)).alias("_n")).persist(StorageLevel.MEMORY_AND_DISK_DESER)
+    try:
+        factors = margin_factors(cells, targets, max_iter, tol)
+        total = cells.agg(F.sum(_raked(F.col("_w"), factors, {m: F.col(f"`{m}`") for m in targets})).alias("w"),
+                          F.sum("_n").alias("n")).first()
+    finally:
+        cells.unpersist()
+    mean = total["w"] / total["n"] if total["n"] and total["w"] else 1.0
+    # Each row looks its factors up
+    weight = _raked(base, factors, {m: F.col(f"`{m}`") for m in targets})
+    return df.withColumn(out, weight / F.lit(mean))
 
 
 def post_stratify(df: DataFrame, column: str, targets: dict[str, float],
@@ -100,61 +98,45 @@ DEFAULT_CONFIG = {
 }
 
 
-def margin_columns(df: DataFrame, dataset: str, cfg: dict = DEFAULT_CONFIG
-                   ) -> tuple[dict, dict]:
-    """G02 core: ``{margin: Column}`` from the dataset's mapping (named
-    transforms P10, P16, P17) and the applicable targets; unknown dataset
-    or missing column -> KeyError."""
-    ds = cfg.get("datasets", {}).get(dataset)
-    if not ds:
-        raise KeyError(f"raking.datasets.{dataset} is not configured")
-    target = cfg.get("target_margins", {})
-    cols, applicable = {}, {}
-    for margin, spec in ds.items():
-        src, transform, extra = spec
-        if src not in df.columns:
-            raise KeyError(f"[{dataset}] column '{src}' missing (margin={margin})")
-        cols[margin] = TRANSFORMS[transform](F.col(src), extra).cast("string")
-        applicable[margin] = target.get(margin, {})
-    return cols, applicable
-
-
-def prepare_dataset(df: DataFrame, dataset: str, cfg: dict = DEFAULT_CONFIG
-                    ) -> tuple[DataFrame, dict]:
-    """The mapped margin columns under each margin's name."""
-    cols, applicable = margin_columns(df, dataset, cfg)
-    return df.withColumns(cols), applicable
+def with_margins(df: DataFrame, dataset: str, cfg: dict, prefix: str) -> tuple[DataFrame, dict[str, dict]]:
+    """``df`` with one column ``prefix + margin`` per margin that the
+    configuration maps for ``dataset`` (named transforms P10, P16, P17), and
+    the targets under those names.  A dataset that is not configured, a source
+    column that ``df`` lacks and a margin without a target are errors."""
+    mapping = cfg.get("datasets", {}).get(dataset) or {}
+    targets = cfg.get("target_margins", {})
+    problems = [] if mapping else [f"no raking margins are configured for dataset {dataset!r}"]
+    problems += [f"margin {m!r} of {dataset!r} needs column {src!r}" for m, (src, _, _) in mapping.items()
+                 if src not in df.columns]
+    problems += [f"margin {m!r} of {dataset!r} has no target shares" for m in mapping if not targets.get(m)]
+    if problems:
+        raise KeyError("; ".join(problems))
+    mapped = {prefix + m: transformed(name, F.col(src), spec) for m, (src, name, spec) in mapping.items()}
+    return df.withColumns(mapped), {prefix + m: targets[m] for m in mapping}
 
 
 def rake_from_config(df: DataFrame, cfg: dict = DEFAULT_CONFIG, dataset: str | None = None,
                      out: str = "rake_weight") -> DataFrame:
-    """Disabled -> unit weights; else G02 + G01.  The mapped margin
-    columns are not kept."""
+    """Disabled -> unit weights; else G02 (with a dataset) and G01.  The
+    mapped margin columns are not kept."""
     if not cfg.get("enabled", False):
         return df.withColumn(out, F.lit(1.0))
-    kw = dict(max_iter=cfg.get("max_iter", S.RAKING_MAX_ITER), tol=float(cfg.get("tol", S.RAKING_TOL)))
-    if dataset:
-        cols, margins = margin_columns(df, dataset, cfg)
-        # Mapped columns live under temporary names so the caller's stay.
-        tmp = {m: f"__m_{m}" for m in margins}
-        mapped = df.withColumns({tmp[m]: cols[m] for m in margins})
-        res = rake(mapped, {tmp[m]: t for m, t in margins.items()}, out=out, **kw)
-        return res.drop(*tmp.values())
-    return rake(df, cfg.get("target_margins", {}), out=out, **kw)
+    options = {"max_iter": int(cfg.get("max_iter", S.RAKING_MAX_ITER)), "tol": float(cfg.get("tol", S.RAKING_TOL))}
+    if dataset is None:
+        return rake(df, cfg.get("target_margins", {}), out=out, **options)
+    mapped, targets = with_margins(df, dataset, cfg, "__margin_")
+    return rake(mapped, targets, out=out, **options).drop(*targets)
 
 
 def training_weight(df: DataFrame, cfg: dict | None = DEFAULT_CONFIG, dataset: str | None = "fremtpl2",
                     base_weight: str | None = None, out: str = "weight") -> DataFrame:
-    """Base weight × raking weight, re-raked on this subset (each
+    """Base weight × raking weight (P19), re-raked on this subset (each
     subset gets mean-1 raking weights).  No config and no base -> no weight
     column is added."""
-    if cfg is None:
-        if base_weight is None:
-            return df
-        return df.withColumn(out, F.col(base_weight).cast("double"))
-    r = rake_from_config(df, cfg, dataset, out="__rw")
-    w = F.col("__rw") if base_weight is None else F.col(base_weight).cast("double") * F.col("__rw")
-    return r.withColumn(out, w).drop("__rw")
+    raked = df if cfg is None else rake_from_config(df, cfg, dataset, out="__rw")
+    base = None if base_weight is None else F.col(base_weight).cast("double")
+    weight = weight_product(base, None if cfg is None else "__rw")
+    return df if weight is None else raked.withColumn(out, weight).drop("__rw")
 
 
 # ------------------------------------------------------------- margin builders
@@ -169,20 +151,24 @@ def read_stat_rows_checked(rows: DataFrame) -> DataFrame:
     return rows
 
 
+def _single(name: str, wanted: Column) -> Column:
+    """the count of the one row where ``wanted`` holds; NULL if there is
+    none, an error if there are several."""
+    return F.when(F.count_if(wanted) > 1, F.raise_error(F.lit(f"several rows for {name}")).cast("long")).otherwise(
+        F.max(F.when(wanted, F.col("DT").cast("long"))))
+
+
 def gender_shares(rows: DataFrame) -> DataFrame:
     """``Male``/``Female`` share of licence holders (3 dp) from the
     total row of each sex (F06)."""
-    male = F.first(F.when((F.col("C1_NM") == S.STAT_TOTAL) & (F.col("C2_NM") == S.STAT_MALE),
-                          F.col("DT").cast("long")), ignorenulls=True)
-    female = F.first(F.when((F.col("C1_NM") == S.STAT_TOTAL) & (F.col("C2_NM") == S.STAT_FEMALE),
-                            F.col("DT").cast("long")), ignorenulls=True)
-    g = rows.agg(male.alias("m"), female.alias("f"))
-    tot = F.col("m") + F.col("f")
-    return g.select(F.explode(F.array(
-        F.struct(F.lit("Gender").alias("margin"), F.lit("Male").alias("level"),
-                 round_dp(F.col("m") / tot, 3).alias("share")),
-        F.struct(F.lit("Gender").alias("margin"), F.lit("Female").alias("level"),
-                 round_dp(F.col("f") / tot, 3).alias("share")))).alias("r")).select("r.*")
+    totals = F.col("C1_NM") == S.STAT_TOTAL
+    g = rows.agg(*[_single(f"the total of {sex}", totals & (F.col("C2_NM") == code)).alias(sex)
+                   for sex, code in (("Male", S.STAT_MALE), ("Female", S.STAT_FEMALE))])
+    both = F.col("Male") + F.col("Female")
+    return g.select(F.explode(F.array(*[
+        F.struct(F.lit("Gender").alias("margin"), F.lit(sex).alias("level"),
+                 round_dp(F.try_divide(F.col(sex).cast("double"), both), 3).alias("share"))
+        for sex in ("Male", "Female")])).alias("r")).select("r.*")
 
 
 def age_shares(rows: DataFrame) -> DataFrame:
@@ -197,7 +183,7 @@ def age_shares(rows: DataFrame) -> DataFrame:
                .groupBy("level").agg(F.sum(F.col("DT").cast("long")).alias("dt")))
     j = F.broadcast(bands).join(age, "level", "left").withColumn("dt", F.coalesce("dt", F.lit(0)))
     whole = Window.partitionBy(F.lit(1))
-    j = j.withColumn("prop", round_dp(F.col("dt") / F.sum("dt").over(whole), 3))
+    j = j.withColumn("prop", round_dp(F.try_divide(F.col("dt").cast("double"), F.sum("dt").over(whole)), 3))
     j = j.withColumn("residual", round_dp(F.lit(1.0) - F.sum("prop").over(whole), 3))
     j = j.withColumn("rk", F.row_number().over(whole.orderBy(F.col("prop").desc(), F.col("ord"))))
     share = F.when((F.col("rk") == 1) & (F.col("residual") != 0),
@@ -208,20 +194,17 @@ def age_shares(rows: DataFrame) -> DataFrame:
 def vehicle_shares(rows: DataFrame) -> DataFrame:
     """Vehicle-type shares of all registrations and use shares of
     passenger cars (4 dp, no residual step)."""
-    def dt(itm, c2):
-        return F.first(F.when((F.col("ITM_NM") == itm) & (F.col("C2_NM") == c2),
-                              F.col("DT").cast("long")), ignorenulls=True)
-    aggs = [dt(S.VEHICLE_ALL, S.STAT_TOTAL).alias("total"), dt(S.VEHICLE_ALL, S.PASSENGER).alias("ptotal")]
-    aggs += [dt(S.VEHICLE_ALL, t).alias(f"t{i}") for i, t in enumerate(S.VEHICLE_TYPES)]
-    aggs += [dt(u, S.PASSENGER).alias(f"u{i}") for i, u in enumerate(S.PASSENGER_USES)]
-    g = rows.agg(*aggs)
-    items = [F.struct(F.lit("vehicle_type").alias("margin"), F.lit(t).alias("level"),
-                      round_dp(F.col(f"t{i}") / F.col("total"), 4).alias("share"))
-             for i, t in enumerate(S.VEHICLE_TYPES)]
-    items += [F.struct(F.lit("passenger_use").alias("margin"), F.lit(u).alias("level"),
-                       round_dp(F.col(f"u{i}") / F.col("ptotal"), 4).alias("share"))
-              for i, u in enumerate(S.PASSENGER_USES)]
-    return g.select(F.explode(F.array(*items)).alias("r")).select("r.*")
+    cells = {"total": (S.VEHICLE_ALL, S.STAT_TOTAL), "ptotal": (S.VEHICLE_ALL, S.PASSENGER)}
+    cells |= {f"t{i}": (S.VEHICLE_ALL, t) for i, t in enumerate(S.VEHICLE_TYPES)}
+    cells |= {f"u{i}": (u, S.PASSENGER) for i, u in enumerate(S.PASSENGER_USES)}
+    g = rows.agg(*[_single(f"{itm} / {c2}", (F.col("ITM_NM") == itm) & (F.col("C2_NM") == c2)).alias(name)
+                   for name, (itm, c2) in cells.items()])
+    shares = [("vehicle_type", t, f"t{i}", "total") for i, t in enumerate(S.VEHICLE_TYPES)]
+    shares += [("passenger_use", u, f"u{i}", "ptotal") for i, u in enumerate(S.PASSENGER_USES)]
+    return g.select(F.explode(F.array(*[
+        F.struct(F.lit(margin).alias("margin"), F.lit(level).alias("level"),
+                 round_dp(F.try_divide(F.col(part).cast("double"), F.col(whole)), 4).alias("share"))
+        for margin, level, part, whole in shares])).alias("r")).select("r.*")
 
 
 def all_margins(gender_rows: DataFrame, age_rows: DataFrame, vehicle_rows: DataFrame) -> DataFrame:
@@ -230,11 +213,3 @@ def all_margins(gender_rows: DataFrame, age_rows: DataFrame, vehicle_rows: DataF
     return (gender_shares(read_stat_rows_checked(gender_rows))
             .unionByName(age_shares(read_stat_rows_checked(age_rows)))
             .unionByName(vehicle_shares(read_stat_rows_checked(vehicle_rows))))
-
-
-def margins_dict(margin_table: DataFrame) -> dict[str, dict[str, float]]:
-    """Bounded margin table -> ``{margin: {level: share}}`` for ``rake``."""
-    out: dict[str, dict[str, float]] = {}
-    for r in margin_table.limit(100_000).collect():
-        out.setdefault(r["margin"], {})[r["level"]] = r["share"]
-    return out

@@ -1,4 +1,4 @@
-"""Micro-cases of the reference's smoke tests, plus the bands."""
+"""Micro-cases of the cleaning rules, report columns and bands."""
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,45 +7,50 @@ from riskloom.operators import clean, ordered
 
 
 def test_consistency_micro_case(spark):
-    freq = spark.createDataFrame([(1, 1.0), (2, 0.0), (3, 1.0)], "IDpol long, ClaimNb double")
-    sev = spark.createDataFrame([(1, 100.0), (99, 50.0)], "IDpol long, ClaimAmount double")
+    # 11: two claims stated, two found; 12: two stated, one found; 13: one stated, none; 14: none stated, one found
+    freq = spark.createDataFrame([(11, 2.0), (12, 2.0), (13, 1.0), (14, 0.0), (15, None)], "IDpol long, ClaimNb double")
+    sev = spark.createDataFrame([(11, 8.0), (11, 3.5), (12, 1.0), (14, 6.0), (40, 2.0), (41, 2.0), (None, 9.0)],
+                                "IDpol long, ClaimAmount double")
     r = clean.consistency_report(freq, sev).first().asDict()
-    assert r == {"n_policies": 3, "n_claim_records": 2, "n_mismatched_policies": 1, "n_orphan_claims": 1}
+    assert r == {"n_policies": 5, "n_claim_records": 7, "n_mismatched_policies": 2, "n_orphan_claims": 3}
 
 
 def test_severity_aggregate_micro_case(spark):
-    sev = spark.createDataFrame([(1, 100.0), (1, 50.0), (2, 200.0), (None, 7.0), (3, None)],
+    sev = spark.createDataFrame([(21, 0.25), (22, None), (21, 4.5), (None, 7.0), (21, None), (23, 31.0)],
                                 "IDpol long, ClaimAmount double")
     got = {r["IDpol"]: (r["sev_total"], r["sev_count"]) for r in clean.aggregate_severity(sev).collect()}
-    assert got == {1: (150.0, 2), 2: (200.0, 1), 3: (0.0, 0)}
+    assert got == {21: (4.75, 2), 22: (0.0, 0), 23: (31.0, 1)}
 
 
 def test_coverage_tier_and_gross_up(spark):
-    df = spark.createDataFrame([(95.0,), (70.0,), (69.99,), (30.0,), (0.0,)], "p double")
+    df = spark.createDataFrame([(29.999,), (30.0,), (52.0,), (69.999,), (70.0,), (100.0,)], "p double")
     tiers = [r[0] for r in df.select(columns.coverage("p")["tier"]).collect()]
-    assert tiers == ["high_risk", "high_risk", "standard", "standard", "low_risk"]
-    g = spark.createDataFrame([(700.0,)], "pp double").select(columns.gross_up("pp")).first()[0]
-    assert g == pytest.approx(1000.0) and g > 700.0
+    assert tiers == ["low_risk", "standard", "standard", "standard", "high_risk", "high_risk"]
+    g = spark.createDataFrame([(330.0,)], "pp double").select(columns.gross_up("pp", 0.3, 0.1)).first()[0]
+    assert g == pytest.approx(550.0)
     with pytest.raises(ValueError):
-        columns.gross_up("pp", 0.7, 0.4)
+        columns.gross_up("pp", 0.6, 0.4)
 
 
 def test_quote_strip(spark):
-    df = spark.createDataFrame([("'Diesel'", "'C'", "B1", '"R24" ')], "VehGas string, Area string, VehBrand string, Region string")
+    df = spark.createDataFrame([("'Regular'", '"E"', " 'B12'", "R82")], "VehGas string, Area string, VehBrand string, Region string")
     r = df.select(*[columns.strip_quotes(c).alias(c) for c in df.columns]).first()
-    assert (r.VehGas, r.Area, r.VehBrand, r.Region) == ("Diesel", "C", "B1", "R24")
+    assert (r.VehGas, r.Area, r.VehBrand, r.Region) == ("Regular", "E", "B12", "R82")
 
 
-def test_gini_of_perfect_prediction(spark):
-    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate([0, 0, 1, 1, 5])], "IDpol long, y double")
-    g = ordered.gini_parts(df.withColumn("p", F.col("y")), "y", "p")
-    assert g["gini"] > 0.9
+def test_gini_by_hand(spark):
+    """Four rows, outcomes 3 and 1 at the top of the perfect order: the curve
+    0.75, 1, 1, 1 has area 0.71875, the reversed prediction 0, 0, 0.25, 1."""
+    df = spark.createDataFrame([(1, 3.0, 1.0), (2, 1.0, 2.0), (3, 0.0, 3.0), (4, 0.0, 4.0)], "IDpol long, y double, p double")
+    g = ordered.gini_parts(df, "y", "p")
+    assert g["gini_perfect"] == pytest.approx(0.71875 - 0.5) and g["gini_raw"] == pytest.approx(0.1875 - 0.5)
+    assert ordered.gini_parts(df, "y", "y")["gini"] == pytest.approx(1.0)
 
 
 def test_age_bands(spark):
-    df = spark.createDataFrame([(a,) for a in [18, 25, 35, 45, 55, 65, 80, None]], "DrivAge int")
+    df = spark.createDataFrame([(a,) for a in [16, 19, 20, 29, 30, 39, 40, 59, 60, 69, 70, 101, None]], "DrivAge int")
     got = [r[0] for r in df.select(bands.age_band("DrivAge")).collect()]
-    assert got == ["<20", "20s", "30s", "40s", "50s", "60s", "70+", None]
+    assert got == ["<20", "<20", "20s", "20s", "30s", "30s", "40s", "50s", "60s", "60s", "70+", "70+", None]
 
 
 def test_bonus_and_vehage_bands(spark):

@@ -1,6 +1,7 @@
 """DuckDB SQL of the queries that SQL can express."""
 from __future__ import annotations
 
+from riskloom.llm import line_dedup, substring, warc
 from riskloom.llm.quality_rules import ALPHA_TOTAL, DELTA, GRID, MAX_REPEAT_PERCENT, MIN_WORDS, WINDOW
 
 W = r"'[^\x20\x09-\x0D]+'"
@@ -61,4 +62,63 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged"""
 
 
-SQL: dict[str, str] = {"op2_quality_rules": _quality_rules()}
+LINE_DEDUP = f"""
+WITH lines AS (
+  SELECT doc_id, i, x, trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS key
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x,
+               unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i FROM documents)),
+real AS (
+  SELECT doc_id, i, key, len(regexp_extract_all(key, {W})) AS words,
+         row_number() OVER (PARTITION BY doc_id ORDER BY i) AS s
+  FROM lines WHERE key <> ''),
+win AS (
+  SELECT doc_id, s, list(key) OVER w AS run, list(i) OVER w AS held, sum(words) OVER w AS words
+  FROM real
+  WINDOW w AS (PARTITION BY doc_id ORDER BY s ROWS BETWEEN CURRENT ROW AND {line_dedup.RUN - 1} FOLLOWING)),
+firsts AS (
+  SELECT *, min({{'d': doc_id, 's': s}}) OVER (PARTITION BY run) AS f
+  FROM win WHERE len(run) = {line_dedup.RUN} AND words >= {line_dedup.MIN_WORDS}),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(held) AS i FROM firsts
+  WHERE f.d <> doc_id OR s - f.s >= {line_dedup.RUN}),
+kept AS (
+  SELECT l.doc_id, string_agg(l.x, chr(10) ORDER BY l.i) AS text
+  FROM lines l ANTI JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id),
+n AS (SELECT doc_id, count(*) AS n_lines FROM real GROUP BY doc_id),
+r AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept ON d.doc_id = kept.doc_id
+LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN r ON d.doc_id = r.doc_id"""
+
+WARC = f"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, payload_bytes, sha256(h) AS payload_digest,
+       CASE WHEN payload_bytes >= {warc.MIN_REVISIT} AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= {warc.MIN_REVISIT} AND first <> page_id THEN first END AS refers_to
+FROM f"""
+
+SUBSTRING = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {W}) AS w FROM documents),
+win AS (
+  SELECT doc_id, p, w[p:p + {substring.WINDOW - 1}] AS k
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - {substring.WINDOW - 2})) AS p FROM w)),
+f AS (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY k) AS first FROM win),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(p, p + {substring.WINDOW})) AS p FROM f WHERE first < doc_id),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM w),
+kept AS (
+  SELECT word.doc_id, string_agg(x, ' ' ORDER BY word.p) AS t
+  FROM word ANTI JOIN gone ON word.doc_id = gone.doc_id AND word.p = gone.p GROUP BY word.doc_id),
+r AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(r.n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id LEFT JOIN r ON w.doc_id = r.doc_id"""
+
+SQL: dict[str, str] = {
+    "op1_line_dedup": LINE_DEDUP,
+    "op2_quality_rules": _quality_rules(),
+    "op4_warc": WARC,
+    "op7_substring_dedup": SUBSTRING,
+}

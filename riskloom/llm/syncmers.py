@@ -27,10 +27,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from riskloom.llm.common import written
 
@@ -114,14 +116,15 @@ def anchors(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K
     """(key, hash, pos): every anchor of every whole text."""
     kind = docs.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for key_, t in zip(b["k"], b["t"]):
-                h, at = anchors_of(t or "", k, s)
-                if len(h):
-                    yield pd.DataFrame({key: [key_] * len(h), "hash": h.view(np.int64), "pos": at})
+            found = [anchors_of(t or "", k, s) for t in b.column("t").to_pylist()]
+            own = pa.array(np.repeat(np.arange(len(found)), [len(h) for h, _ in found]))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("k").take(own), *(pa.array(np.concatenate([f[i].view(np.int64) for f in found]), pa.int64())
+                                            for i in (0, 1))], [key, "hash", "pos"])
 
-    return docs.select(docs[key].alias("k"), docs[text].alias("t")).mapInPandas(
+    return docs.select(docs[key].alias("k"), docs[text].alias("t")).mapInArrow(
         run, f"`{key}` {kind}, hash bigint, pos bigint")
 
 
@@ -143,34 +146,40 @@ def edited_neighbours(docs: DataFrame, text: str = "text") -> DataFrame:
     result = (f"doc_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, "
               "edited_fingerprint string, near_edited double, near_next double")
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    edged = f"{result}, part int, edge int, edge_text string"
+    out_schema, edged_schema = (to_arrow_schema(StructType.fromDDL(x)) for x in (result, edged))
+
+    def batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+        columns = zip(*rows) if rows else [[]] * len(schema)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema.names)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Complete rows, plus the first and last text of the range."""
         part = TaskContext.get().partitionId()
         last, first = None, None
         for b in batches:
             out = []
-            for key, t in zip(b["doc_id"], b["t"]):
+            for key, t in zip(b.column("doc_id").to_pylist(), b.column("t").to_pylist()):
                 sk = sketch_of(t)
                 if last is None:
                     first = (key, t)
                 else:
                     out.append((*_compare(*last, t, sk), part, 0, None))
                 last = (key, t, sk)
-            yield pd.DataFrame(out, columns=[*COLUMNS, "part", "edge", "edge_text"])
+            yield batch(out, edged_schema)
         if last is not None:
             blank = (None,) * 6
-            yield pd.DataFrame([(first[0], *blank, part, 1, first[1]), (last[0], *blank, part, 2, last[1])],
-                               columns=[*COLUMNS, "part", "edge", "edge_text"])
+            yield batch([(first[0], *blank, part, 1, first[1]), (last[0], *blank, part, 2, last[1])], edged_schema)
 
-    def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pd.DataFrame([_compare(k, t, sketch_of(t), f, sketch_of(f))
-                                for k, t, f in zip(b["doc_id"], b["t"], b["f"])], columns=COLUMNS)
+            yield batch([_compare(k, t, sketch_of(t), f, sketch_of(f)) for k, t, f in zip(
+                *(b.column(c).to_pylist() for c in ("doc_id", "t", "f")))], out_schema)
 
     rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("t"))
     ordered = (rows.repartitionByRange(F.col("doc_id").desc_nulls_last())
                .sortWithinPartitions(F.col("doc_id").desc_nulls_last(), F.xxhash64("t")))
-    walked = written(ordered.mapInPandas(walk, f"{result}, part int, edge int, edge_text string"), "syncmers")
+    walked = written(ordered.mapInArrow(walk, edged), "syncmers")
     # one pair of rows per range: each last text goes to the first text of the
     # following range, and the very last to the very first
     parts = walked.where("edge = 1").select("part")
@@ -179,4 +188,4 @@ def edited_neighbours(docs: DataFrame, text: str = "text") -> DataFrame:
     heads = walked.where("edge = 1").select(F.col("part").alias("to"), F.col("edge_text").alias("f"))
     tails = walked.where("edge = 2").select("part", "doc_id", F.col("edge_text").alias("t"))
     joined = tails.join(follow, "part").join(heads, "to").select("doc_id", "t", "f")
-    return walked.where("edge = 0").select(*COLUMNS).union(joined.mapInPandas(close, result))
+    return walked.where("edge = 0").select(*COLUMNS).union(joined.mapInArrow(close, result))

@@ -62,4 +62,9 @@ def test_odd_rows(spark, odd_documents, no_documents):
     assert syncmers.edited_neighbours(no_documents).count() == 0
     single = syncmers.edited_neighbours(odd_documents.where("doc_id = 1")).collect()
     assert len(single) == 1 and single[0].near_next == 1.0
-    assert syncmers.anchors(odd_documents).where("doc_id = 1").count() > 0
+    found = {(r.doc_id, r.hash, r.pos) for r in syncmers.anchors(odd_documents).collect()}
+    want = set()
+    for d in odd_documents.collect():
+        h, at = syncmers.anchors_of(d.text or "")
+        want |= {(d.doc_id, *x) for x in zip(h.view(np.int64).tolist(), at.tolist())}
+    assert found == want

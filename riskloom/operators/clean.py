@@ -84,6 +84,12 @@ def severity_clip_value(sev: DataFrame, q: float | None = S.SEVERITY_CLIP_QUANTI
     return exact_quantile_values(sev, amount_col, {"clip": q})["clip"]
 
 
+def cap_policies(freq: DataFrame, exposure_col: str = S.EXPOSURE, claim_col: str = S.CLAIM_NB,
+                 cap_claim_nb: float = S.CAP_CLAIM_NB, cap_exposure: float = S.CAP_EXPOSURE) -> DataFrame:
+    """Capped claim counts and exposures."""
+    return freq.withColumns({claim_col: cap(claim_col, cap_claim_nb), exposure_col: cap(exposure_col, cap_exposure)})
+
+
 def preprocess(freq: DataFrame, sev: DataFrame, id_col: str = S.ID,
                exposure_col: str = S.EXPOSURE, claim_col: str = S.CLAIM_NB,
                amount_col: str = S.AMOUNT, cap_claim_nb: float = S.CAP_CLAIM_NB,
@@ -95,8 +101,7 @@ def preprocess(freq: DataFrame, sev: DataFrame, id_col: str = S.ID,
     aggregation (A01) → left join (D01) → fills (P05) → pure premium (P06).
 
     ``clip_value`` overrides the quantile (e.g. a train-only threshold)."""
-    f = freq.withColumns({claim_col: cap(claim_col, cap_claim_nb),
-                          exposure_col: cap(exposure_col, cap_exposure)})
+    f = cap_policies(freq, exposure_col, claim_col, cap_claim_nb, cap_exposure)
     s = sev
     if drop_orphan_claims:
         ids = f.select(id_col)
@@ -126,14 +131,18 @@ def apply_quote_defaults(quotes: DataFrame) -> DataFrame:
 
 
 def quote_reasons(quotes: DataFrame) -> DataFrame:
-    """add ``reasons ARRAY<STRING>`` listing every range violation."""
+    """add ``reasons ARRAY<STRING>`` listing every type violation found
+    by the reader (``type_errors``, if there) and every range violation."""
     checks = []
     for c, (lo, hi) in S.QUOTE_RANGES.items():
         if lo is not None:
             checks.append(F.when(F.col(c) < lo, F.lit(f"{c}<{lo}")))
         if hi is not None:
             checks.append(F.when(F.col(c) > hi, F.lit(f"{c}>{hi}")))
-    return quotes.withColumn("reasons", F.array_compact(F.array(*checks)))
+    reasons = F.array_compact(F.array(*checks))
+    if "type_errors" not in quotes.columns:
+        return quotes.withColumn("reasons", reasons)
+    return quotes.withColumn("reasons", F.concat("type_errors", reasons)).drop("type_errors")
 
 
 def validate_quotes(quotes: DataFrame) -> tuple[DataFrame, DataFrame]:

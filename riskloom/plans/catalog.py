@@ -5,6 +5,8 @@ Doubles are rounded to 6 dp at the end (sums are order-dependent in the
 last digits); counts are BIGINT.  Column names equal the oracle SQL's."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +37,13 @@ def training_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.preprocess(freq, sev)
 
 
+def policy_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The policy side of the training table: coerced and capped, no claims
+    attached (for queries that never look at claims)."""
+    freq, _ = clean.coerce(*raw_frames(spark, sf_dir))
+    return clean.cap_policies(freq)
+
+
 def premium_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Policies with the analytic premium (the market for steps that must
     not depend on a fitted model)."""
@@ -51,7 +60,7 @@ def q_training_table(spark, sf_dir):
 
 
 def q_factor_frequency(spark, sf_dir):
-    return market.factor_frequency(training_frame(spark, sf_dir))
+    return market.factor_frequency(policy_frame(spark, sf_dir))
 
 
 def q_severity_aggregate(spark, sf_dir):
@@ -77,22 +86,96 @@ def q_nominal_clean(spark, sf_dir):
                        "VehBrand", "VehGas", "Area", "Region")
 
 
-def q_csv_policy_scan(spark, sf_dir):
-    """S01–S03 + P01/P02: the fixture tables written as header CSV, read
-    back with the declared raw schemas (numbers that may hold junk as
-    strings), then coerced and quote-stripped."""
-    import uuid
-    base = f"{ensure_checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}"
+#: Column order of the public policy file (not the order of the schema).
+CSV_ORDER = ["IDpol", "ClaimNb", "Exposure", "Area", "VehPower", "VehAge", "DrivAge", "BonusMalus", "VehBrand",
+             "VehGas", "Density", "Region"]
+
+
+def _scratch(spark, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _csv_frames(spark, sf_dir, policy_columns):
+    """The fixture tables written as header CSV and read back."""
+    base = _scratch(spark, "csv")
     pol, clm = raw_frames(spark, sf_dir)
-    pol.write.option("header", True).csv(f"{base}/policy.csv")
-    clm.select("IDpol", "ClaimAmount").write.option("header", True).csv(f"{base}/claim.csv")
-    freq, _ = clean.coerce(*tables.load_raw(spark, f"{base}/policy.csv", f"{base}/claim.csv"))
+    pol.select(*policy_columns).write.option("header", True).csv(f"{base}/policy.csv")
+    clm.select("ClaimAmount", "IDpol").write.option("header", True).csv(f"{base}/claim.csv")
+    return tables.load_raw(spark, f"{base}/policy.csv", f"{base}/claim.csv")
+
+
+def q_csv_policy_scan(spark, sf_dir):
+    """S01–S03 + P01/P02: header CSV in the public file's column order, read
+    by name with the raw types (numbers that may hold junk as strings), then
+    coerced and quote-stripped."""
+    freq, _ = clean.coerce(*_csv_frames(spark, sf_dir, CSV_ORDER))
     return freq.select("IDpol", "ClaimNb", r6("Exposure").alias("Exposure"),
-                       "VehBrand", "VehGas", "Area", "Region")
+                       "VehPower", "VehAge", "DrivAge", "BonusMalus", "VehBrand", "VehGas", "Area", "Region")
+
+
+def q_csv_claim_scan(spark, sf_dir):
+    """S02 + P01: the claim file, its columns in another order than declared."""
+    _, sev = clean.coerce(*_csv_frames(spark, sf_dir, CSV_ORDER))
+    return sev.groupBy("IDpol").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("ClaimAmount")).alias("amount"))
+
+
+def q_csv_missing_id(spark, sf_dir):
+    """A policy file without ids gets the row numbers 0..n-1; the other
+    columns stay in place (sums over all rows)."""
+    freq, _ = _csv_frames(spark, sf_dir, [c for c in CSV_ORDER if c != "IDpol"])
+    return freq.agg(F.count(F.lit(1)).alias("n"), F.min("IDpol").alias("first_id"), F.max("IDpol").alias("last_id"),
+                    F.count_distinct("IDpol").alias("n_ids"), F.sum("VehPower").alias("power"),
+                    F.sum("DrivAge").alias("age"), F.sum("BonusMalus").alias("bonus"))
+
+
+def malformed_quote_lines(quotes: DataFrame) -> DataFrame:
+    """The fixture's quotes as JSON lines, some of them spoilt: words and
+    fractions for whole numbers, whole numbers as text, no id, no JSON."""
+    kind = F.col("IDpol") % 7
+    fields = [F.col(c) for c in quotes.columns if c not in ("IDpol", "DrivAge", "VehPower")]
+    ident = F.when(kind != 4, F.col("IDpol")).alias("IDpol")
+    age = F.when(kind == 1, F.lit("abc")).when(kind == 2, F.concat(F.col("DrivAge").cast("string"), F.lit(".7"))).otherwise(
+        F.col("DrivAge").cast("string")).alias("DrivAge")
+    power = F.col("VehPower").alias("VehPower")
+    line = F.to_json(F.struct(ident, age, power, *fields))
+    return quotes.select(F.when(kind == 3, F.concat(F.lit("not json "), F.col("IDpol").cast("string")))
+                         .otherwise(line).alias("value"))
+
+
+def _reason_counts(bad: DataFrame, valid: DataFrame) -> DataFrame:
+    return (bad.groupBy(F.concat_ws(",", "reasons").alias("reasons")).agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("IDpol"), F.lit(0)).alias("ids"))
+        .unionByName(valid.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("IDpol"), F.lit(0)).alias("ids"))
+                     .withColumn("reasons", F.lit("valid"))))
+
+
+def q_malformed_quotes(spark, sf_dir):
+    """S06 + F03: malformed JSON lines are quarantined with their reasons."""
+    base = _scratch(spark, "quotes")
+    malformed_quote_lines(fx.quotes(fx.policies(spark, sf_dir))).write.text(base)
+    valid, bad = clean.validate_quotes(tables.read_quotes(spark, base))
+    return _reason_counts(bad, valid)
+
+
+def q_malformed_quote_stream(spark, sf_dir):
+    """T01 over the same malformed lines: the stream's quarantine and valid
+    output add up to the batch's."""
+    base = _scratch(spark, "quote-stream")
+    malformed_quote_lines(fx.quotes(fx.policies(spark, sf_dir))).repartition(3).write.text(f"{base}/in")
+    pf = premium_frame(spark, sf_dir).select("IDpol", "premium")
+    query = quotes_stream.start_quote_stream(
+        spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", cut_lineage(pf), None,
+        lambda d: d.withColumn("premium", fx.analytic_premium_col()))
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return _reason_counts(quotes_stream.read_stream_output(spark, f"{base}/out", "quarantine"),
+                          quotes_stream.read_stream_output(spark, f"{base}/out"))
 
 
 def q_factor_bands(spark, sf_dir):
-    t = training_frame(spark, sf_dir)
+    t = policy_frame(spark, sf_dir)
     return t.select("IDpol", *bands.factor_bands(prefix="band_"))
 
 
@@ -195,22 +278,22 @@ def q_auto_calibration(spark, sf_dir):
 
 
 def q_grouped_split(spark, sf_dir):
-    return ordered.split_label(training_frame(spark, sf_dir)).select("IDpol", "split")
+    return ordered.split_label(policy_frame(spark, sf_dir)).select("IDpol", "split")
 
 
 def q_grouped_kfold(spark, sf_dir):
-    return ordered.group_kfold(training_frame(spark, sf_dir)).select("IDpol", "fold")
+    return ordered.group_kfold(policy_frame(spark, sf_dir)).select("IDpol", "fold")
 
 
 def q_early_stopping_split(spark, sf_dir):
-    train, _ = ordered.grouped_split(training_frame(spark, sf_dir))
+    train, _ = ordered.grouped_split(policy_frame(spark, sf_dir))
     tr2, val = ordered.early_stopping_split(train)
     return (tr2.select("IDpol", F.lit("fit").alias("part"))
                .unionByName(val.select("IDpol", F.lit("validation").alias("part"))))
 
 
 def q_seeded_sample(spark, sf_dir):
-    return ordered.seeded_sample(training_frame(spark, sf_dir), 1000).select("IDpol", "ClaimNb")
+    return ordered.seeded_sample(policy_frame(spark, sf_dir), 1000).select("IDpol", "ClaimNb")
 
 
 def valid_quotes(spark, sf_dir):
@@ -259,28 +342,31 @@ def q_all_margins(spark, sf_dir):
 
 def q_post_stratify(spark, sf_dir):
     """Driver-age raking of the training table from the config."""
-    w = raking.rake_from_config(training_frame(spark, sf_dir), raking.DEFAULT_CONFIG, "fremtpl2")
+    w = raking.rake_from_config(policy_frame(spark, sf_dir), raking.DEFAULT_CONFIG, "fremtpl2")
     return w.select("IDpol", r6("rake_weight").alias("rake_weight"))
 
 
-RAKE_PASSES = 4
+def q_rake_mapped_gender(spark, sf_dir):
+    """G02 + P16: letters mapped to the levels of the gender target."""
+    t = fx.policies(spark, sf_dir).select("IDpol", F.when(F.col("VehPower") % 2 == 0, "M").otherwise("F").alias("Gender"))
+    w = raking.rake_from_config(t, raking.DEFAULT_CONFIG, "ausprivauto")
+    return w.select("IDpol", "Gender", r6("rake_weight").alias("rake_weight"))
 
 
 def q_rake_two_margins(spark, sf_dir):
     """G01 with two margins at once (sex and driver-age band, the config's
-    targets) and a fixed number of passes (``tol=0``): sex follows the
-    statistics rows' rule (VehPower even -> Male)."""
-    t = training_frame(spark, sf_dir).withColumns({
+    targets), iterated to convergence: sex follows the statistics rows' rule
+    (VehPower even -> Male)."""
+    t = policy_frame(spark, sf_dir).withColumns({
         "Gender": F.when(F.col("VehPower") % 2 == 0, "Male").otherwise("Female"),
         "AgeBand": bands.age_band("DrivAge")})
-    w = raking.rake(t, {"Gender": raking.S.GENDER_TARGET, "AgeBand": raking.S.DRIVAGE_TARGET},
-                    max_iter=RAKE_PASSES, tol=0.0)
+    w = raking.rake(t, {"Gender": raking.S.GENDER_TARGET, "AgeBand": raking.S.DRIVAGE_TARGET}, tol=1e-12)
     return w.select("IDpol", "Gender", "AgeBand", r6("rake_weight").alias("rake_weight"))
 
 
 def q_weight_summary(spark, sf_dir):
     """G04 + A18: raking weights re-raked on the training split."""
-    train, _ = ordered.grouped_split(training_frame(spark, sf_dir))
+    train, _ = ordered.grouped_split(policy_frame(spark, sf_dir))
     w = raking.training_weight(train, raking.DEFAULT_CONFIG, "fremtpl2")
     s = metrics.weight_summary(w, "weight")
     return s.select(*[r6(c).alias(c) for c in s.columns])
@@ -288,7 +374,7 @@ def q_weight_summary(spark, sf_dir):
 
 def q_design_matrix(spark, sf_dir):
     """GLM design columns of every training row (levels learnt)."""
-    t = training_frame(spark, sf_dir)
+    t = policy_frame(spark, sf_dir)
     enc = features.fit_encoding(t)
     d = features.design_columns(t, enc, keep=["IDpol"])
     return d.withColumn("Density", r6("Density"))
@@ -296,7 +382,7 @@ def q_design_matrix(spark, sf_dir):
 
 def q_poisson_glm_one_factor(spark, sf_dir):
     """M04/M06 with Area as the only factor: fitted claim rate per level."""
-    t = training_frame(spark, sf_dir).cache()
+    t = policy_frame(spark, sf_dir).cache()
     enc = features.fit_encoding(t, ["Area"], [])
     model = glm.fit_poisson_frequency(features.design_frame(t, enc, keep=["ClaimNb", "Exposure"]))
     lv = features.design_frame(t.select("Area").distinct(), enc, keep=["Area"])
@@ -333,7 +419,7 @@ def q_calibrated_premium(spark, sf_dir):
 def q_own_bands(spark, sf_dir):
     """Each valid quote's band per factor with the market frequency of
     that band (the band the report highlights)."""
-    freq = market.factor_frequency(training_frame(spark, sf_dir))
+    freq = market.factor_frequency(policy_frame(spark, sf_dir))
     ob = market.own_bands(valid_quotes(spark, sf_dir), freq)
     return ob.select("IDpol", "feature", "band", "ord", "n", "frequency")
 
@@ -441,8 +527,7 @@ def q_engine_diagnosis(spark, sf_dir):
 def q_stream_diagnosis(spark, sf_dir):
     """Quotes written as JSON files, read as a stream (one file per
     trigger), diagnosed per micro-batch against the policy market."""
-    import uuid
-    base = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = _scratch(spark, "stream")
     q = fx.quotes(fx.policies(spark, sf_dir))
     q.repartition(4, "IDpol").write.json(f"{base}/in")
     pf = premium_frame(spark, sf_dir)
@@ -468,6 +553,11 @@ QUERIES = {
     "orphan_claims": q_orphan_claims,
     "nominal_clean": q_nominal_clean,
     "csv_policy_scan": q_csv_policy_scan,
+    "csv_claim_scan": q_csv_claim_scan,
+    "csv_missing_id": q_csv_missing_id,
+    "malformed_quotes": q_malformed_quotes,
+    "malformed_quote_stream": q_malformed_quote_stream,
+    "rake_mapped_gender": q_rake_mapped_gender,
     "factor_bands": q_factor_bands,
     "quote_validation": q_quote_validation,
     "market_summary": q_market_summary,

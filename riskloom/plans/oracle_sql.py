@@ -447,10 +447,51 @@ SELECT q.IDpol, q.feature, q.band, f.ord, f.n, f.frequency
 FROM qband q LEFT JOIN factor_freq f ON f.feature = q.feature AND f.band = q.band""",
 })
 
-SQL["csv_policy_scan"] = SQL["nominal_clean"]
-
-
-def rake_two_margins_sql(passes: int = 4) -> str:
+SQL["csv_policy_scan"] = with_fixtures(UNCAPPED_CTE) + """
+SELECT IDpol, ClaimNb, round(Exposure, 6) AS Exposure, VehPower, VehAge, DrivAge, BonusMalus, VehBrand, VehGas,
+       Area, Region
+FROM fu"""
+
+SQL["csv_claim_scan"] = with_fixtures() + """
+SELECT IDpol, count(*) AS n, round(sum(ClaimAmount), 6) AS amount FROM claim GROUP BY IDpol"""
+
+SQL["csv_missing_id"] = with_fixtures() + """
+SELECT count(*) AS n, CAST(0 AS BIGINT) AS first_id, count(*) - 1 AS last_id, count(*) AS n_ids,
+       CAST(sum(VehPower) AS BIGINT) AS power, CAST(sum(DrivAge) AS BIGINT) AS age,
+       CAST(sum(BonusMalus) AS BIGINT) AS bonus
+FROM policy"""
+
+SQL["malformed_quotes"] = with_fixtures("""spoilt AS (
+  SELECT CASE WHEN IDpol % 7 NOT IN (3, 4) THEN IDpol END AS ident, IDpol % 7 AS kind,
+         CASE WHEN IDpol % 7 IN (1, 2, 3) THEN 40 ELSE coalesce(DrivAge, 40) END AS age,
+         CASE WHEN IDpol % 7 = 3 THEN 50 ELSE coalesce(BonusMalus, 50) END AS bonus,
+         IDpol % 7 <> 3 AND VehPower < 1 AS p0, IDpol % 7 <> 3 AND VehAge < 0 AS v0,
+         IDpol % 7 <> 3 AND Density < 0 AS d0, IDpol % 7 = 2 AND DrivAge IS NOT NULL AS fraction
+  FROM quote)""") + """
+SELECT CASE WHEN r = '' THEN 'valid' ELSE r END AS reasons, count(*) AS n,
+       CAST(coalesce(sum(ident), 0) AS BIGINT) AS ids
+FROM (SELECT ident, concat_ws(',', CASE WHEN kind = 1 OR fraction THEN 'DrivAge:type' END,
+                CASE WHEN kind = 4 THEN 'IDpol:missing' END, CASE WHEN kind = 3 THEN 'line' END,
+                CASE WHEN p0 THEN 'VehPower<1' END, CASE WHEN v0 THEN 'VehAge<0' END, CASE WHEN age < 16 THEN 'DrivAge<16' END,
+                CASE WHEN bonus < 50 THEN 'BonusMalus<50' END, CASE WHEN bonus > 350 THEN 'BonusMalus>350' END,
+                CASE WHEN d0 THEN 'Density<0' END) AS r
+      FROM spoilt)
+GROUP BY 1"""
+
+SQL["malformed_quote_stream"] = SQL["malformed_quotes"]
+
+SQL["rake_mapped_gender"] = with_fixtures("""g AS (
+  SELECT IDpol, CASE WHEN VehPower % 2 = 0 THEN 'M' ELSE 'F' END AS Gender FROM policy),
+gs AS (SELECT Gender, CAST(count(*) AS DOUBLE) AS n FROM g GROUP BY Gender)""") + """
+SELECT g.IDpol, g.Gender,
+       round(CASE WHEN g.Gender = 'M' THEN 0.566e0 ELSE 0.434e0 END * (SELECT sum(n) FROM gs) / gs.n
+             / (SELECT sum(CASE WHEN Gender = 'M' THEN 0.566e0 ELSE 0.434e0 END) FROM gs), 6) AS rake_weight
+FROM g JOIN gs ON g.Gender = gs.Gender"""
+
+SQL["stream_diagnosis"] = SQL["diagnosis_report"]
+
+
+def rake_two_margins_sql(passes: int) -> str:
     """IPF on (sex, age band) cells, ``passes`` passes unrolled: per pass and
     margin, every level's cells are scaled by target share / current share
     (current shares over the cells' totals ``n · r``)."""
@@ -458,14 +499,14 @@ def rake_two_margins_sql(passes: int = 4) -> str:
             """sex_target(level, share) AS (VALUES ('Male', 0.566e0), ('Female', 0.434e0))""",
             f"""rkr AS (SELECT IDpol, CASE WHEN VehPower % 2 = 0 THEN 'Male' ELSE 'Female' END AS g,
                         {age_band_sql('DrivAge')} AS a FROM train)""",
-            """c0 AS (SELECT g, a, count(*) AS n, 1e0 AS r FROM rkr GROUP BY g, a)"""]
+            """c0 AS MATERIALIZED (SELECT g, a, count(*) AS n, 1e0 AS r FROM rkr GROUP BY g, a)"""]
     prev = "c0"
     step = 0
     for _ in range(passes):
         for col, tgt in (("g", "sex_target"), ("a", "age_target")):
             step += 1
             cur = f"c{step}"
-            ctes.append(f"""{cur} AS (
+            ctes.append(f"""{cur} AS MATERIALIZED (
   SELECT c.g, c.a, c.n,
          CASE WHEN t.share IS NOT NULL AND s.sh > 0 THEN c.r * (t.share / s.sh) ELSE c.r END AS r
   FROM {prev} c
@@ -479,4 +520,4 @@ SELECT x.IDpol, x.g AS Gender, x.a AS AgeBand, round(c.r / (SELECT m FROM rk_mea
 FROM rkr x JOIN {prev} c ON c.g = x.g AND c.a = x.a"""
 
 
-SQL["rake_two_margins"] = rake_two_margins_sql(4)
+SQL["rake_two_margins"] = rake_two_margins_sql(50)

@@ -8,8 +8,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Default upper bound on rows for any side we broadcast.  Every broadcast in
-# the library goes through ``broadcast_if_small`` with an explicit bound.
+# Default upper bound on rows for a side whose size is checked before it is
+# broadcast (``broadcast_if_small``).
 BROADCAST_MAX_ROWS = 200_000
 
 
@@ -41,8 +41,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting names a shared, fault-tolerant folder and is
-    used as is.  Only when it is unset (tests, local runs) a fresh scratch
-    folder is created and set."""
+    used as is.  Only when it is unset in local mode (tests) a fresh scratch
+    folder is created and set; elsewhere an unset folder is an error, as no
+    machine's own disk would do."""
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         if not spark.sparkContext.getCheckpointDir():
@@ -51,6 +52,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="riskloom-ckpt-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)

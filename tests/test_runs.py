@@ -10,14 +10,18 @@ from tests.conftest import SF_SMALL
 
 def test_baseline_run_metrics(spark):
     m = runs.baseline_run(*catalog.raw_frames(spark, SF_SMALL)).toPandas()
-    assert set(m.metric) == {"freq_poisson_deviance", "freq_gini", "sev_gamma_deviance", "pp_gini"}
+    assert set(m[m.model == "glm"].metric) == {"freq_poisson_deviance", "freq_gini", "sev_gamma_deviance", "pp_gini"}
+    data = m[m.model == "data"].set_index("metric").value
+    assert data["n_policies"] > 0 and data["n_repeated_ids"] == 0 and "n_orphan_claims" in data
     assert np.isfinite(m.value).all()
 
 
 def test_diagnosis_run_writes_bundle(spark):
     path = f"{spark.conf.get('spark.checkpoint.dir')}/bundle-{uuid.uuid4().hex}"
-    rep = runs.diagnosis_run(*catalog.raw_frames(spark, SF_SMALL), path, n_examples=5, rounds=3,
-                             learning_rate=0.3).toPandas()
+    rep, checked = runs.diagnosis_run(*catalog.raw_frames(spark, SF_SMALL), path, n_examples=5, rounds=3,
+                                      learning_rate=0.3)
+    rep = rep.toPandas()
+    assert checked.count() == 5
     assert len(rep) == 5
     assert rep.risk_percentile.between(0, 100).all()
     assert all(len(d) == 3 for d in rep.drivers)
@@ -28,7 +32,7 @@ def test_diagnosis_run_writes_bundle(spark):
 def test_boosting_run_metrics(spark):
     m = runs.boosting_run(*catalog.raw_frames(spark, SF_SMALL), grid=[1.5, 1.9], folds=2, rounds=2,
                           learning_rate=0.3).toPandas()
-    assert set(m.model) == {"glm", "gbm", "tweedie_gbm"}
+    assert set(m.model) == {"data", "glm", "gbm", "tweedie_gbm"}
     assert m[m.metric == "tweedie_power"].value.iloc[0] in (1.5, 1.9)
     assert np.isfinite(m.value).all()
 
@@ -36,7 +40,7 @@ def test_boosting_run_metrics(spark):
 def test_evaluation_run_metrics(spark):
     m, factors = runs.evaluation_run(*catalog.raw_frames(spark, SF_SMALL), rounds=2, learning_rate=0.3)
     m = m.toPandas()
-    assert set(m.model) == {"raw_train", "isotonic_train", "raw_test", "isotonic_test"}
+    assert set(m.model) == {"data", "raw_train", "isotonic_train", "raw_test", "isotonic_test"}
     bal = m[(m.metric == "balance")].set_index("model").value
     assert abs(bal["isotonic_train"] - 1) <= abs(bal["raw_train"] - 1) + 1e-9
     assert 0 < factors.count() <= 8

@@ -33,6 +33,44 @@ def test_csv_scan_coerces_junk(spark, base):
         tables.load_raw(spark, f"{base}/nope.csv", f"{base}/sev.csv")
 
 
+def test_csv_is_read_by_name(spark, base):
+    import os
+    os.makedirs(base, exist_ok=True)
+    head = "Exposure,DrivAge,Area,IDpol,VehAge,VehPower,ClaimNb,Region,VehGas,VehBrand,Density,BonusMalus,Note"
+    with open(f"{base}/p.csv", "w") as f:
+        f.write(head + "\n0.25,33,D,8,4,7,1,R31,Diesel,B3,420,64,x\n0.75,old,A,9,1,5,0,R53,Regular,B10,30,50,\n")
+    with open(f"{base}/c.csv", "w") as f:
+        f.write("ClaimAmount,IDpol\n12.5,8\n")
+    freq, sev = tables.load_raw(spark, f"{base}/p.csv", f"{base}/c.csv")
+    r = {x.IDpol: x for x in freq.collect()}
+    assert (r[8].DrivAge, r[8].VehAge, r[8].VehPower, r[8].BonusMalus, r[8].Area) == (33, 4, 7, 64, "D")
+    assert r[9].DrivAge is None and "Note" not in freq.columns and sev.first().IDpol == 8
+    # the Parquet names fall back to the CSV files when both exist
+    assert tables.load_raw(spark, f"{base}/p.parquet", f"{base}/c.parquet")[0].count() == 2
+    with open(f"{base}/noid.csv", "w") as f:
+        f.write(head.replace("IDpol,", "") + "\n0.25,33,D,4,7,1,R31,Diesel,B3,420,64,x\n0.5,34,E,2,6,0,R31,Diesel,B3,4,70,x\n")
+    ids = tables.load_raw(spark, f"{base}/noid.csv", f"{base}/c.csv")[0].collect()
+    assert sorted((x.IDpol, x.DrivAge, x.Area) for x in ids) == [(0, 33, "D"), (1, 34, "E")]
+    with open(f"{base}/short.csv", "w") as f:
+        f.write("IDpol,ClaimNb\n1,2\n")
+    with pytest.raises(ValueError, match="lacks"):
+        tables.load_raw(spark, f"{base}/short.csv", f"{base}/c.csv")
+
+
+def test_malformed_quotes_are_quarantined(spark, base):
+    import os
+    os.makedirs(f"{base}/bad", exist_ok=True)
+    lines = ['{"IDpol": 1, "DrivAge": "abc"}', '{"IDpol": 2, "DrivAge": 40.7}', "not json at all", '{"DrivAge": 30}',
+             '{"IDpol": 5, "DrivAge": "35", "BonusMalus": 60.0}', '{"IDpol": 6, "VehPower": null}',
+             '{"IDpol": 7, "Area": {"x": 1}}', '{"IDpol": 8, "VehAge": 99999999999}']
+    with open(f"{base}/bad/q.json", "w") as f:
+        f.write("\n".join(lines) + "\n")
+    valid, bad = clean.validate_quotes(tables.read_quotes(spark, f"{base}/bad"))
+    assert sorted((r.IDpol, r.DrivAge, r.BonusMalus, r.VehPower) for r in valid.collect()) == [(5, 35, 60, 6), (6, 40, 50, 6)]
+    reasons = sorted(r.reasons for r in bad.collect())
+    assert reasons == [["Area:type"], ["DrivAge:type"], ["DrivAge:type"], ["IDpol:missing"], ["VehAge:type"], ["line"]]
+
+
 def test_dense_row_ids(spark):
     df = spark.range(0, 1000, numPartitions=7).select((F.col("id") * 3).alias("v"))
     out = tables.with_row_id(df).collect()

@@ -27,8 +27,9 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -195,21 +196,21 @@ def codec(path: str, pattern: str) -> Codec:
     return _codecs[path, pattern]
 
 
-def _chunks(batches: Iterator[pd.DataFrame], text: str, limit: int) -> Iterator[pd.DataFrame]:
-    """Rows regrouped to chunks of about ``limit`` characters."""
+def _chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Table]:
+    """Rows regrouped to chunks of about ``limit`` characters of ``t``."""
     held, chars = [], 0
     for batch in batches:
         start = 0
-        for i, n in enumerate(batch[text].str.len().fillna(0).astype(int)):
+        for i, n in enumerate(pc.fill_null(pc.utf8_length(batch.column("t")), 0).to_pylist()):
             chars += n
             if chars >= limit:
-                held.append(batch.iloc[start:i + 1])
-                yield pd.concat(held) if len(held) > 1 else held[0]
+                held.append(batch.slice(start, i + 1 - start))
+                yield pa.Table.from_batches(held)
                 held, chars, start = [], 0, i + 1
-        if start < len(batch):
-            held.append(batch.iloc[start:])
+        if start < batch.num_rows:
+            held.append(batch.slice(start))
     if held:
-        yield pd.concat(held) if len(held) > 1 else held[0]
+        yield pa.Table.from_batches(held)
 
 
 def encode_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None,
@@ -222,20 +223,22 @@ def encode_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", p
     schema = f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     schema += ", ids array<bigint>" if with_ids else ""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        for chunk in _chunks(batches, "t", chunk_chars):
-            encoded = c.encode(chunk["t"].tolist())
-            out = pd.DataFrame({
-                key: chunk["k"].to_numpy(),
-                "n_tokens": [len(x) for x in encoded],
-                "ids_sha256": [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in encoded],
-                "decoded_sha256": [hashlib.sha256(c.decode(x)).hexdigest() for x in encoded]})
+        for chunk in _chunks(batches, chunk_chars):
+            encoded = c.encode(chunk.column("t").to_pylist())
+            columns = {
+                key: chunk.column("k").combine_chunks(),
+                "n_tokens": pa.array([len(x) for x in encoded], pa.int64()),
+                "ids_sha256": pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in encoded]),
+                "decoded_sha256": pa.array([hashlib.sha256(c.decode(x)).hexdigest() for x in encoded])}
             if with_ids:
-                out["ids"] = [x.astype(np.int64) for x in encoded]
-            yield out
+                ends = np.concatenate(([0], np.cumsum([len(x) for x in encoded])))
+                columns["ids"] = pa.ListArray.from_arrays(
+                    pa.array(ends, pa.int32()), pa.array(np.concatenate(encoded).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return docs.select(docs[key].alias("k"), docs[text].alias("t")).mapInPandas(run, schema)
+    return docs.select(docs[key].alias("k"), docs[text].alias("t")).mapInArrow(run, schema)
 
 
 def decode_documents(encoded: DataFrame, ids: str = "ids", key: str = "doc_id", path: str | None = None,
@@ -244,11 +247,11 @@ def decode_documents(encoded: DataFrame, ids: str = "ids", key: str = "doc_id",
     path = path or public_tokenizers.path(RANKS)
     kind = encoded.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for b in batches:
-            yield pd.DataFrame({key: b["k"].to_numpy(),
-                                "payload": [c.decode(np.asarray(x)) if x is not None else b"" for x in b["i"]]})
+            payload = pa.array([c.decode(np.array(x or [], np.int64)) for x in b.column("i").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("k"), payload], [key, "payload"])
 
-    return encoded.select(encoded[key].alias("k"), encoded[ids].alias("i")).mapInPandas(
+    return encoded.select(encoded[key].alias("k"), encoded[ids].alias("i")).mapInArrow(
         run, f"`{key}` {kind}, payload binary")

@@ -2,13 +2,13 @@
 D01–D03)."""
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom import schema as S
 from riskloom.functions.columns import cap, pure_premium, strip_quotes, to_double
 from riskloom.operators.quantiles import exact_quantile_values
+from riskloom.session import cut_lineage
 
 
 def coerce(freq: DataFrame, sev: DataFrame, id_col: str = S.ID,
@@ -107,7 +107,7 @@ def preprocess(freq: DataFrame, sev: DataFrame, id_col: str = S.ID,
         ids = f.select(id_col)
         s = s.join(ids, id_col, "left_semi")
     if clip_value is None and severity_clip_quantile:
-        s = s.persist(StorageLevel.MEMORY_AND_DISK_DESER)
+        s = cut_lineage(s)
         clip_value = severity_clip_value(s, severity_clip_quantile, amount_col)
     if clip_value is not None:
         s = s.withColumn(amount_col, cap(amount_col, float(clip_value)))

@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 from riskloom import schema as S
 from riskloom.functions.columns import density_log, strip_quotes
 
-MAX_LEVELS = 10_000
-
 
 @dataclass
 class Encoding:
@@ -54,9 +52,6 @@ def fit_encoding(df: DataFrame, cat_cols=None, num_cols=None) -> Encoding:
     model = StringIndexer(inputCols=cat_cols, outputCols=[f"_{c}_i" for c in cat_cols],
                           stringOrderType="alphabetAsc", handleInvalid="keep").fit(d)
     labels = {c: list(lv) for c, lv in zip(cat_cols, model.labelsArray)}
-    for c, lv in labels.items():
-        if len(lv) > MAX_LEVELS:
-            raise ValueError(f"{c} has {len(lv)} levels (> {MAX_LEVELS})")
     return Encoding(cat_cols, num_cols, labels)
 
 

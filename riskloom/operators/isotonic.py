@@ -1,9 +1,10 @@
 """Isotonic recalibration (M11, M12) on MLlib's parallel pool-adjacent-
-violators: ties are pooled by weight, each partition pools its sorted
-range, the pooled blocks are merged once.  The final merge is bounded by
-the number of distinct predictions; ``bin_digits`` pre-aggregates by a
-rounded prediction (weighted mean of the label) when that number is too
-large.  Off by default, as the reference does not bin."""
+violators.  Equal predictions are pooled first (summed weight, weighted mean:
+the same fit), so a prediction that half of the rows share is one point, never
+one task's array.  MLlib merges the pooled blocks of all ranges once; their
+number is bounded by the distinct predictions, and ``bin_digits`` bounds it
+further by rounding the prediction (off by default, as the reference does not
+bin)."""
 from __future__ import annotations
 
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
@@ -18,9 +19,9 @@ def fit_isotonic(df: DataFrame, pred: str, y: str, weight: str | None = None,
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     d = df.select(F.col(pred).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"),
                   w.alias("_w"))
-    if bin_digits is not None:
-        d = (d.groupBy(F.round("_x", bin_digits).alias("_x"))
-              .agg((F.sum(F.col("_w") * F.col("_y")) / F.sum("_w")).alias("_y"), F.sum("_w").alias("_w")))
+    x = F.col("_x") if bin_digits is None else F.round("_x", bin_digits)
+    d = (d.filter(F.col("_w") > 0).groupBy(x.alias("_x"))
+          .agg((F.sum(F.col("_w") * F.col("_y")) / F.sum("_w")).alias("_y"), F.sum("_w").alias("_w")))
     iso = IsotonicRegression(featuresCol="_x", labelCol="_y", weightCol="_w", isotonic=True)
     return iso.fit(d)
 
@@ -32,9 +33,3 @@ def apply_isotonic(model: IsotonicRegressionModel, df: DataFrame, pred: str,
     m = model.copy()
     m.setFeaturesCol("_iso_x").setPredictionCol(out)
     return m.transform(df.withColumn("_iso_x", F.col(pred).cast("double"))).drop("_iso_x")
-
-
-def isotonic_points(model: IsotonicRegressionModel) -> list[tuple[float, float]]:
-    """Fitted ``(boundary, prediction)`` points (bounded by the pooled
-    blocks) — what the bundle stores."""
-    return list(zip(map(float, model.boundaries.toArray()), map(float, model.predictions.toArray())))

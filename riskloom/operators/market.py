@@ -2,15 +2,14 @@
 (A08–A11, D05, D07–D09, F05, F07, U01)."""
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom import schema as S
 from riskloom.functions.bands import age_band, band_order_rows, factor_bands
 from riskloom.functions.columns import cohort_label, finite, floor_at, median_ratio, round_dp
-from riskloom.operators.quantiles import exact_quantile_values, exact_quantiles, pivot_quantiles
-from riskloom.session import BROADCAST_MAX_ROWS
+from riskloom.operators.quantiles import counted_quantiles, pivot_quantiles, value_counts
+from riskloom.session import broadcast_if_small, cut_lineage
 
 
 def band_order(spark) -> DataFrame:
@@ -49,13 +48,13 @@ def market_summary(market: DataFrame, value: str = "premium") -> DataFrame:
     finite market values (F05), rounded to 2 dp; ``p99`` is the histogram's
     upper clip (``min + 1`` when p99 <= min).  Empty -> one row, n = 0.
 
-    Quantiles are exact (distributed selection); the moments are one
-    partial+final aggregate."""
-    m = market.select(F.col(value).cast("double").alias("v")).filter(finite("v")).persist(
-        StorageLevel.MEMORY_AND_DISK_DESER)
-    moments = m.agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"),
-                    F.min("v").alias("min"), F.max("v").alias("max"))
-    qs = pivot_quantiles(exact_quantiles(m, "v", MARKET_PROBS), [], list(MARKET_PROBS))
+    The market is collapsed to (value, count) once; moments and exact
+    quantiles both come from that table."""
+    counts = value_counts(market, value).filter(finite("_v"))
+    n = F.sum("_c")
+    moments = counts.agg(F.coalesce(n, F.lit(0)).alias("n"), F.try_divide(F.sum(F.col("_v") * F.col("_c")), n).alias("mean"),
+                         F.min("_v").alias("min"), F.max("_v").alias("max"))
+    qs = pivot_quantiles(counted_quantiles(counts, MARKET_PROBS), [], list(MARKET_PROBS))
     one = F.lit(1)
     j = moments.withColumn("_k", one).join(qs.withColumn("_k", one), "_k", "left")
     r2 = lambda c: round_dp(c, 2)
@@ -72,11 +71,12 @@ def histogram_range(market: DataFrame, value: str = "premium") -> tuple[float, f
     equal-width edges span the clipped data, ``[lo, min(max, hi)]`` — one
     value only: ``±0.5`` around it, as NumPy does.  Scalars only; None when
     empty."""
-    m = market.select(F.col(value).cast("double").alias("v")).filter(finite("v"))
-    q = exact_quantile_values(m, "v", {"p0": 0.0, "p99": 0.99, "p100": 1.0})
-    lo, hi, mx = q["p0"], q["p99"], q["p100"]
+    counts = value_counts(market, value).filter(finite("_v"))
+    ends = counts.agg(F.min("_v").alias("lo"), F.max("_v").alias("mx")).first()
+    lo, mx = ends["lo"], ends["mx"]
     if lo is None:
         return None
+    hi = counted_quantiles(counts, {"p99": 0.99}).first()["q_value"]
     if hi <= lo:
         hi = lo + 1.0
     first, last = lo, min(mx, hi)
@@ -97,14 +97,20 @@ def with_bin(df: DataFrame, v, lo: float, hi: float, bins: int, out: str = "bin"
     """D07 / A09 bin of a value: ``x`` = value clipped to ``[lo, hi]``; bin
     ``i`` holds ``edge_i <= x < edge_i+1`` over the edges of ``[first, last]``
     (default ``[lo, hi]``), the top edge in the last bin, values below the
-    first edge in bin 0 — the bins of ``numpy.histogram``.  Written as a
-    flat count of interior edges at or below ``x`` (codegen-friendly)."""
+    first edge in bin 0 — the bins of ``numpy.histogram``.  The index is
+    arithmetic, then moved by one where rounding put it across an edge."""
     first = lo if first is None else first
     last = hi if last is None else last
     x = F.least(F.greatest(v, F.lit(lo)), F.lit(hi))
-    edges = histogram_edges(first, last, bins)[1:-1]
-    idx = sum((F.when(x >= F.lit(e), 1).otherwise(0) for e in edges), F.lit(0))
-    return df.withColumn(out, idx.cast("int"))
+    step = (last - first) / bins
+    guess = F.least(F.greatest(F.floor((x - F.lit(first)) / F.lit(step)), F.lit(0)), F.lit(bins - 1))
+
+    def edge(i):
+        return F.when(i >= bins, F.lit(last)).otherwise(F.lit(first) + i.cast("double") * F.lit(step))
+
+    moved = F.when((guess > 0) & (x < edge(guess)), guess - 1).when(
+        (guess < bins - 1) & (x >= edge(guess + 1)), guess + 1).otherwise(guess)
+    return df.withColumn(out, moved.cast("int"))
 
 
 def market_histogram(market: DataFrame, value: str = "premium", bins: int = 30) -> DataFrame:
@@ -147,11 +153,12 @@ def cohort_stats(df: DataFrame, premium_col: str = "premium", age_col: str = "Dr
     """A10: count/mean/median of the premium by (age_band, Area), by
     age_band and overall — ``level, age_band, area, count, mean, median``.
 
-    One Expand (the grouping sets) feeds both the moments and the exact
-    medians.  Grouped levels drop rows whose data key is NULL; the overall
-    level keeps every row (its count is the row count)."""
+    One Expand (the grouping sets) collapses to (cohort, premium, count); the
+    moments and the exact medians both come from that table.  Grouped levels
+    drop rows whose data key is NULL; the overall level keeps every row (its
+    count is the row count)."""
     base = df.select(age_band(age_col).alias("ab"), F.col(area_col).cast("string").alias("ar"),
-                     F.col(premium_col).cast("double").alias("pp")).persist(StorageLevel.MEMORY_AND_DISK_DESER)
+                     F.col(premium_col).cast("double").alias("pp"))
     lv = F.explode(F.array(
         F.struct(F.lit("cell").alias("level"), F.col("ab").alias("age_band"), F.col("ar").alias("area")),
         F.struct(F.lit("age").alias("level"), F.col("ab").alias("age_band"),
@@ -164,10 +171,12 @@ def cohort_stats(df: DataFrame, premium_col: str = "premium", age_col: str = "Dr
                       | ((F.col("level") == "age") & F.col("ab").isNotNull())
                       | ((F.col("level") == "cell") & F.col("ab").isNotNull() & F.col("ar").isNotNull())))
     keys = ["level", "age_band", "area"]
-    moments = ex.groupBy(*keys).agg(
-        F.when(F.col("level") == "overall", F.count(F.lit(1))).otherwise(F.count("pp")).alias("count"),
-        F.avg("pp").alias("mean"))
-    med = pivot_quantiles(exact_quantiles(ex, "pp", {"median": 0.5}, keys=keys), keys, ["median"])
+    counts = value_counts(ex, "pp", keys)
+    priced = F.sum(F.when(F.col("_v").isNotNull(), F.col("_c")).otherwise(F.lit(0)))
+    moments = counts.groupBy(*keys).agg(
+        F.when(F.col("level") == "overall", F.sum("_c")).otherwise(priced).alias("count"),
+        F.try_divide(F.sum(F.col("_v") * F.col("_c")), priced).alias("mean"))
+    med = pivot_quantiles(counted_quantiles(counts, {"median": 0.5}, keys), keys, ["median"])
     on = [moments[k].eqNullSafe(med[k]) for k in keys]
     return (moments.join(med, on[0] & on[1] & on[2], "left")
                    .select(*[moments[k] for k in keys], F.col("count").cast("long").alias("count"),
@@ -179,28 +188,22 @@ def cohort_lookup(rows: DataFrame, stats: DataFrame, age_col: str = "DrivAge",
     """Each row's cohort — cell if it has ``>= min_count`` rows, else
     its age band if large enough, else the overall market (no minimum).
     Adds ``cohort_group, cohort_level, cohort_count, cohort_mean,
-    cohort_median``.  ``stats`` is bounded (≤ bands × areas + bands + 1
-    rows): its cell and band slices are broadcast after a size check, the
-    single overall row becomes three literals (no constant-key join)."""
-    # The statistics table is bounded: collect it once (with a size check)
-    # and join from local data, so it is not recomputed per use.
-    st = stats.select("level", "age_band", "area", F.col("count").cast("long").alias("count"),
-                      F.col("mean").cast("double").alias("mean"),
-                      F.col("median").cast("double").alias("median")).limit(BROADCAST_MAX_ROWS + 1).collect()
-    if len(st) > BROADCAST_MAX_ROWS:
-        raise ValueError("cohort statistics exceed the broadcast bound")
-    spark = rows.sparkSession
-    cell = F.broadcast(spark.createDataFrame(
-        [(r.age_band, r.area, r["count"], r.mean, r.median) for r in st if r.level == "cell"],
-        "_cab string, _car string, _cc long, _cm double, _cmed double"))
-    age = F.broadcast(spark.createDataFrame(
-        [(r.age_band, r["count"], r.mean, r.median) for r in st if r.level == "age"],
-        "_aab string, _ac long, _am double, _amed double"))
-    # The overall cohort is one row: its three numbers become literals.
-    ov = next((r for r in st if r.level == "overall"), None)
+    cohort_median``.
+
+    The statistics are written once and joined by cell and by band: broadcast
+    if small when checked, else a shuffle join that splits a hot cell.  The one
+    overall row becomes three literals (no constant-key join)."""
+    st = cut_lineage(stats.select("level", "age_band", "area", F.col("count").cast("long").alias("count"),
+                                  F.col("mean").cast("double").alias("mean"), F.col("median").cast("double").alias("median")))
+    cell = broadcast_if_small(st.where("level = 'cell'").select(
+        F.col("age_band").alias("_cab"), F.col("area").alias("_car"), F.col("count").alias("_cc"),
+        F.col("mean").alias("_cm"), F.col("median").alias("_cmed")))
+    age = broadcast_if_small(st.where("level = 'age'").select(
+        F.col("age_band").alias("_aab"), F.col("count").alias("_ac"), F.col("mean").alias("_am"), F.col("median").alias("_amed")))
+    ov = st.where("level = 'overall'").first()
     r = rows.withColumn("_ab", age_band(age_col)).withColumn("_ar", F.col(area_col).cast("string"))
-    r = (r.join(cell, (r["_ab"] == cell["_cab"]) & (r["_ar"] == cell["_car"]), "left")
-          .join(age, r["_ab"] == age["_aab"], "left")
+    r = (r.join(cell, (F.col("_ab") == F.col("_cab")) & (F.col("_ar") == F.col("_car")), "left")
+          .join(age, F.col("_ab") == F.col("_aab"), "left")
           .withColumns({"_oc": F.lit(ov["count"] if ov else None).cast("long"),
                         "_om": F.lit(ov["mean"] if ov else None).cast("double"),
                         "_omed": F.lit(ov["median"] if ov else None).cast("double")}))
@@ -228,7 +231,7 @@ def cohort_premium_ratio(rows: DataFrame, premium_col: str = "premium") -> DataF
 
 def own_bands(rows: DataFrame, freq: DataFrame, id_col: str = S.ID) -> DataFrame:
     """Each row's band per factor joined to the market frequency of
-    that band, with ``is_own`` flags — long table ``id, feature, band, ord,
+    that band — long table ``id, feature, band, ord,
     n, frequency``.  ``freq`` is the 30-row A11 table (broadcast)."""
     wide = rows.select(id_col, *[b.alias(f) for b, f in zip(factor_bands(), S.FACTORS)])
     long = wide.unpivot([id_col], S.FACTORS, "feature", "band")

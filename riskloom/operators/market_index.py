@@ -6,8 +6,8 @@ many small batches against the same market, so the market is indexed once:
 * distinct ``(value, count)`` rows are cut into value ranges by
   ``repartitionByRange`` and written to the shared checkpoint folder
   partitioned by range;
-* a range table (≤ ``n_ranges`` rows: lowest value, count before the range)
-  stays on the driver.
+* a range table (one row per ``rows_per_range`` distinct values: lowest value,
+  count before the range) stays on the driver.
 
 A batch then needs only the ranges its quotes fall in: each quote gets its
 range from the lowest values (``Bucketizer``, a JVM binary search), the
@@ -29,9 +29,7 @@ from pyspark.sql import functions as F
 from riskloom import schema as S
 from riskloom.functions.columns import finite
 from riskloom.operators.ordered import market_counts
-from riskloom.session import ensure_checkpoint_dir
-
-MAX_RANGES = 10_000
+from riskloom.session import cut_lineage, ensure_checkpoint_dir
 
 
 @dataclass
@@ -50,7 +48,7 @@ def build_market_index(market: DataFrame, value: str = "premium", n_ranges: int
     counts = market_counts(market, value)
     if n_ranges is None:
         n_distinct = counts.count()
-        n_ranges = max(1, min(MAX_RANGES, -(-n_distinct // rows_per_range)))
+        n_ranges = max(1, -(-n_distinct // rows_per_range))
     path = f"{ensure_checkpoint_dir(spark)}/market-index-{uuid.uuid4().hex}"
     (counts.repartitionByRange(n_ranges, "_v").withColumn("range", F.spark_partition_id())
            .write.partitionBy("range").parquet(path))
@@ -79,7 +77,8 @@ def indexed_percentile(rows: DataFrame, index: MarketIndex, value: str = "premiu
     else:
         ok = ok.withColumn("_rk", F.lit(0))
     ids = F.array(*[F.lit(i) for i in index.ids])
-    ok = ok.withColumn("range", F.element_at(ids, F.col("_rk") + 1)).cache()
+    ok = ok.withColumn("range", F.element_at(ids, F.col("_rk") + 1))
+    ok = cut_lineage(ok)          # one micro-batch, read three times below
     touched = [r[0] for r in ok.select("range").distinct().collect()]
     market = spark.read.parquet(index.path).filter(F.col("range").isin(touched))
     row_struct = F.struct(*[F.col(c) for c in rows.columns])

@@ -1,137 +1,99 @@
 """Order-dependent operators at scale.
 
 Global running sums (``ORDER BY`` without ``PARTITION BY``) put every row in
-one task.  ``exclusive_prefix`` instead cuts the total order into ranges
-when the data is large:
+one task.  ``exclusive_prefix`` cuts the total order into ranges instead,
+whatever the size:
 
 * ``repartitionByRange`` on the composite order key (Spark's range
-  partitioner: sampled bounds, JVM binary search; the tie-breaking id is
-  part of the key, so one value holding a third of the rows is still split
-  across ranges) — the partition id becomes the range number and the
-  assignment is persisted so every pass sees the same ranges;
-* one window partitioned by range computes the in-range running sums;
-* per-range totals (≤ ``max_parts`` numbers, collected) give the offsets,
-  added back as a literal array lookup.
-
-Small inputs (≤ ``rows_per_part`` rows) use one window directly.  Only
-per-range totals reach the driver.
+  partitioner: sampled bounds, JVM binary search; the tie-breaking id is part
+  of the key, so one value holding a third of the rows is still split across
+  ranges).  The rows are written with their range number to the shared folder
+  (a reliable checkpoint): sampling never runs again, so ranges and offsets
+  cannot drift apart, and a lost executor costs nothing;
+* one window per range computes the in-range running sums;
+* the totals of the ranges before it (one row per range, as many as the
+  session's shuffle partitions) are joined in.
+
+Nothing but single figures reaches the driver.
 """
 from __future__ import annotations
 
-import math
-from itertools import accumulate
-
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom import schema as S
 from riskloom.functions.columns import finite
+from riskloom.session import cut_lineage
 
 Order = list[tuple[str, bool]]  # (column, descending)
 
 
-def exclusive_prefix(df: DataFrame, order: Order, sums: dict[str, Column] | None = None,
-                     n_rows: int | None = None, rows_per_part: int = 4_000_000,
-                     max_parts: int = 1024) -> DataFrame:
-    """Add ``_rn`` (0-based global row number in ``order``) and, for each
-    ``name -> expr`` in ``sums``, ``name_before``: the sum of ``expr`` over
-    all rows strictly before this one.  ``order`` must be a total order
-    (end it with a unique id); its columns must be non-NULL numbers."""
+def exclusive_prefix(df: DataFrame, order: Order, sums: dict[str, Column] | None = None) -> DataFrame:
+    """Add ``_rn`` (0-based global row number in ``order``), ``_n`` (rows in
+    all) and, for each ``name -> expr`` in ``sums``, ``name_before``: the sum
+    of ``expr`` over all rows strictly before this one, and ``name_total``.
+    ``order`` must be a total order (end it with a unique id)."""
     sums = sums or {}
-    n = df.count() if n_rows is None else n_rows
-    n_parts = max(1, min(max_parts, math.ceil(n / rows_per_part)))
-    ordered = [F.col(c).desc() if desc else F.col(c).asc() for c, desc in order]
-    d = df.withColumns({f"_s_{k}": v.cast("double") for k, v in sums.items()})
-    if n_parts > 1:
-        d = (d.repartitionByRange(n_parts, *ordered).withColumn("_part", F.spark_partition_id())
-              .persist(StorageLevel.MEMORY_AND_DISK_DESER))
-    else:
-        d = d.withColumn("_part", F.lit(0))
-
-    k_parts = n_parts
-    cnt = [0] * k_parts
-    tot = {k: [0.0] * k_parts for k in sums}
-    if k_parts > 1:
-        # Per-range totals: at most ``max_parts`` rows reach the driver.
-        totals = d.groupBy("_part").agg(F.count(F.lit(1)).alias("_cnt"),
-                                        *[F.sum(f"_s_{k}").alias(k) for k in sums]).collect()
-        for r in totals:
-            cnt[r["_part"]] = r["_cnt"]
-            for k in sums:
-                tot[k][r["_part"]] = r[k] or 0.0
-
-    def offsets(vals):
-        return [0] + list(accumulate(vals))[:-1]
-
-    def lookup(vals, cast):
-        if k_parts == 1:
-            return F.lit(0).cast(cast)
-        return F.element_at(F.array(*[F.lit(v) for v in offsets(vals)]).cast(f"array<{cast}>"),
-                            F.col("_part") + 1)
-
-    w = Window.partitionBy("_part").orderBy(*ordered)
+    by = [F.col(c).desc() if desc else F.col(c).asc() for c, desc in order]
+    ranged = cut_lineage(df.withColumns({f"_s_{k}": v.cast("double") for k, v in sums.items()})
+                         .repartitionByRange(*by).withColumn("_part", F.spark_partition_id()))
+    per_range = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_cnt"), *[F.sum(f"_s_{k}").alias(f"_t_{k}") for k in sums])
+    every = Window.partitionBy(F.lit(1))
+    earlier = every.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_range.select(
+        "_part", F.coalesce(F.sum("_cnt").over(earlier), F.lit(0)).alias("_first"), F.sum("_cnt").over(every).alias("_n"),
+        *[F.coalesce(F.sum(f"_t_{k}").over(earlier), F.lit(0.0)).alias(f"_o_{k}") for k in sums],
+        *[F.sum(f"_t_{k}").over(every).alias(f"{k}_total") for k in sums])
+    w = Window.partitionBy("_part").orderBy(*by)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    out = d.withColumn("_rn", F.row_number().over(w) - 1 + lookup(cnt, "bigint"))
+    # one row per range: bounded by the number of shuffle partitions
+    out = ranged.join(F.broadcast(offsets), "_part").withColumn("_rn", F.row_number().over(w) - 1 + F.col("_first"))
     for k in sums:
-        out = out.withColumn(f"{k}_before", F.coalesce(F.sum(f"_s_{k}").over(before), F.lit(0.0))
-                             + lookup(tot[k], "double"))
-    return out.drop("_part", *[f"_s_{k}" for k in sums])
+        out = out.withColumn(f"{k}_before", F.coalesce(F.sum(f"_s_{k}").over(before), F.lit(0.0)) + F.col(f"_o_{k}"))
+    return out.drop("_part", "_first", *[f"_s_{k}" for k in sums], *[f"_o_{k}" for k in sums])
 
 
 # ------------------------------------------------------------------ Gini
 
-def gini_parts(df: DataFrame, y: str, p: str, w: str | None = None, id_col: str = S.ID,
-               rows_per_part: int = 4_000_000) -> dict[str, float]:
+def gini_parts(df: DataFrame, y: str, p: str, w: str | None = None, id_col: str = S.ID) -> dict[str, float]:
     """Exposure-weighted normalised Gini.  Order by prediction
     descending (ties by id); ``cw = cumsum(w)/W``, ``cy = cumsum(y·w)/ΣYW``;
     trapezoid area minus 0.5, the curve starting at the first point;
     divided by the same quantity ordered by ``y``.  ``W <= 0`` or
     ``ΣYW <= 0`` -> 0; perfect = 0 -> 0."""
     wcol = F.col(w).cast("double") if w else F.lit(1.0)
-    base = (df.select(F.col(id_col).alias("_id"), F.col(y).cast("double").alias("_y"),
-                      F.col(p).cast("double").alias("_p"), wcol.alias("_w"))
-              .withColumn("_yw", F.col("_y") * F.col("_w"))
-              .cache())
-    t = base.agg(F.count(F.lit(1)).alias("n"), F.sum("_w").alias("W"), F.sum("_yw").alias("YW")).first()
-    n, W, YW = t["n"], t["W"] or 0.0, t["YW"] or 0.0
-    if n == 0 or W <= 0 or YW <= 0:
-        base.unpersist()
+    base = cut_lineage(df.select(F.col(id_col).alias("_id"), F.col(y).cast("double").alias("_y"),
+                                 F.col(p).cast("double").alias("_p"), wcol.alias("_w"))
+                       .withColumn("_yw", F.col("_y") * F.col("_w")))
+
+    def area(col: str) -> float | None:
+        pre = exclusive_prefix(base, [(col, True), ("_id", False)], {"yw": F.col("_yw")})
+        t = pre.agg(F.sum(F.when(F.col("_rn") > 0, F.col("_w") * (F.col("yw_before") + F.col("_yw") / 2))).alias("s"),
+                    F.sum("_w").alias("W"), F.sum("_yw").alias("YW")).first()
+        return (t["s"] or 0.0) / (t["W"] * t["YW"]) - 0.5 if (t["W"] or 0) > 0 and (t["YW"] or 0) > 0 else None
+
+    raw = area("_p")
+    if raw is None:
         return {"gini_raw": 0.0, "gini_perfect": 0.0, "gini": 0.0}
-
-    def area(col: str) -> float:
-        pre = exclusive_prefix(base, [(col, True), ("_id", False)], {"yw": F.col("_yw")},
-                               n_rows=n, rows_per_part=rows_per_part)
-        s = pre.agg(F.sum(F.when(F.col("_rn") > 0, F.col("_w") * (F.col("yw_before") + F.col("_yw") / 2)))
-                    .alias("s")).first()["s"] or 0.0
-        return s / (W * YW) - 0.5
-
-    raw, perfect = area("_p"), area("_y")
-    base.unpersist()
+    perfect = area("_y")
     return {"gini_raw": raw, "gini_perfect": perfect, "gini": raw / perfect if perfect else 0.0}
 
 
-def normalized_gini(df: DataFrame, y: str, p: str, w: str | None = None, id_col: str = S.ID,
-                    **kw) -> DataFrame:
+def normalized_gini(df: DataFrame, y: str, p: str, w: str | None = None, id_col: str = S.ID) -> DataFrame:
     """W01 as a one-row DataFrame ``gini_raw, gini_perfect, gini``."""
-    g = gini_parts(df, y, p, w, id_col, **kw)
+    g = gini_parts(df, y, p, w, id_col)
     return df.sparkSession.createDataFrame([(g["gini_raw"], g["gini_perfect"], g["gini"])],
                                            "gini_raw double, gini_perfect double, gini double")
 
 
 # ---------------------------------------------------- rank-first quantile bins
 
-def rank_bins(df: DataFrame, p: str, n_bins: int, id_col: str = S.ID,
-              n_rows: int | None = None, **kw) -> DataFrame:
+def rank_bins(df: DataFrame, p: str, n_bins: int, id_col: str = S.ID) -> DataFrame:
     """``bin`` = quantile bin of the rank (method "first", ties by id)
     of ``p``: ``greatest(ceil((rank-1)·q/(n-1)) - 1, 0)``; n = 1 -> 0."""
-    df = df.persist(StorageLevel.MEMORY_AND_DISK_DESER)
-    n = df.count() if n_rows is None else n_rows
-    pre = exclusive_prefix(df, [(p, False), (id_col, False)], {}, n_rows=n, **kw)
-    if n <= 1:
-        return pre.withColumn("bin", F.lit(0)).drop("_rn")
-    b = F.ceil(F.col("_rn").cast("double") * n_bins / (n - 1)).cast("int") - 1
-    return pre.withColumn("bin", F.greatest(b, F.lit(0))).drop("_rn")
+    pre = exclusive_prefix(df, [(p, False), (id_col, False)])
+    place = F.ceil(F.try_divide(F.col("_rn").cast("double") * n_bins, F.col("_n") - 1)).cast("int") - 1
+    return pre.withColumn("bin", F.greatest(F.coalesce(place, F.lit(0)), F.lit(0))).drop("_rn", "_n")
 
 
 # ------------------------------------------------------------ risk percentile
@@ -145,40 +107,24 @@ def market_counts(market: DataFrame, market_value: str = "premium") -> DataFrame
 
 
 def risk_percentile(rows: DataFrame, market: DataFrame, value: str = "premium",
-                    market_value: str = "premium", id_col: str = S.ID,
-                    out: str = "risk_percentile", counted: bool = False, **kw) -> DataFrame:
+                    market_value: str = "premium", out: str = "risk_percentile",
+                    counted: bool = False) -> DataFrame:
     """``100 · count(m < v) / count(m)`` for every row against the
-    finite market values ``m`` (strict).
-
-    Market values are first collapsed to ``(value, count)`` — a hot value
-    becomes one row — then unioned with the rows and one exclusive running
-    count over ``(value, market-after-rows, id)`` gives the strict count
-    below each row.  The row's columns travel through the union in a
-    struct, so nothing joins back.  With ``counted=True`` ``market`` is
-    already ``market_counts(...)``."""
+    finite market values ``m`` (strict); NULL for a value that is not finite
+    and for an empty market.
+
+    Only distinct values are ordered: the market's with their counts and the
+    rows' with count 0.  The shares below come back to the rows by value; the
+    table of shares is written first, so a hot value is split in that join.
+    With ``counted=True`` ``market`` is already ``market_counts(...)``."""
     mk = market if counted else market_counts(market, market_value)
-    mk = mk.persist(StorageLevel.MEMORY_AND_DISK_DESER)
-    row_struct = F.struct(*[F.col(c) for c in rows.columns])
-    r = rows.select(F.col(value).cast("double").alias("_v"), F.lit(0).alias("_kind"),
-                    F.col(id_col).cast("long").alias("_id"), F.lit(0).cast("long").alias("_c"),
-                    row_struct.alias("_row")).persist(StorageLevel.MEMORY_AND_DISK_DESER)
-    m = mk.select("_v", F.lit(1).alias("_kind"), F.lit(0).cast("long").alias("_id"), "_c",
-                  F.lit(None).cast(r.schema["_row"].dataType).alias("_row"))
-    # NULL/NaN row values cannot be ordered: they get a NULL percentile.
-    ok = r.filter(finite("_v"))
-    both = ok.unionByName(m)
-    # One pass sizes both sides: rows to score, distinct market values and
-    # the market total.
-    sizes = {x["_kind"]: x for x in both.groupBy("_kind").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("_c").alias("c")).collect()}
-    m_total = (sizes[1]["c"] if 1 in sizes else 0) or 0
-    kw.setdefault("n_rows", sum(x["n"] for x in sizes.values()))
-    pre = exclusive_prefix(both, [("_v", False), ("_kind", False), ("_id", False)],
-                           {"below": F.col("_c")}, **kw)
-    pct = (F.lit(100.0) * F.col("below_before") / F.lit(float(m_total))) if m_total else F.lit(None)
-    scored = pre.filter(F.col("_kind") == 0).select("_row.*", pct.cast("double").alias(out))
-    missing = r.filter(~finite("_v")).select("_row.*", F.lit(None).cast("double").alias(out))
-    return scored.unionByName(missing)
+    asked = rows.select(F.col(value).cast("double").alias("_v")).filter(finite("_v")).distinct()
+    values = mk.select("_v", F.col("_c").cast("long").alias("_c")).unionByName(
+        asked.withColumn("_c", F.lit(0).cast("long"))).groupBy("_v").agg(F.sum("_c").alias("_c"))
+    pre = exclusive_prefix(values, [("_v", False)], {"below": F.col("_c")})
+    shares = cut_lineage(pre.select("_v", F.try_divide(F.lit(100.0) * F.col("below_before"), F.col("below_total")).alias(out)))
+    v = F.col(value).cast("double")
+    return (rows.withColumn("_v", F.when(finite(v), v)).join(shares, "_v", "left").drop("_v"))
 
 
 # ------------------------------------------------------------ splits, sample

@@ -3,150 +3,71 @@
 
 Spark's exact ``percentile`` aggregate keeps a count per distinct value and
 merges them in one buffer per group, which does not survive a group with
-billions of distinct values.  Here each wanted order statistic is found by
-selection:
-
-1. count per group (partial + final aggregation);
-2. if every group is small (``<= max_group_rows``) groups are ranked directly
-   with a window partitioned by the group;
-3. otherwise ``percentile_approx`` (a mergeable sketch with a rank error of
-   at most ``n/accuracy``) brackets the wanted ranks; rows below the bracket
-   are counted, rows inside it (a few per ``accuracy``) are ranked with the
-   window.  A bracket that misses its ranks falls back to the whole group,
-   so the answer is always exact.
-
-Only scalars (group count, largest group size) reach the driver; the
-per-group targets stay a DataFrame and are broadcast only under a checked
-bound.
+billions of distinct values.  Here every group is collapsed to ``(value,
+count)`` first (map-side combine, so a hot value is one row), one running
+count over ranges of ``(group, value)`` gives each value's ranks (a group of
+any size spreads over many ranges), and the values that hold the wanted ranks
+are picked by a join with a few targets per group.
 """
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.columns import finite
-from riskloom.session import BROADCAST_MAX_ROWS
-
-_G = "_qgrp"
+from riskloom.operators.ordered import exclusive_prefix
+from riskloom.session import broadcast_if_small, cut_lineage
+
+
+def value_counts(df: DataFrame, value: str | Column, keys: list[str] | tuple = ()) -> DataFrame:
+    """``keys…, _v, _c``: the distinct values of each group with their counts
+    (NULL and non-finite values included), materialised once."""
+    v = (F.col(value) if isinstance(value, str) else value).cast("double")
+    return cut_lineage(df.select(*keys, v.alias("_v")).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")))
+
+
+def counted_quantiles(counts: DataFrame, probs: dict[str, float], keys: list[str] | tuple = ()) -> DataFrame:
+    """Long table ``keys…, q_name, q_value`` from ``value_counts``: the exact
+    quantiles of the finite values (groups without any are absent)."""
+    keys = list(keys)
+    # NULL keys are told apart from every value by a flag that sorts with them
+    flags = [f"_null_{k}" for k in keys]
+    c = counts.filter(finite("_v")).withColumns({f: F.col(k).isNull() for f, k in zip(flags, keys)})
+    order = [(x, False) for pair in zip(flags, keys) for x in pair] + [("_v", False)]
+    ranked = cut_lineage(exclusive_prefix(c, order, {"c": F.col("_c")}).select(
+        *keys, "_v", F.col("c_before").cast("long").alias("_from"), F.col("_c").cast("long").alias("_c")))
+    groups = ranked.groupBy(*keys).agg(F.min("_from").alias("_first"), F.sum("_c").alias("_n"))
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("q_name"), F.lit(float(q)).alias("q"))
+                                 for name, q in probs.items()]))
+    targets = groups.select(*[F.col(k).alias(f"_t_{k}") for k in keys], "_first", "_n", wanted.alias("_p")).select(
+        "*", "_p.q_name", (F.col("_p.q") * (F.col("_n") - 1)).alias("_pos")).withColumn(
+        "_r0", F.floor("_pos").cast("long")).withColumn("_r1", F.least(F.col("_r0") + 1, F.col("_n") - 1)).drop("_p")
+    near = F.lit(True)
+    for k in keys:
+        near = near & ranked[k].eqNullSafe(targets[f"_t_{k}"])
+    start = F.col("_from") - F.col("_first")
 
+    def holds(rank: str) -> Column:
+        return (start <= F.col(rank)) & (F.col(rank) < start + F.col("_c"))
 
-def _on(left: DataFrame, right: DataFrame, keys):
-    """Null-safe equality of ``left[k]`` with the renamed ``right[_t_k]``."""
-    cond = None
-    for k in keys:
-        c = left[k].eqNullSafe(right[f"_t_{k}"])
-        cond = c if cond is None else cond & c
-    return cond
+    picked = ranked.join(broadcast_if_small(targets), near & (holds("_r0") | holds("_r1")))
+    found = picked.groupBy(*keys, "q_name", "_pos", "_r0").agg(
+        F.max(F.when(holds("_r0"), F.col("_v"))).alias("_v0"), F.max(F.when(holds("_r1"), F.col("_v"))).alias("_v1"))
+    return found.select(*keys, "q_name",
+                        (F.col("_v0") + (F.col("_pos") - F.col("_r0")) * (F.col("_v1") - F.col("_v0"))).alias("q_value"))
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float],
-                    keys: list[str] | tuple = (), max_group_rows: int = 4_000_000,
-                    accuracy: int | None = None) -> DataFrame:
+                    keys: list[str] | tuple = ()) -> DataFrame:
     """Long table ``keys…, q_name, q_value`` with the exact quantiles of
     ``value`` per group (NULL/NaN/inf values ignored; empty groups absent)."""
-    user_keys = list(keys)
-    keys = user_keys or [_G]
-    # The narrow projection is scanned by every pass: persist it once so
-    # the passes do not re-run the upstream plan (joins, aggregations).
-    data = (df.select(*(user_keys or [F.lit(0).alias(_G)]),
-                      F.col(value).cast("double").alias("_v")).filter(finite("_v"))
-              .persist(StorageLevel.MEMORY_AND_DISK_DESER))
-    counts = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).cache()
-    stats = counts.agg(F.max("_n").alias("m"), F.count(F.lit(1)).alias("g")).first()
-    max_n, n_groups = stats["m"] or 0, stats["g"]
-
-    prob_items = list(probs.items())
-    targets = (counts
-               .withColumn("_p", F.explode(F.array(*[
-                   F.struct(F.lit(i).alias("i"), F.lit(nm).alias("name"), F.lit(float(q)).alias("q"))
-                   for i, (nm, q) in enumerate(prob_items)])))
-               .select(*[F.col(k).alias(f"_t_{k}") for k in keys], "_n", F.col("_p.i").alias("_i"), F.col("_p.name").alias("q_name"),
-                       (F.col("_p.q") * (F.col("_n") - 1)).alias("_pos"))
-               .withColumn("_r0", F.floor("_pos").cast("long"))
-               .withColumn("_r1", F.least(F.col("_r0") + 1, F.col("_n") - 1)))
-    small = n_groups * len(prob_items) <= BROADCAST_MAX_ROWS
-
-    def bc(x):
-        return F.broadcast(x) if small else x
-
-    if max_n <= max_group_rows:
-        ranked = data.withColumn("_rank", F.row_number().over(
-            Window.partitionBy(*keys).orderBy("_v")) - 1)
-        t = bc(targets)
-        j = ranked.join(t, _on(ranked, t, keys)).select(
-            *keys, "_v", "_rank", "q_name", "_i", "_pos", "_r0", "_r1")
-    else:
-        acc = accuracy or int(min(1_000_000, max(10_000, 12 * max_n // max_group_rows)))
-        slack = 4.0 / acc
-        fracs = []
-        for _, q in prob_items:
-            fracs += [max(0.0, q - slack), min(1.0, q + slack)]
-        m = len(prob_items)
-        # Wide brackets: one row per group with lo_i / hi_i per quantile, so
-        # no data row is repeated per quantile.
-        approx = data.groupBy(*keys).agg(
-            F.percentile_approx("_v", F.array(*[F.lit(f) for f in fracs]), acc).alias("_pv"))
-        wide = approx.select(*[F.col(k).alias(f"_t_{k}") for k in keys],
-                             *[F.element_at("_pv", 2 * i + 1).alias(f"_lo{i}") for i in range(m)],
-                             *[F.element_at("_pv", 2 * i + 2).alias(f"_hi{i}") for i in range(m)])
-        t = bc(wide)
-        probe = data.join(t, _on(data, t, keys))
-        tkeys = [f"_t_{k}" for k in keys]
-        check = probe.groupBy(*tkeys).agg(
-            *[F.sum(F.when(F.col("_v") < F.col(f"_lo{i}"), 1).otherwise(0)).alias(f"_below{i}") for i in range(m)],
-            *[F.sum(F.when(F.col("_v") <= F.col(f"_hi{i}"), 1).otherwise(0)).alias(f"_le{i}") for i in range(m)])
-        # Back to one row per (group, quantile) with a verified bracket; a
-        # bracket that misses its ranks widens to the whole group.
-        long_b = check.select(*tkeys, F.explode(F.array(*[
-            F.struct(F.lit(i).alias("i"), F.col(f"_below{i}").alias("below"), F.col(f"_le{i}").alias("le"))
-            for i in range(m)])).alias("_b")).select(*tkeys, F.col("_b.i").alias("_bi"),
-                                                      F.col("_b.below").alias("_below"), F.col("_b.le").alias("_le"))
-        wl = wide.select(*tkeys, F.explode(F.array(*[
-            F.struct(F.lit(i).alias("i"), F.col(f"_lo{i}").alias("lo"), F.col(f"_hi{i}").alias("hi"))
-            for i in range(m)])).alias("_w")).select(*tkeys, F.col("_w.i").alias("_wi"),
-                                                      F.col("_w.lo").alias("_lo"), F.col("_w.hi").alias("_hi"))
-        tg = (targets.alias("tt")
-              .join(long_b.alias("bb"), [F.col(f"tt.{k}").eqNullSafe(F.col(f"bb.{k}")) for k in tkeys]
-                    + [F.col("tt._i") == F.col("bb._bi")])
-              .join(wl.alias("ww"), [F.col(f"tt.{k}").eqNullSafe(F.col(f"ww.{k}")) for k in tkeys]
-                    + [F.col("tt._i") == F.col("ww._wi")])
-              .select(*[F.col(f"tt.{k}").alias(k) for k in tkeys], "tt._n", "tt._i", "tt.q_name", "tt._pos",
-                      "tt._r0", "tt._r1", "bb._below", "bb._le", "ww._lo", "ww._hi"))
-        ok = (F.col("_below") <= F.col("_r0")) & (F.col("_le") > F.col("_r1"))
-        inf = float("inf")
-        tg = (tg.withColumn("_lo", F.when(ok, F.col("_lo")).otherwise(F.lit(-inf)))
-                .withColumn("_hi", F.when(ok, F.col("_hi")).otherwise(F.lit(inf)))
-                .withColumn("_below", F.when(ok, F.col("_below")).otherwise(F.lit(0)))
-                .drop("_le").cache())
-        # Each row joins its group's brackets once (wide) and is emitted
-        # only for the quantiles whose bracket holds it.
-        bw = tg.groupBy(*tkeys).agg(F.collect_list(F.struct("_i", "q_name", "_pos", "_r0", "_r1",
-                                                             "_below", "_lo", "_hi")).alias("_br"))
-        t = bc(bw)
-        inside = (data.join(t, _on(data, t, keys))
-                      .select(*keys, *tkeys, "_v", F.explode(F.filter(
-                          "_br", lambda b: (F.col("_v") >= b["_lo"]) & (F.col("_v") <= b["_hi"]))).alias("_b"))
-                      .select(*keys, *tkeys, "_v", "_b.*"))
-        w = Window.partitionBy(*tkeys, "_i").orderBy("_v")
-        j = (inside.withColumn("_rank", F.col("_below") + F.row_number().over(w) - 1)
-                   .select(*keys, "_v", "_rank", "q_name", "_i", "_pos", "_r0", "_r1"))
-
-    picked = j.filter((F.col("_rank") == F.col("_r0")) | (F.col("_rank") == F.col("_r1")))
-    res = (picked.groupBy(*keys, "q_name", "_i", "_pos", "_r0")
-           .agg(F.max(F.when(F.col("_rank") == F.col("_r0"), F.col("_v"))).alias("_v0"),
-                F.max(F.when(F.col("_rank") == F.col("_r1"), F.col("_v"))).alias("_v1")))
-    v1 = F.coalesce(F.col("_v1"), F.col("_v0"))
-    return res.select(*user_keys, "q_name",
-                      (F.col("_v0") + (F.col("_pos") - F.col("_r0")) * (v1 - F.col("_v0"))).alias("q_value"))
+    return counted_quantiles(value_counts(df, value, keys), probs, keys)
 
 
-def exact_quantile_values(df: DataFrame, value: str, probs: dict[str, float],
-                          **kw) -> dict[str, float | None]:
+def exact_quantile_values(df: DataFrame, value: str, probs: dict[str, float]) -> dict[str, float | None]:
     """Scalar quantiles of a whole column, as a small dict on the driver."""
-    rows = exact_quantiles(df, value, probs, **kw).collect()
-    out = {nm: None for nm in probs}
-    out.update({r["q_name"]: r["q_value"] for r in rows})
+    out: dict[str, float | None] = dict.fromkeys(probs)
+    out.update({r["q_name"]: r["q_value"] for r in exact_quantiles(df, value, probs).collect()})
     return out
 
 

@@ -26,8 +26,7 @@ def build_report(rows: DataFrame, market: DataFrame, premium_col: str = "premium
     if market_index is not None:
         scored = indexed_percentile(rows, market_index, premium_col, id_col, out="_pct")
     else:
-        scored = risk_percentile(rows, market, premium_col, market_col, id_col, out="_pct",
-                                 counted=market_counted)
+        scored = risk_percentile(rows, market, premium_col, market_col, out="_pct", counted=market_counted)
     drivers = F.col(drivers_col) if drivers_col else F.array().cast(DRIVER_TYPE)
     cols = {
         "pure_premium": round_dp(premium_col, 2),

@@ -91,29 +91,31 @@ def test_tweedie_and_power_search(spark, train, enc):
     assert means.count() == 3
 
 
-def test_isotonic_improves_balance(spark):
-    rng = np.random.default_rng(0)
-    y = rng.gamma(2, 1, 5000)
-    pred = 1.6 * y + rng.normal(0, .1, 5000)
-    pdf = pd.DataFrame({"IDpol": range(5000), "y": y, "p": pred})
-    df = spark.createDataFrame(pdf)
-    tr, te = df.filter("IDpol < 4000"), df.filter("IDpol >= 4000")
-    m = isotonic.fit_isotonic(tr, "p", "y")
-    cal = isotonic.apply_isotonic(m, te, "p", "c")
-    b0 = metrics.balance_ratio(cal, "y", "p").first()[0]
-    b1 = metrics.balance_ratio(cal, "y", "c").first()[0]
-    a0 = metrics.auto_calibration_error(cal, "y", "p").first()[0]
-    a1 = metrics.auto_calibration_error(cal, "y", "c").first()[0]
-    assert abs(b1 - 1) < abs(b0 - 1) and a1 <= a0
-    z = spark.createDataFrame(pd.DataFrame({"IDpol": range(6), "y": np.arange(1., 7.), "p": [0, 0, 0, 5, 6, 7.]}))
-    assert np.isfinite(metrics.auto_calibration_error(z, "y", "p", n_bins=2).first()[0])
+def test_isotonic_pools_by_hand(spark):
+    """Weighted blocks of 1, 3|2, 5 at predictions 10..40 and a prediction
+    that half of the rows share; constant beyond the ends."""
+    rows = [(10.0, 1.0, 2.0), (20.0, 3.0, 1.0), (30.0, 2.0, 3.0)] + [(40.0, 5.0 + i % 2, 1.0) for i in range(6)]
+    df = spark.createDataFrame(rows, "p double, y double, w double")
+    m = isotonic.fit_isotonic(df, "p", "y", "w")
+    at = spark.createDataFrame([(0.0,), (10.0,), (20.0,), (30.0,), (35.0,), (40.0,), (99.0,)], "p double")
+    got = [r.c for r in isotonic.apply_isotonic(m, at, "p", "c").collect()]
+    assert got == pytest.approx([1.0, 1.0, 2.25, 2.25, (2.25 + 5.5) / 2, 5.5, 5.5])
+
+
+def test_calibration_by_hand(spark):
+    """Two bins of two rows: |1.5 - 1| + |2 - 3.5| of the weights, over the mean."""
+    df = spark.createDataFrame([(1, 1.0, 0.5), (2, 2.0, 1.5), (3, 1.0, 3.0), (4, 3.0, 4.0)], "IDpol long, y double, p double")
+    err = metrics.auto_calibration_error(df, "y", "p", n_bins=2).first()[0]
+    assert err == pytest.approx((0.5 * 0.5 + 0.5 * 1.5) / 1.75)
+    none = df.withColumn("y", F.lit(0.0))
+    assert metrics.balance_ratio(none, "y", "p").first()[0] is None
+    assert metrics.auto_calibration_error(none, "y", "p", n_bins=2).first()[0] is None
 
 
 def test_balance_exact(spark):
-    df = spark.createDataFrame([(1.0, 1.0), (2.0, 2.0)], "y double, p double")
-    assert metrics.balance_ratio(df, "y", "p").first()[0] == 1.0
-    df2 = df.withColumn("p", F.col("p") * 2)
-    assert metrics.balance_ratio(df2, "y", "p").first()[0] == 2.0
+    df = spark.createDataFrame([(4.0, 1.0, 2.0), (1.0, 3.0, 1.0)], "y double, p double, w double")
+    assert metrics.balance_ratio(df, "y", "p").first()[0] == pytest.approx(0.8)
+    assert metrics.balance_ratio(df, "y", "p", "w").first()[0] == pytest.approx(5 / 9)
 
 
 def test_engine_bundle_round_trip(spark, train, tmp_path):

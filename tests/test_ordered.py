@@ -25,8 +25,7 @@ def skewed(spark):
 
 def test_prefix_equals_plain_window(skewed):
     pdf, df = skewed
-    pre = ordered.exclusive_prefix(df, [("p", True), ("IDpol", False)], {"s": F.col("y")},
-                                   rows_per_part=200)
+    pre = ordered.exclusive_prefix(df, [("p", True), ("IDpol", False)], {"s": F.col("y")})
     w = Window.orderBy(F.col("p").desc(), "IDpol")
     plain = df.withColumn("rn0", F.row_number().over(w) - 1).withColumn(
         "s0", F.coalesce(F.sum("y").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
@@ -47,7 +46,7 @@ def _np_gini(y, p, w, ids):
 
 def test_gini_equals_numpy(skewed):
     pdf, df = skewed
-    g = ordered.gini_parts(df, "y", "p", "w", rows_per_part=250)
+    g = ordered.gini_parts(df, "y", "p", "w")
     ref = _np_gini(pdf.y.to_numpy(), pdf.p.to_numpy(), pdf.w.to_numpy(), pdf.IDpol.to_numpy())
     assert g["gini_raw"] == pytest.approx(ref[0], abs=1e-10)
     assert g["gini_perfect"] == pytest.approx(ref[1], abs=1e-10)
@@ -57,7 +56,7 @@ def test_gini_equals_numpy(skewed):
 @pytest.mark.parametrize("q", [2, 5, 10])
 def test_rank_bins_equal_pandas_qcut(skewed, q):
     pdf, df = skewed
-    got = ordered.rank_bins(df, "p", q, rows_per_part=300).select("IDpol", "bin").toPandas()
+    got = ordered.rank_bins(df, "p", q).select("IDpol", "bin").toPandas()
     s = pdf.sort_values("IDpol").reset_index(drop=True)
     s["bin_ref"] = pd.qcut(s["p"].rank(method="first"), q=q, labels=False)
     m = s.merge(got, on="IDpol")
@@ -81,25 +80,67 @@ def test_risk_percentile_brute_force(spark, skewed):
     market = df.select(F.col("p").alias("premium"))
     qs = np.concatenate([pdf.p.to_numpy()[:40], [1.5, 0.0, 1e9, pdf.p.max()]])
     quotes = spark.createDataFrame(pd.DataFrame({"IDpol": np.arange(len(qs)), "premium": qs}))
-    got = ordered.risk_percentile(quotes, market, rows_per_part=500).toPandas().sort_values("IDpol")
+    got = ordered.risk_percentile(quotes, market).toPandas().sort_values("IDpol")
     m = pdf.p.to_numpy()
     ref = [(m < v).mean() * 100 for v in qs]
     assert np.allclose(got["risk_percentile"].to_numpy(), ref, atol=1e-12)
 
 
-@pytest.mark.parametrize("max_rows", [10_000_000, 150])
-def test_exact_quantiles_equal_numpy(skewed, max_rows):
+def test_exact_quantiles_equal_numpy(skewed):
     pdf, df = skewed
     probs = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.995, "e": 1.0}
-    got = {r.q_name: r.q_value for r in exact_quantiles(df, "y", probs, max_group_rows=max_rows).collect()}
+    got = {r.q_name: r.q_value for r in exact_quantiles(df, "y", probs).collect()}
     for k, q in probs.items():
         assert got[k] == pytest.approx(np.quantile(pdf.y, q), rel=1e-12, abs=1e-12)
 
 
+def test_quantiles_with_null_keys_and_values(spark):
+    rows = [(None, 1.0), (None, 3.0), ("a", float("nan")), ("a", 2.0), ("a", None), ("b", None)]
+    got = {r.g: r.q_value for r in exact_quantiles(spark.createDataFrame(rows, "g string, v double"), "v",
+                                                   {"m": 0.5}, keys=["g"]).collect()}
+    assert got == {None: 2.0, "a": 2.0}
+
+
+@pytest.fixture(scope="module")
+def half(spark):
+    """Half of the rows on one value, the rest distinct."""
+    return spark.range(4000).select(F.col("id").alias("IDpol"), F.when(F.col("id") % 2 == 0, F.lit(500.0)).otherwise(
+        F.col("id") / 3.0).alias("p"), (F.col("id") % 5).cast("double").alias("y"))
+
+
+def test_hot_value_in_every_ordered_operator(spark, half):
+    pdf = half.toPandas()
+    bins = ordered.rank_bins(half, "p", 10).groupBy("bin").count().collect()
+    assert len(bins) == 10 and all(r["count"] in (399, 400, 401) for r in bins)
+    pct = {r.IDpol: r.risk_percentile for r in ordered.risk_percentile(
+        half.select("IDpol", F.col("p").alias("premium")), half.select(F.col("p").alias("premium"))).collect()}
+    assert pct[0] == pytest.approx((pdf.p < 500.0).mean() * 100) and len(pct) == 4000
+    q = {r.q_name: r.q_value for r in exact_quantiles(half, "p", {"a": .25, "b": .5, "c": .9}).collect()}
+    assert q == pytest.approx({n: np.quantile(pdf.p, x) for n, x in (("a", .25), ("b", .5), ("c", .9))})
+    g = ordered.gini_parts(half, "y", "p")
+    ref = _np_gini(pdf.y.to_numpy(), pdf.p.to_numpy(), np.ones(4000), pdf.IDpol.to_numpy())
+    assert g["gini"] == pytest.approx(ref[2], abs=1e-9)
+
+
+def test_dropped_cache_changes_nothing(spark, half):
+    """The ranges are fixed before the result runs: clearing the cache between
+    planning and running gives the same rows."""
+    many = spark.range(60_000).select(F.col("id").alias("IDpol"), (F.col("id") * 7919 % 50_021 / 3).alias("premium"))
+    market = many.select("premium")
+    kept = {r.IDpol: r.risk_percentile for r in ordered.risk_percentile(many, market).collect()}
+    lazy = ordered.risk_percentile(many, market)
+    bins = ordered.rank_bins(many, "premium", 7)
+    spark.catalog.clearCache()
+    assert {r.IDpol: r.risk_percentile for r in lazy.collect()} == kept
+    counts = sorted(r["count"] for r in bins.groupBy("bin").count().collect())
+    assert sum(counts) == 60_000 and counts[-1] - counts[0] <= 1
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
+
+
 def test_grouped_exact_quantiles(skewed):
     pdf, df = skewed
     g = df.withColumn("g", (F.col("IDpol") % 3).cast("string"))
-    got = exact_quantiles(g, "p", {"m": 0.5, "q9": 0.9}, keys=["g"], max_group_rows=100).collect()
+    got = exact_quantiles(g, "p", {"m": 0.5, "q9": 0.9}, keys=["g"]).collect()
     pdf = pdf.assign(g=(pdf.IDpol % 3).astype(str))
     for r in got:
         ref = np.quantile(pdf[pdf.g == r.g].p, 0.5 if r.q_name == "m" else 0.9)

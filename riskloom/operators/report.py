@@ -67,8 +67,9 @@ def diagnose(rows: DataFrame, market: DataFrame, cohorts: DataFrame | None,
     return rep.withColumn("bands", band_map())
 
 
-def flatten_report(rep: DataFrame, id_col: str = S.ID) -> DataFrame:
-    """Nested report -> flat columns (oracle comparison, CSV sinks)."""
+def flatten_report(rep: DataFrame, id_col: str = S.ID, extra: list | None = None) -> DataFrame:
+    """Nested report -> flat columns (oracle comparison, CSV sinks), with
+    ``extra`` expressions over the report."""
     cols = [F.col(id_col), "pure_premium", "risk_percentile",
             F.col("coverage.tier").alias("tier"), F.col("coverage.deductible").alias("deductible"),
             F.col("coverage.limit").alias("coverage_limit"), "disclaimer"]
@@ -78,7 +79,7 @@ def flatten_report(rep: DataFrame, id_col: str = S.ID) -> DataFrame:
         cols += [F.col(f"cohort.{k}").alias(f"cohort_{k}") for k in ("group", "level", "count", "mean", "median")]
     if "bands" in rep.columns:
         cols += [F.col("bands")[f].alias(f"band_{f}") for f in S.FACTORS]
-    return rep.select(*cols)
+    return rep.select(*cols, *(extra or []))
 
 
 def report_json(rep: DataFrame, id_col: str = S.ID) -> DataFrame:

@@ -520,8 +520,7 @@ def q_engine_diagnosis(spark, sf_dir):
     m, _ = _poisson_gbm(spark, sf_dir)
     eng = engine.fit_engine(tr, rounds=GBM_ROUNDS, learning_rate=GBM_LR, patience=5, freq=m)
     rep = engine.diagnose_with_engine(eng, te)
-    flat = report.flatten_report(rep)
-    return flat.join(rep.select("IDpol", F.col("drivers")[0]["feature"].alias("driver1")), "IDpol")
+    return report.flatten_report(rep, extra=[F.col("drivers")[0]["feature"].alias("driver1")])
 
 
 def q_stream_diagnosis(spark, sf_dir):

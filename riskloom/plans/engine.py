@@ -58,12 +58,12 @@ def fit_engine(df: DataFrame, cfg: dict | None = DEFAULT_CONFIG, seed: int = 42,
     sev = glm.fit_gamma_severity(features.design_frame(claims, enc, keep=["avg_claim", "sev_count", *(
         ["_rw"] if "_rw" in claims.columns else [])]), weight="_rw" if "_rw" in claims.columns else None)
     part = {"encoding": enc, "freq": freq, "severity": sev}
-    scored = pure_premium(part, df, "_raw_pp")
-    scored = training_weight(scored, cfg, "fremtpl2", base_weight=S.EXPOSURE, out="_iso_w")
-    iso = isotonic.fit_isotonic(scored, "_raw_pp", "pure_premium", "_iso_w" if "_iso_w" in scored.columns
+    scored = cut_lineage(pure_premium(part, df, "_raw_pp"))       # scored once, for isotonic and market
+    weighted = training_weight(scored, cfg, "fremtpl2", base_weight=S.EXPOSURE, out="_iso_w")
+    iso = isotonic.fit_isotonic(weighted, "_raw_pp", "pure_premium", "_iso_w" if "_iso_w" in weighted.columns
                                 else S.EXPOSURE)
     eng = Engine(enc, freq, sev, iso, None, None, None, loading)
-    mk = cut_lineage(calibrated_pure_premium(eng, df).select(S.ID, "DrivAge", "Area", "premium"))
+    mk = cut_lineage(isotonic.apply_isotonic(iso, scored, "_raw_pp", "premium").select(S.ID, "DrivAge", "Area", "premium"))
     eng.market = mk.select(S.ID, "premium")
     eng.cohorts = cut_lineage(market.cohort_stats(mk, "premium"))
     eng.factors = cut_lineage(market.factor_frequency(df))
@@ -78,8 +78,8 @@ def diagnose_with_engine(eng: Engine, rows: DataFrame, with_drivers: bool = True
     scored = calibrated_pure_premium(eng, rows)
     drivers_col = None
     if with_drivers and eng.freq.trees:
-        attr = attribution.attributions(eng.freq, rows, id_col).select(id_col, "drivers")
-        scored = scored.join(attr, id_col, "left")
+        carried = scored.columns
+        scored = attribution.attributions(eng.freq, scored, id_col, keep=carried).select(*carried, "drivers")
         drivers_col = "drivers"
     return report.diagnose(scored, eng.market, eng.cohorts, "premium", "premium", id_col,
                            eng.loading, drivers_col)

@@ -201,8 +201,7 @@ def q_cohort_stats(spark, sf_dir):
 
 def _cohorts(spark, sf_dir, min_count):
     pf = premium_frame(spark, sf_dir)
-    stats = market.cohort_stats(pf, "premium").cache()
-    return market.cohort_lookup(pf, stats, min_count=min_count)
+    return market.cohort_lookup(pf, market.cohort_stats(pf, "premium"), min_count=min_count)
 
 
 def q_cohort_lookup(spark, sf_dir):
@@ -220,7 +219,7 @@ def q_cohort_fallback(spark, sf_dir):
 
 def q_market_position(spark, sf_dir):
     pf = premium_frame(spark, sf_dir)
-    stats = market.cohort_stats(pf, "premium").cache()
+    stats = market.cohort_stats(pf, "premium")
     c = market.cohort_premium_ratio(market.cohort_lookup(pf, stats), "premium")
     pos = market.market_position(c, pf, "premium", "premium", bins=30)
     return pos.select("IDpol", "market_bin", "cohort_level", r6("median_ratio").alias("median_ratio"))
@@ -313,7 +312,7 @@ def q_gross_premium_tiers(spark, sf_dir):
 def q_diagnosis_report(spark, sf_dir):
     """X02 for every valid quote: report + cohort + bands."""
     pf = premium_frame(spark, sf_dir)
-    cohorts = market.cohort_stats(pf, "premium").cache()
+    cohorts = market.cohort_stats(pf, "premium")
     rep = report.diagnose(valid_quotes(spark, sf_dir), pf, cohorts,
                           loading={"expense_ratio": 0.25, "profit_margin": 0.05})
     return report.flatten_report(rep)
@@ -382,7 +381,7 @@ def q_design_matrix(spark, sf_dir):
 
 def q_poisson_glm_one_factor(spark, sf_dir):
     """M04/M06 with Area as the only factor: fitted claim rate per level."""
-    t = policy_frame(spark, sf_dir).cache()
+    t = cut_lineage(policy_frame(spark, sf_dir))
     enc = features.fit_encoding(t, ["Area"], [])
     model = glm.fit_poisson_frequency(features.design_frame(t, enc, keep=["ClaimNb", "Exposure"]))
     lv = features.design_frame(t.select("Area").distinct(), enc, keep=["Area"])
@@ -392,7 +391,8 @@ def q_poisson_glm_one_factor(spark, sf_dir):
 def q_gamma_glm_one_factor(spark, sf_dir):
     """M05/M06 with Area as the only factor: fitted mean severity per level."""
     t = training_frame(spark, sf_dir)
-    c = clean.claim_policies(t).withColumn("avg_claim", average_claim("sev_total", "sev_count")).cache()
+    c = clean.claim_policies(t).withColumn("avg_claim", average_claim("sev_total", "sev_count"))
+    c = cut_lineage(c)
     enc = features.fit_encoding(c, ["Area"], [])
     model = glm.fit_gamma_severity(features.design_frame(c, enc, keep=["avg_claim", "sev_count"]))
     lv = features.design_frame(c.select("Area").distinct(), enc, keep=["Area"])
@@ -401,19 +401,21 @@ def q_gamma_glm_one_factor(spark, sf_dir):
 
 def q_isotonic_binned(spark, sf_dir):
     """M11/M12 on the ten rank bins of the analytic premium."""
-    b = metrics.calibration_bins(scored_frame(spark, sf_dir), "pure_premium", "pred", "Exposure").cache()
+    b = metrics.calibration_bins(scored_frame(spark, sf_dir), "pure_premium", "pred", "Exposure")
+    b = cut_lineage(b)
     model = isotonic.fit_isotonic(b, "predicted", "actual", "w_sum")
     return isotonic.apply_isotonic(model, b, "predicted", "fitted").select("bin", r6("fitted").alias("fitted"))
 
 
 def q_calibrated_premium(spark, sf_dir):
     """M11/M12 on every policy: isotonic map of the analytic premium to the
-    observed pure premium, weight exposure × raking (rows-only check)."""
+    observed pure premium, weight exposure × raking."""
     s = raking.training_weight(scored_frame(spark, sf_dir), raking.DEFAULT_CONFIG, "fremtpl2",
-                               base_weight="Exposure").cache()
+                               base_weight="Exposure")
+    s = cut_lineage(s)
     model = isotonic.fit_isotonic(s, "pred", "pure_premium", "weight")
     return isotonic.apply_isotonic(model, s, "pred", "calibrated").select(
-        "IDpol", r6("pred").alias("pred"), r6("calibrated").alias("calibrated"))
+        "IDpol", r6("pred").alias("pred"), round_dp("calibrated", 4).alias("calibrated"))
 
 
 def q_own_bands(spark, sf_dir):
@@ -437,30 +439,14 @@ GBM_LR = 0.2
 
 
 def _split_encoded(spark, sf_dir):
-    t = training_frame(spark, sf_dir).cache()
+    t = cut_lineage(training_frame(spark, sf_dir))
     enc = features.fit_encoding(t)
     tr, te = ordered.grouped_split(t)
     return t, enc, tr, te
 
 
-_FITTED: dict = {}
-
-
-def reset_fitted() -> None:
-    """Forget shared fitted models (the bench times every fit in full)."""
-    _FITTED.clear()
-
-
 def _poisson_gbm(spark, sf_dir):
-    """The Poisson GBM of the fixture, fitted once per Spark application and
-    data folder and shared by the queries that score with it."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _FITTED:
-        _FITTED[key] = _fit_poisson_gbm(spark, sf_dir)
-    return _FITTED[key]
-
-
-def _fit_poisson_gbm(spark, sf_dir):
+    """The Poisson GBM of the fixture and the test policies."""
     t, enc, tr, te = _split_encoded(spark, sf_dir)
     tr2, val = ordered.early_stopping_split(tr)
     tr2 = raking.training_weight(tr2, raking.DEFAULT_CONFIG, "fremtpl2", out="rw")

@@ -521,3 +521,19 @@ FROM rkr x JOIN {prev} c ON c.g = x.g AND c.a = x.a"""
 
 
 SQL["rake_two_margins"] = rake_two_margins_sql(50)
+
+# Isotonic regression by its min-max formula: the fit at the i-th distinct
+# prediction is the largest, over starts a <= i, of the smallest, over ends
+# b >= i, of the weighted means of a..b (prefix sums).
+SQL["calibrated_premium"] = with_fixtures(*TRAINING_CTES, *post_strat_sql("train"), """iso_rows AS (
+  SELECT t.IDpol, pr.pred, t.Exposure * ps.rake_weight AS w, t.pure_premium AS y
+  FROM train t JOIN ps ON ps.IDpol = t.IDpol JOIN premium pr ON pr.IDpol = t.IDpol)""", """iso_at AS MATERIALIZED (
+  SELECT pred, row_number() OVER (ORDER BY pred) AS i, sum(sw) OVER (ORDER BY pred) AS cw,
+         sum(swy) OVER (ORDER BY pred) AS cy
+  FROM (SELECT pred, sum(w) AS sw, sum(w * y) AS swy FROM iso_rows GROUP BY pred))""", """iso_mean AS (
+  SELECT a.i AS a, b.i AS b, (b.cy - coalesce(p.cy, 0e0)) / (b.cw - coalesce(p.cw, 0e0)) AS m
+  FROM iso_at a JOIN iso_at b ON b.i >= a.i LEFT JOIN iso_at p ON p.i = a.i - 1)""", """iso_fit AS (
+  SELECT b AS i, max(low) AS f
+  FROM (SELECT a, b, min(m) OVER (PARTITION BY a ORDER BY b DESC) AS low FROM iso_mean) GROUP BY b)""") + """
+SELECT r.IDpol, round(r.pred, 6) AS pred, round(f.f, 4) AS calibrated
+FROM iso_rows r JOIN iso_at x ON x.pred = r.pred JOIN iso_fit f ON f.i = x.i"""

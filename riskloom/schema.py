@@ -53,12 +53,6 @@ QUOTE = T.StructType([
     T.StructField("Region", T.StringType()),
 ])
 
-MARGIN = T.StructType([
-    T.StructField("margin", T.StringType()),
-    T.StructField("level", T.StringType()),
-    T.StructField("share", T.DoubleType()),
-])
-
 STAT_ROW = T.StructType([
     T.StructField("ITM_NM", T.StringType()),
     T.StructField("C1_NM", T.StringType()),

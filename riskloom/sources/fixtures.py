@@ -60,11 +60,6 @@ def analytic_premium_col():
             * (800.0 + 10.0 * F.col("VehPower")))
 
 
-def analytic_premium(policy: DataFrame) -> DataFrame:
-    """``IDpol, pred`` with the analytic premium."""
-    return policy.select("IDpol", analytic_premium_col().alias("pred"))
-
-
 def quotes(policy: DataFrame) -> DataFrame:
     """Incoming quotes: the nine rating factors of every policy, with some
     invalid ages and some missing BonusMalus values (defaults apply)."""

@@ -159,6 +159,9 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFram
 
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject."""
-    score = free_name(docs, "_score")
+    score, row = free_name(docs, "_score"), free_name(docs, "_row")
     scored = with_score(docs, fit(docs, labels, text), text, score)
-    return scored.where(F.col(score) >= threshold).drop(score)
+    # the row number keeps the filter above the projections: pushed down, it
+    # would carry a copy of every statistic for each use in the score
+    numbered = scored.withColumn(row, F.monotonically_increasing_id())
+    return numbered.where((F.col(score) >= threshold) & (F.col(row) >= 0)).drop(score, row)

@@ -45,7 +45,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     the lineage, survives lost executors, and is computed once however often
     it is read."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

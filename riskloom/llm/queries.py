@@ -37,7 +37,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages"), path)
     warc.export_warc(spark, path, f"{path}/files")
-    return warc.described(warc.read_warc(spark, f"{path}/files"), spark.read.parquet(f"{path}/payloads"))
+    return warc.described(warc.read_warc(spark, f"{path}/files"), warc.payloads(spark, path))
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

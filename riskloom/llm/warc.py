@@ -6,9 +6,10 @@ block of every record, and the digest that ties them together.  A record whose
 payload of at least ``MIN_REVISIT`` bytes was already archived under a smaller
 page_id is a revisit of that record.  ``records`` reconstructs the original
 records by joining headers and payloads and verifies the digests again;
-``export_warc`` writes them as ``.warc`` files (a record ends with CRLF CRLF,
-which is the line separator given to Spark's text writer), and ``read_warc``
-parses such files by their Content-Length.
+``export_warc`` writes them as gzipped WARC files (a record ends with CRLF
+CRLF, which is the line separator given to Spark's text writer), and
+``read_warc`` parses such files by their Content-Length.  Payloads are stored
+and shuffled deflated.
 
 The first page of a digest is an aggregate with map-side combine; its table
 and the payload table hold one row per digest and are written before the
@@ -22,13 +23,17 @@ archive; extra columns are ignored.
 """
 from __future__ import annotations
 
-import hashlib
+import gzip
+import zlib
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import BinaryType
+
 from riskloom.llm.common import written
 
 MIN_REVISIT = 100
@@ -38,6 +43,17 @@ EOL = "\r\n"
 FILE_RECORDS = 500
 
 
+@F.pandas_udf(BinaryType())
+def packed(payload: pd.Series) -> pd.Series:
+    """Payloads as they are stored and moved: deflated."""
+    return payload.map(lambda b: zlib.compress(b, 6), na_action="ignore")
+
+
+@F.pandas_udf(BinaryType())
+def unpacked(blob: pd.Series) -> pd.Series:
+    return blob.map(zlib.decompress, na_action="ignore")
+
+
 def _header(kind: Column, page: Column, uri: Column, digest: Column, size: Column, refers: Column,
             number: Column) -> Column:
     """The header block of a record, without the empty line that ends it.
@@ -66,10 +82,10 @@ def write_archive(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT) -
     rows = rows.select("page_id", "url", "payload", F.sha2("payload", 256).alias("digest"),
                        F.octet_length("payload").cast("long").alias("size"))
     order = F.struct(F.col("page_id").isNull().alias("late"), "page_id", F.coalesce("url", F.lit("")).alias("url"))
-    stored = rows.groupBy("digest").agg(F.first("payload").alias("payload"))
-    checked = F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(
+    stored = rows.select("digest", packed("payload").alias("packed")).groupBy("digest").agg(F.first("packed").alias("packed"))
+    checked = F.when(F.sha2(unpacked("packed"), 256) == F.col("digest"), F.col("packed")).otherwise(
         F.raise_error(F.lit("a payload does not have its digest")).cast("binary"))
-    stored.select("digest", checked.alias("payload")).write.parquet(f"{path}/payloads")
+    stored.select("digest", checked.alias("packed")).write.parquet(f"{path}/payloads")
     # rows of one digest, page and url are told apart by a count, not by a group in one task
     same = rows.groupBy("digest", "page_id", "url", "size").agg(F.count(F.lit(1)).alias("n"))
     same = written(same, "warc-rows")
@@ -92,12 +108,17 @@ def field(header: Column, name: str) -> Column:
     return F.when(header.contains(f"{EOL}{name}: "), value)
 
 
+def payloads(spark: SparkSession, path: str) -> DataFrame:
+    """(digest, payload) of every stored payload."""
+    return spark.read.parquet(f"{path}/payloads").select("digest", unpacked("packed").alias("payload"))
+
+
 def records(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, header, digest, payload) of every archived record, payloads
     joined back by digest and verified."""
     headers = spark.read.parquet(f"{path}/headers")
-    payloads = spark.read.parquet(f"{path}/payloads")
-    whole = headers.join(payloads, "digest")
+    whole = headers.join(spark.read.parquet(f"{path}/payloads"), "digest").select(
+        "page_id", "header", "digest", unpacked("packed").alias("payload"))
     payload = F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(
         F.raise_error(F.lit("an archived payload does not have its digest")).cast("binary"))
     return whole.select("page_id", "header", "digest", payload.alias("payload"))
@@ -110,7 +131,7 @@ def export_warc(spark: SparkSession, path: str, out: str, file_records: int = FI
     block = F.when(field(F.col("header"), "WARC-Type") == "revisit", F.lit("")).otherwise(F.col("payload").cast("string"))
     # each row is one record up to the CRLF CRLF that ends it
     (rows.select(F.concat("header", F.lit(EOL + EOL), block).alias("value"))
-     .write.option("lineSep", EOL + EOL).option("maxRecordsPerFile", file_records).text(out))
+     .write.option("lineSep", EOL + EOL).option("maxRecordsPerFile", file_records).option("compression", "gzip").text(out))
 
 
 def parse(data: bytes) -> Iterator[tuple[str, bytes]]:
@@ -132,7 +153,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for content in b.column("content"):
-                found = list(parse(content.as_py()))
+                found = list(parse(gzip.decompress(content.as_py())))
                 yield pa.RecordBatch.from_pydict({
                     "header": pa.array([h for h, _ in found], pa.string()),
                     "payload": pa.array([p for _, p in found], pa.binary())})

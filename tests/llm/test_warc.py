@@ -50,7 +50,7 @@ def test_odd_pages_round_trip(spark, odd_pages, tmp_path):
     pages = {r.page_id: r.html or "" for r in odd_pages.collect()}
     rebuilt = warc.records(spark, path).collect()
     assert {r.page_id: bytes(r.payload) for r in rebuilt} == {i: t.encode() for i, t in pages.items()}
-    stored = spark.read.parquet(f"{path}/payloads")
+    stored = warc.payloads(spark, path)
     assert stored.count() == len(set(pages.values()))
     warc.export_warc(spark, path, f"{path}/files", file_records=2)
     found = warc.read_warc(spark, f"{path}/files")

@@ -15,8 +15,8 @@ once, each task walks its range in order, and only the first and last text of
 every range meet afterwards.
 
 Defined cases: null text counts as empty; a text shorter than k has one anchor
-(its whole text), the empty text none and the empty fingerprint, which is like
-itself only; null ids come last in descending order; equal ids are ordered by
+(its whole text), a longer one without a syncmer its k-mer of smallest hash, only
+the empty text none and the empty fingerprint, which is like itself only; null ids come last in descending order; equal ids are ordered by
 the hash of their texts, and equal rows each get a row; a single document is
 its own next one; empty table, empty result; extra columns are ignored.
 """
@@ -92,7 +92,10 @@ def anchors_of(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarra
     inner = _mix(_rolling(c, s))
     least = _window_min(inner, k - s + 1)
     at = np.flatnonzero((least == inner[:len(least)]) | (least == inner[k - s:]))
-    return _mix(_rolling(c, k)[at]), at
+    hashes = _mix(_rolling(c, k))
+    if not len(at):
+        at = hashes.argmin(keepdims=True)
+    return hashes[at], at
 
 
 def sketch_of(text: str, k: int = K, s: int = S, size: int = SKETCH) -> np.ndarray:

@@ -51,6 +51,17 @@ def test_syncmers_by_definition():
             assert syncmers.anchors_of(text[i:i + k], k, s)[0].tolist() == [x]
 
 
+def test_short_texts_have_fingerprints():
+    rng = np.random.default_rng(7)
+    for n in range(1, 61):
+        for _ in range(20):
+            a, b = ("".join(rng.choice(list("abcdefghij klmnop"), n)) for _ in range(2))
+            own = syncmers.sketch_of(a)
+            assert len(own) and syncmers.to_string(own)
+            if n >= 10:
+                assert syncmers.likeness(own, syncmers.sketch_of(b)) == 0.0 and syncmers.likeness(own, own) == 1.0
+
+
 def test_odd_rows(spark, odd_documents, no_documents):
     rows = syncmers.edited_neighbours(odd_documents).collect()
     assert len(rows) == odd_documents.count()

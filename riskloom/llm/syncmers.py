@@ -3,10 +3,11 @@
 A k-mer of characters is a closed syncmer when its smallest s-mer (by a mixed
 hash) is its first or its last one.  Whether a k-mer is chosen depends on the
 k-mer alone, never on its context, so the same passage gives the same anchors
-wherever it stands.  ``anchors`` lists (hash, position) of each whole text for
-positional matching; the fingerprint is the sketch of the ``SKETCH`` smallest
-anchor hashes, base64, and the likeness of two fingerprints is the bottom-k
-estimate of the Jaccard index of their anchor sets.
+wherever it stands.  ``anchors`` lists (hash, position) of each whole text; the
+sketch of a text holds every distinct anchor hash, so it grows with the text,
+and the likeness of two texts is the Jaccard index of their whole sketches.
+The fingerprint, base64, is an index of the sketch only: its ``SKETCH``
+smallest 32-bit hashes.  Positions take no part in the likeness.
 
 ``edited_neighbours`` compares each document with an edit of it (its last
 third replaced by the beginning of the next document in descending id order)
@@ -98,21 +99,22 @@ def anchors_of(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarra
     return hashes[at], at
 
 
-def sketch_of(text: str, k: int = K, s: int = S, size: int = SKETCH) -> np.ndarray:
-    """The ``size`` smallest distinct 32-bit anchor hashes, ascending."""
-    return np.unique((anchors_of(text, k, s)[0] >> np.uint64(32)).astype(np.uint32))[:size]
+def sketch_of(text: str, k: int = K, s: int = S) -> np.ndarray:
+    """All distinct anchor hashes, ascending."""
+    return np.unique(anchors_of(text, k, s)[0])
 
 
-def to_string(sketch: np.ndarray) -> str:
-    return base64.b64encode(sketch.astype(">u4").tobytes()).decode()
+def to_string(sketch: np.ndarray, size: int = SKETCH) -> str:
+    """The ``size`` smallest distinct 32-bit hashes of a sketch."""
+    return base64.b64encode(np.unique(sketch >> np.uint64(32))[:size].astype(">u4").tobytes()).decode()
 
 
-def likeness(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
-    """Bottom-k estimate of the Jaccard index of the two anchor sets."""
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard index of the two anchor sets."""
     if len(a) == 0 or len(b) == 0:
         return float(len(a) == len(b))
-    both = np.union1d(a, b)[:size]
-    return float((np.isin(both, a, True) & np.isin(both, b, True)).sum() / len(both))
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared / (len(a) + len(b) - shared)
 
 
 def anchors(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, s: int = S) -> DataFrame:

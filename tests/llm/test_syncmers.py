@@ -62,6 +62,16 @@ def test_short_texts_have_fingerprints():
                 assert syncmers.likeness(own, syncmers.sketch_of(b)) == 0.0 and syncmers.likeness(own, own) == 1.0
 
 
+def test_passage_in_a_long_text_is_seen():
+    rng = np.random.default_rng(11)
+    letters = list("abcdefghij klmnop")
+    for _ in range(10):
+        passage, long = ("".join(rng.choice(letters, n)) for n in (500, 40_000))
+        a, b = set(syncmers.anchors_of(passage)[0].tolist()), set(syncmers.anchors_of(long[:9000] + passage + long[9000:])[0].tolist())
+        got = syncmers.likeness(syncmers.sketch_of(passage), syncmers.sketch_of(long[:9000] + passage + long[9000:]))
+        assert a <= b and got == len(a) / len(b) > 0
+
+
 def test_odd_rows(spark, odd_documents, no_documents):
     rows = syncmers.edited_neighbours(odd_documents).collect()
     assert len(rows) == odd_documents.count()

@@ -162,3 +162,33 @@ def test_histogram_degenerate_markets(spark, vals):
     assert np.allclose(h.lo_edge.to_numpy(), np.round(edges[:-1], 2))
     s = market.market_summary(df, "premium").first()
     assert s.p99 == round(hi, 2)
+
+
+class Asked(Exception):
+    pass
+
+
+@pytest.mark.parametrize("query", ["poisson_gbm", "policy_drivers", "top_factors", "engine_diagnosis", "tweedie_gbm",
+                                   "tweedie_power_search"])
+def test_registered_fits_ask_for_the_whole_job(spark, monkeypatch, query):
+    """Rounds, patience, rate, powers and folds of the reference."""
+    from riskloom import schema
+    from riskloom.plans import catalog, runs
+    asked = {}
+
+    def fit(*args, **kw):
+        asked.update(kw)
+        raise Asked
+
+    monkeypatch.setattr(boosting, "fit_boosted", fit)
+    if query == "tweedie_power_search":
+        monkeypatch.setattr(runs, "tweedie_power_search", lambda t, enc, grid=schema.TWEEDIE_POWER_GRID, **kw: fit(grid=grid, **kw))
+    with pytest.raises(Asked):
+        catalog.QUERIES[query](spark, SF_SMALL)
+    assert asked["learning_rate"] == 0.05
+    if query == "tweedie_power_search":
+        assert asked["grid"] == [1.5, 1.6, 1.7, 1.8, 1.9] and asked["n_folds"] == 3 and asked["rounds"] == 150
+    elif query == "tweedie_gbm":
+        assert asked["rounds"] == 100
+    else:
+        assert asked["rounds"] == 2000 and asked["patience"] == 50

@@ -30,7 +30,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.assign(table(spark, sf_dir, "documents").select("doc_id"))
+    """The shards of whole documents, written and read back."""
+    path = scratch_path(spark, "shards")
+    docs = table(spark, sf_dir, "documents")
+    sharding.write_shards(docs, path)
+    schema = docs.select("doc_id").schema.add("slot", "integer").add("shard", "string")
+    return spark.read.schema(schema).parquet(path)
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

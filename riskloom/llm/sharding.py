@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 SLOTS = 65_537
 SHARDS = 64
+#: Parts that the rows of one slot are dealt to.
+SALTS = 1024
 
 
 def is_prime(n: int) -> bool:
@@ -76,6 +78,9 @@ def assign(df: DataFrame, key: str = "doc_id", shards: Sequence[str] | int = SHA
 
 def write_shards(df: DataFrame, path: str, key: str = "doc_id", shards: Sequence[str] | int = SHARDS,
                  slots: int = SLOTS) -> None:
-    """Write ``df`` partitioned by shard; slots keep the files of one shard
-    apart, so a shard is never gathered in one task."""
-    assign(df, key, shards, slots).repartition("slot").drop("slot").write.partitionBy("shard").parquet(path)
+    """Write ``df`` with its slots partitioned by shard.  Rows are dealt by
+    slot and a salt, so neither a shard nor a hot key is gathered in one task;
+    equal keys meet in the folder of their shard."""
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))
+    assign(df, key, shards, slots).repartition(F.col("slot"), salt).write.option("compression", "zstd").partitionBy(
+        "shard").parquet(path)

@@ -59,3 +59,22 @@ def test_odd_rows_and_files(spark, odd_documents, no_documents, tmp_path):
     sharding.write_shards(odd_documents, str(tmp_path / "s"), shards=3, slots=101)
     back = spark.read.parquet(str(tmp_path / "s"))
     assert Counter(r.doc_id for r in back.collect()) == Counter(r.doc_id for r in odd_documents.collect())
+
+
+def test_hot_key_spreads_and_documents_are_whole(spark, monkeypatch, tmp_path):
+    from pyspark.sql import functions as F
+    from riskloom.llm import queries
+    hot = spark.range(4000, numPartitions=4).select(F.lit(7).alias("doc_id"), F.col("id").alias("n"))
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(coalesce)
+    spark.conf.set(coalesce, "false")
+    sharding.write_shards(hot, str(tmp_path / "hot"))
+    spark.conf.set(coalesce, before)
+    back = spark.read.parquet(str(tmp_path / "hot"))
+    assert back.count() == 4000 and back.select("shard").distinct().count() == 1
+    assert len(back.inputFiles()) > 1                        # one task would have left one file
+    monkeypatch.setattr(queries, "scratch_path", lambda *_: str(tmp_path / "q"))
+    n = queries.QUERIES["op3_sharding"](spark, SF_SMALL).count()
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    written = spark.read.parquet(str(tmp_path / "q")).select(docs.columns)
+    assert n == docs.count() and written.exceptAll(docs).isEmpty() and docs.exceptAll(written).isEmpty()

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm import (bpe, line_dedup, merkle, mixing, oddsketch, quality_classifier, quality_rules,
-                          sharding, simhash, substring, syncmers, warc)
+                          sharding, simhash, spelling, substring, syncmers, warc)
 from riskloom.llm.common import scratch_path
 
 
@@ -71,6 +71,10 @@ def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.edited_neighbours(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op12_oddsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     comp = oddsketch.near_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return comp.select("doc_id", "n_shingles", "component_id",
@@ -85,5 +89,5 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_line_dedup, op2_quality_rules, op3_sharding, op4_warc, op5_quality_classifier, op6_mixing,
-    op7_substring_dedup, op8_bpe, op9_simhash, op10_syncmers, op12_oddsketch,
-    op13_merkle)}
+    op7_substring_dedup, op8_bpe, op9_simhash, op10_syncmers, op11_spelling,
+    op12_oddsketch, op13_merkle)}

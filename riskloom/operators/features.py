@@ -55,10 +55,19 @@ def fit_encoding(df: DataFrame, cat_cols=None, num_cols=None) -> Encoding:
     return Encoding(cat_cols, num_cols, labels)
 
 
+def _numeric(c: str):
+    return density_log(c) if c == "Density" else F.col(c).cast("double")
+
+
 def numeric_columns(enc: Encoding) -> list:
     """Numerics as double, ``Density`` as ``log1p``."""
-    return [(density_log(c) if c == "Density" else F.col(c).cast("double")).alias(c)
-            for c in enc.num_cols]
+    return [_numeric(c).alias(c) for c in enc.num_cols]
+
+
+def tree_inputs(enc: Encoding) -> list:
+    """M03 for the boosted trees, in the order of ``tree_names``: numerics and
+    the cleaned levels themselves, which the model's bins turn into numbers."""
+    return [_numeric(c) for c in enc.num_cols] + [strip_quotes(F.col(c).cast("string")) for c in enc.cat_cols]
 
 
 def design_frame(df: DataFrame, enc: Encoding, out: str = "features", keep=None) -> DataFrame:

@@ -23,31 +23,35 @@ from pyspark.sql import functions as F
 
 from riskloom import schema as S
 from riskloom.functions.columns import finite
-from riskloom.session import cut_lineage
+from riskloom.session import broadcast_if_small, cut_lineage
 
 Order = list[tuple[str, bool]]  # (column, descending)
 
 
-def exclusive_prefix(df: DataFrame, order: Order, sums: dict[str, Column] | None = None) -> DataFrame:
-    """Add ``_rn`` (0-based global row number in ``order``), ``_n`` (rows in
-    all) and, for each ``name -> expr`` in ``sums``, ``name_before``: the sum
-    of ``expr`` over all rows strictly before this one, and ``name_total``.
-    ``order`` must be a total order (end it with a unique id)."""
-    sums = sums or {}
-    by = [F.col(c).desc() if desc else F.col(c).asc() for c, desc in order]
+def exclusive_prefix(df: DataFrame, order: Order, sums: dict[str, Column] | None = None,
+                     keys: list[str] | tuple = ()) -> DataFrame:
+    """Add ``_rn`` (0-based row number in ``order``), ``_n`` (rows in all) and,
+    for each ``name -> expr`` in ``sums``, ``name_before``: the sum of ``expr``
+    over all rows strictly before this one, and ``name_total``.  ``order`` must
+    be a total order (end it with a unique id).  With ``keys`` (without NULLs)
+    every group has numbers and sums of its own; a group may spread over many
+    ranges, and many groups share one."""
+    sums, keys = sums or {}, list(keys)
+    by = [F.col(k) for k in keys] + [F.col(c).desc() if desc else F.col(c).asc() for c, desc in order]
     ranged = cut_lineage(df.withColumns({f"_s_{k}": v.cast("double") for k, v in sums.items()})
                          .repartitionByRange(*by).withColumn("_part", F.spark_partition_id()))
-    per_range = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_cnt"), *[F.sum(f"_s_{k}").alias(f"_t_{k}") for k in sums])
-    every = Window.partitionBy(F.lit(1))
+    per_range = ranged.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_cnt"), *[F.sum(f"_s_{k}").alias(f"_t_{k}") for k in sums])
+    every = Window.partitionBy(*(keys or [F.lit(1)]))
     earlier = every.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_range.select(
-        "_part", F.coalesce(F.sum("_cnt").over(earlier), F.lit(0)).alias("_first"), F.sum("_cnt").over(every).alias("_n"),
+        "_part", *keys, F.coalesce(F.sum("_cnt").over(earlier), F.lit(0)).alias("_first"), F.sum("_cnt").over(every).alias("_n"),
         *[F.coalesce(F.sum(f"_t_{k}").over(earlier), F.lit(0.0)).alias(f"_o_{k}") for k in sums],
         *[F.sum(f"_t_{k}").over(every).alias(f"{k}_total") for k in sums])
-    w = Window.partitionBy("_part").orderBy(*by)
+    w = Window.partitionBy("_part", *keys).orderBy(*by)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    # one row per range: bounded by the number of shuffle partitions
-    out = ranged.join(F.broadcast(offsets), "_part").withColumn("_rn", F.row_number().over(w) - 1 + F.col("_first"))
+    # without keys one row per range: bounded by the number of shuffle partitions
+    out = ranged.join(offsets if keys else F.broadcast(offsets), ["_part", *keys]).withColumn(
+        "_rn", F.row_number().over(w) - 1 + F.col("_first"))
     for k in sums:
         out = out.withColumn(f"{k}_before", F.coalesce(F.sum(f"_s_{k}").over(before), F.lit(0.0)) + F.col(f"_o_{k}"))
     return out.drop("_part", "_first", *[f"_s_{k}" for k in sums], *[f"_o_{k}" for k in sums])
@@ -55,35 +59,50 @@ def exclusive_prefix(df: DataFrame, order: Order, sums: dict[str, Column] | None
 
 # ------------------------------------------------------------------ Gini
 
-def gini_parts(df: DataFrame, y: str, p: str, w: str | None = None, id_col: str = S.ID) -> dict[str, float]:
-    """Exposure-weighted normalised Gini.  Order by prediction
-    descending (ties by id); ``cw = cumsum(w)/W``, ``cy = cumsum(y·w)/ΣYW``;
-    trapezoid area minus 0.5, the curve starting at the first point;
-    divided by the same quantity ordered by ``y``.  ``W <= 0`` or
-    ``ΣYW <= 0`` -> 0; perfect = 0 -> 0."""
+def gini_by(df: DataFrame, y: str, p: str, w: str | None = None, id_col: str = S.ID,
+            keys: list[str] | tuple = ()) -> DataFrame:
+    """Exposure-weighted normalised Gini of each group (of all rows
+    without ``keys``) as ``keys…, gini_raw, gini_perfect, gini``.  Order by
+    prediction descending (ties by id); ``cw = cumsum(w)/W``, ``cy =
+    cumsum(y·w)/ΣYW``; trapezoid area minus 0.5, the curve starting at the
+    first point; divided by the same quantity ordered by ``y``.  ``W <= 0`` or
+    ``ΣYW <= 0`` -> 0; perfect = 0 -> 0.
+
+    Along rows of equal ``y`` the second curve is a straight line, so it is
+    drawn through one point per distinct ``y``."""
+    keys = list(keys)
     wcol = F.col(w).cast("double") if w else F.lit(1.0)
-    base = cut_lineage(df.select(F.col(id_col).alias("_id"), F.col(y).cast("double").alias("_y"),
-                                 F.col(p).cast("double").alias("_p"), wcol.alias("_w"))
-                       .withColumn("_yw", F.col("_y") * F.col("_w")))
+    base = df.select(*keys, F.col(id_col).alias("_id"), F.col(y).cast("double").alias("_y"),
+                     F.col(p).cast("double").alias("_p"), wcol.alias("_w")).withColumn("_yw", F.col("_y") * F.col("_w"))
+    base = cut_lineage(base)
+    under = F.col("_w") * (F.col("yw_before") + F.col("_yw") / 2)
+    got = exclusive_prefix(base, [("_p", True), ("_id", False)], {"yw": F.col("_yw")}, keys)
+    raw = got.groupBy(*keys).agg(F.sum(F.when(F.col("_rn") > 0, under)).alias("a"), F.sum("_w").alias("W"), F.sum("_yw").alias("YW"))
+    levels = base.groupBy(*keys, "_y").agg(F.sum("_w").alias("_w"), F.sum("_yw").alias("_yw"),
+                                           F.min_by("_w", "_id").alias("_w1"))
+    best = exclusive_prefix(levels, [("_y", True)], {"yw": F.col("_yw")}, keys)
+    start = F.when(F.col("_rn") == 0, F.col("_w1") * (F.col("_y") * F.col("_w1") / 2)).otherwise(F.lit(0.0))
+    perfect = best.groupBy(*keys).agg(F.sum(under - start).alias("b"))
+    one = keys or ["_k"]
+    if not keys:
+        raw, perfect = raw.withColumn("_k", F.lit(1)), perfect.withColumn("_k", F.lit(1))
+    some = (F.col("W") > 0) & (F.col("YW") > 0)
+
+    def scaled(a: str) -> Column:
+        return F.coalesce(F.when(some, F.coalesce(F.col(a), F.lit(0.0)) / (F.col("W") * F.col("YW")) - 0.5), F.lit(0.0))
+
+    out = raw.join(perfect, one).select(*keys, scaled("a").alias("gini_raw"), scaled("b").alias("gini_perfect"))
+    return out.withColumn("gini", F.when(F.col("gini_perfect") != 0, F.col("gini_raw") / F.col("gini_perfect")).otherwise(0.0))
 
-    def area(col: str) -> float | None:
-        pre = exclusive_prefix(base, [(col, True), ("_id", False)], {"yw": F.col("_yw")})
-        t = pre.agg(F.sum(F.when(F.col("_rn") > 0, F.col("_w") * (F.col("yw_before") + F.col("_yw") / 2))).alias("s"),
-                    F.sum("_w").alias("W"), F.sum("_yw").alias("YW")).first()
-        return (t["s"] or 0.0) / (t["W"] * t["YW"]) - 0.5 if (t["W"] or 0) > 0 and (t["YW"] or 0) > 0 else None
 
-    raw = area("_p")
-    if raw is None:
-        return {"gini_raw": 0.0, "gini_perfect": 0.0, "gini": 0.0}
-    perfect = area("_y")
-    return {"gini_raw": raw, "gini_perfect": perfect, "gini": raw / perfect if perfect else 0.0}
+def gini_parts(df: DataFrame, y: str, p: str, w: str | None = None, id_col: str = S.ID) -> dict[str, float]:
+    """W01 of all rows, as numbers on the driver."""
+    return gini_by(df, y, p, w, id_col).first().asDict()
 
 
 def normalized_gini(df: DataFrame, y: str, p: str, w: str | None = None, id_col: str = S.ID) -> DataFrame:
     """W01 as a one-row DataFrame ``gini_raw, gini_perfect, gini``."""
-    g = gini_parts(df, y, p, w, id_col)
-    return df.sparkSession.createDataFrame([(g["gini_raw"], g["gini_perfect"], g["gini"])],
-                                           "gini_raw double, gini_perfect double, gini double")
+    return gini_by(df, y, p, w, id_col)
 
 
 # ---------------------------------------------------- rank-first quantile bins
@@ -151,10 +170,46 @@ def split_label(df: DataFrame, id_col: str = S.ID, test_size: float = 0.2,
     return df.withColumn("split", F.when(is_test, "test").otherwise("train"))
 
 
-def group_kfold(df: DataFrame, id_col: str = S.ID, n_folds: int = 5,
-                seed: int | str = 42) -> DataFrame:
-    """``fold`` ∈ 0..k-1 per id (each group in exactly one fold)."""
-    return df.withColumn("fold", (split_hash(id_col, seed) % n_folds).cast("int"))
+def _packed(classes: list[tuple[int, int]], k: int) -> list[tuple[int, int, int, list[int]]]:
+    """Longest-first packing of ``count`` groups of each ``size`` (descending)
+    into ``k`` folds: every group goes to the lightest fold, the first of equal
+    ones.  Groups of one size go round the same folds until the next fold is as
+    light, so a class takes a few lines ``size, first rank, number, folds``."""
+    load, out = [0] * k, []
+    for size, count in classes:
+        at = 0
+        while at < count:
+            low = min(load)
+            turn = sorted((j for j in range(k) if load[j] < low + size), key=lambda j: (load[j], j))
+            above = [x for x in load if x >= low + size]
+            rounds = (min(above) - low) // size if above else count
+            number = min(count - at, rounds * len(turn))
+            out.append((size, at, number, turn))
+            for i, j in enumerate(turn):
+                load[j] += size * (number // len(turn) + (i < number % len(turn)))
+            at += number
+    return out
+
+
+def group_kfold(df: DataFrame, id_col: str = S.ID, n_folds: int = 5, seed: int | str = 42) -> DataFrame:
+    """``fold`` ∈ 0..k-1 per id (each group in exactly one fold), folds
+    balanced by rows: groups are dealt by size, largest first, to the lightest
+    fold, so folds differ by at most the largest group.  Groups of one size are
+    dealt in the order of a seeded hash of their id.  NULL ids are one group.
+
+    The driver sees a line per group size (at most sqrt(2 · rows) of them)."""
+    sizes = df.groupBy(F.col(id_col).alias("_id")).agg(F.count(F.lit(1)).alias("_size"))
+    h = F.coalesce(F.md5(F.concat(F.lit(f"{seed}:"), F.col("_id").cast("string"))), F.lit("g"))
+    ranked = cut_lineage(exclusive_prefix(sizes.withColumn("_h", h), [("_h", False), ("_id", False)], keys=["_size"])
+                         .select("_id", "_size", "_rn", "_n"))
+    classes = [(r["_size"], r["n"]) for r in ranked.groupBy("_size").agg(F.count(F.lit(1)).alias("n")).collect()]
+    lines = df.sparkSession.createDataFrame(_packed(sorted(classes, reverse=True), n_folds),
+                                            "_size long, _from long, _many long, _folds array<int>")
+    dealt = ranked.join(broadcast_if_small(lines), "_size").where(
+        (F.col("_rn") >= F.col("_from")) & (F.col("_rn") < F.col("_from") + F.col("_many")))
+    turn = ((F.col("_rn") - F.col("_from")) % F.size("_folds")).cast("int")
+    folds = cut_lineage(dealt.select("_id", F.element_at("_folds", turn + 1).alias("fold")))
+    return df.join(folds, F.col(id_col).eqNullSafe(F.col("_id"))).drop("_id")
 
 
 def early_stopping_split(train: DataFrame, id_col: str = S.ID, size: float = 0.15,
@@ -164,9 +219,40 @@ def early_stopping_split(train: DataFrame, id_col: str = S.ID, size: float = 0.1
     return grouped_split(train, id_col, size, f"{seed}:es")
 
 
+#: Hex digits of the hash that one pass of ``seeded_sample`` counts, and the
+#: rows it orders at the end.
+_PREFIX, _ORDERED = 3, 4096
+
+
 def seeded_sample(df: DataFrame, n: int, id_col: str = S.ID, seed: int | str = 42) -> DataFrame:
-    """Exactly ``n`` rows without replacement (all rows when
-    ``n >= rows``), chosen by a seeded hash of the id — a top-n selection
-    (each task keeps n candidates, then one merge)."""
+    """Exactly ``n`` rows without replacement (all rows when ``n >=
+    rows``): those of the smallest seeded hashes of the id.
+
+    Nothing is sorted but a few rows: counts of hash prefixes tell in which
+    bucket the n-th row lies; the bucket is counted by longer prefixes until it
+    is small; its order gives the last hash that is taken, and the sample is a
+    filter.  Of rows that share the last id as many are taken as fit."""
+    n = int(n)
+    if n <= 0:
+        return df.limit(0)
     h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
-    return df.orderBy(h, F.col(id_col)).limit(int(n))
+    h = F.coalesce(h, F.lit("g"))                       # rows without an id come last
+    keyed = df.select(h.alias("h"), F.col(id_col).alias("id"))
+    prefix, left, size = "", n, None
+    while size is None or (size > _ORDERED and len(prefix) < 32):
+        inside = keyed.filter(F.col("h").startswith(prefix)) if prefix else keyed
+        counts = inside.groupBy(F.substring("h", 1, len(prefix) + _PREFIX).alias("p")).agg(F.count(F.lit(1)).alias("c"))
+        for p, c in sorted((r["p"], r["c"]) for r in counts.collect()):      # at most 16^3 + 1 rows
+            if c >= left:
+                prefix, size = p, c
+                break
+            left -= c
+        else:
+            return df
+    last = keyed.filter(F.col("h").startswith(prefix)).groupBy("h", "id").agg(F.count(F.lit(1)).alias("c")).orderBy("h", "id")
+    for r in last.toLocalIterator():
+        if r["c"] >= left:
+            break
+        left -= r["c"]
+    below = df.filter((h < r["h"]) | ((h == r["h"]) & (F.col(id_col) < F.lit(r["id"]))))
+    return below.unionByName(df.filter((h == r["h"]) & F.col(id_col).eqNullSafe(F.lit(r["id"]))).limit(left))

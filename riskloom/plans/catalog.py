@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom import schema as S
 from riskloom.functions import bands
 from riskloom.functions.columns import average_claim, round_dp
 from riskloom.functions.columns import floor_at
@@ -434,14 +435,8 @@ def q_baseline_metrics(spark, sf_dir):
 
 # ------------------------------------------------- fitted models (rows-only)
 
-#: The reference's settings: rounds end by patience, the power search and the
-#: final Tweedie fit have fixed rounds.
-GBM_ROUNDS = 2000
-GBM_PATIENCE = 50
-GBM_LR = 0.05
-SEARCH_ROUNDS = 150
-SEARCH_FOLDS = 3
-TWEEDIE_ROUNDS = 100
+#: Share of rows and features that every round draws.
+SAMPLING = {"row_fraction": S.GBM_ROW_FRACTION, "feature_fraction": S.GBM_FEATURE_FRACTION}
 
 
 def _split_encoded(spark, sf_dir):
@@ -457,8 +452,8 @@ def _poisson_gbm(spark, sf_dir):
     tr2, val = ordered.early_stopping_split(tr)
     tr2 = raking.training_weight(tr2, raking.DEFAULT_CONFIG, "fremtpl2", out="rw")
     val = raking.training_weight(val, raking.DEFAULT_CONFIG, "fremtpl2", out="rw")
-    m = boosting.fit_boosted(tr2, enc, "ClaimNb", "Exposure", "rw", "poisson", rounds=GBM_ROUNDS,
-                             learning_rate=GBM_LR, valid=val, patience=GBM_PATIENCE)
+    m = boosting.fit_boosted(tr2, enc, "ClaimNb", "Exposure", "rw", "poisson", rounds=S.GBM_ROUNDS,
+                             learning_rate=S.GBM_RATE, valid=val, patience=S.GBM_PATIENCE, **SAMPLING)
     return m, te
 
 
@@ -473,8 +468,8 @@ def q_tweedie_gbm(spark, sf_dir):
     """Tweedie(1.7) GBM on pure premium, weight exposure × raking."""
     t, enc, tr, te = _split_encoded(spark, sf_dir)
     tr = raking.training_weight(tr, raking.DEFAULT_CONFIG, "fremtpl2", base_weight="Exposure", out="tw")
-    m = boosting.fit_boosted(tr, enc, "pure_premium", None, "tw", "tweedie", 1.7, rounds=TWEEDIE_ROUNDS,
-                             learning_rate=GBM_LR)
+    m = boosting.fit_boosted(tr, enc, "pure_premium", None, "tw", "tweedie", 1.7, rounds=S.TWEEDIE_ROUNDS,
+                             learning_rate=S.GBM_RATE, **SAMPLING)
     p = boosting.predict_boosted(m, te, "pred").withColumn("pred", floor_at("pred", 1e-6))
     return p.select("IDpol", r6("pred").alias("pure_premium_pred"))
 
@@ -482,8 +477,9 @@ def q_tweedie_gbm(spark, sf_dir):
 def q_tweedie_power_search(spark, sf_dir):
     """M10 + A19 + K06: mean validation Gini per power, best power flagged."""
     t, enc, tr, te = _split_encoded(spark, sf_dir)
-    best, means = runs.tweedie_power_search(tr, enc, n_folds=SEARCH_FOLDS, rounds=SEARCH_ROUNDS,
-                                            learning_rate=GBM_LR)
+    tr = raking.training_weight(tr, raking.DEFAULT_CONFIG, "fremtpl2", out="rw")
+    best, means = runs.tweedie_power_search(tr, enc, n_folds=S.SEARCH_FOLDS, weight="rw", rounds=S.SEARCH_ROUNDS,
+                                            learning_rate=S.GBM_RATE)
     return means.select("power", r6("mean_score").alias("mean_gini"),
                         (F.col("power") == F.lit(best)).alias("is_best"))
 
@@ -510,7 +506,7 @@ def q_engine_diagnosis(spark, sf_dir):
     """M15 → X02 with fitted models for every test policy (with drivers)."""
     t, enc, tr, te = _split_encoded(spark, sf_dir)
     m, _ = _poisson_gbm(spark, sf_dir)
-    eng = engine.fit_engine(tr, rounds=GBM_ROUNDS, learning_rate=GBM_LR, patience=GBM_PATIENCE, freq=m)
+    eng = engine.fit_engine(tr, freq=m)
     rep = engine.diagnose_with_engine(eng, te)
     return report.flatten_report(rep, extra=[F.col("drivers")[0]["feature"].alias("driver1")])
 

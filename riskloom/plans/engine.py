@@ -33,8 +33,8 @@ def calibrated_pure_premium(eng: Engine, df: DataFrame, out: str = "premium") ->
     return isotonic.apply_isotonic(eng.isotonic, d, "_raw_pp", out).drop("_raw_pp")
 
 
-def fit_engine(df: DataFrame, cfg: dict | None = DEFAULT_CONFIG, seed: int = 42, rounds: int = 30,
-               learning_rate: float = 0.1, patience: int | None = 10, max_depth: int = 5,
+def fit_engine(df: DataFrame, cfg: dict | None = DEFAULT_CONFIG, seed: int = 42, rounds: int = S.GBM_ROUNDS,
+               learning_rate: float = S.GBM_RATE, patience: int | None = S.GBM_PATIENCE, max_depth: int = 5,
                min_rows: int = 100, loading: dict | None = None,
                freq: boosting.BoostedModel | None = None) -> Engine:
     """Bands, frequency GBM with grouped early stopping, Gamma
@@ -52,7 +52,8 @@ def fit_engine(df: DataFrame, cfg: dict | None = DEFAULT_CONFIG, seed: int = 42,
         wcol = "_rw" if "_rw" in tr2.columns else None
         freq = boosting.fit_boosted(tr2, enc, S.CLAIM_NB, S.EXPOSURE, wcol, "poisson", rounds=rounds,
                                     learning_rate=learning_rate, max_depth=max_depth, min_rows=min_rows,
-                                    valid=val, patience=patience, seed=seed)
+                                    valid=val, patience=patience, seed=seed, row_fraction=S.GBM_ROW_FRACTION,
+                                    feature_fraction=S.GBM_FEATURE_FRACTION)
     claims = clean.claim_policies(df).withColumn("avg_claim", average_claim("sev_total", "sev_count"))
     claims = training_weight(claims, cfg, "fremtpl2", out="_rw")
     sev = glm.fit_gamma_severity(features.design_frame(claims, enc, keep=["avg_claim", "sev_count", *(
@@ -71,7 +72,7 @@ def fit_engine(df: DataFrame, cfg: dict | None = DEFAULT_CONFIG, seed: int = 42,
 
 
 def diagnose_with_engine(eng: Engine, rows: DataFrame, with_drivers: bool = True,
-                         id_col: str = S.ID) -> DataFrame:
+                         id_col: str = S.ID, market_index=None) -> DataFrame:
     """X02 with fitted models for a whole table of policies/quotes:
     calibrated premium (M14) → drivers (M16/K04) → report (X01) → cohort
     (D05) → bands."""
@@ -82,4 +83,4 @@ def diagnose_with_engine(eng: Engine, rows: DataFrame, with_drivers: bool = True
         scored = attribution.attributions(eng.freq, scored, id_col, keep=carried).select(*carried, "drivers")
         drivers_col = "drivers"
     return report.diagnose(scored, eng.market, eng.cohorts, "premium", "premium", id_col,
-                           eng.loading, drivers_col)
+                           eng.loading, drivers_col, market_index=market_index)

@@ -162,3 +162,12 @@ PASSENGER_USES = ["자가용", "영업용", "관용"]
 
 # Tweedie power grid.
 TWEEDIE_POWER_GRID = [1.5, 1.6, 1.7, 1.8, 1.9]
+# boosted trees: rounds that end by patience, fixed rounds of the power search and of the Tweedie model
+GBM_ROUNDS = 2000
+GBM_PATIENCE = 50
+GBM_RATE = 0.05
+GBM_ROW_FRACTION = 0.8
+GBM_FEATURE_FRACTION = 0.8
+SEARCH_ROUNDS = 150
+SEARCH_FOLDS = 3
+TWEEDIE_ROUNDS = 100

@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from riskloom import schema as S
 from riskloom.operators import clean, report
 from riskloom.operators.market_index import build_market_index
-from riskloom.sources.tables import read_quote_stream
+from riskloom.plans.engine import diagnose_with_engine
+from riskloom.sources.bundle import load_engine, versions
+from riskloom.sources.tables import _exists, read_quote_stream
 
 
 def diagnose_batch(quotes: DataFrame, market: DataFrame | None, cohorts: DataFrame | None,
@@ -57,6 +59,50 @@ def start_quote_stream(spark: SparkSession, source: str, out: str, checkpoint: s
     return w.start()
 
 
+class BundleScorer:
+    """The newest complete version of an engine bundle, looked up before every
+    micro-batch; model, market index and cohorts change together."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.engine, self.index = spark, path, None, None
+
+    def use(self, version: int) -> None:
+        if self.engine is None or self.engine.version != version:
+            self.engine = load_engine(self.spark, self.path, version)
+            self.index = build_market_index(self.engine.market, "premium")
+
+
+def start_bundle_stream(spark: SparkSession, source: str, out: str, checkpoint: str, bundle: str,
+                        max_files_per_trigger: int = 1, trigger: dict | None = None):
+    """T01 with a fitted engine: quotes are diagnosed with the bundle's newest
+    complete version, so a new version is picked up between micro-batches.  A
+    batch notes its version before it works (``<out>/versions``) and keeps it
+    when it is replayed; every report carries it as ``engine_version``."""
+    scorer = BundleScorer(spark, bundle)
+    stream = read_quote_stream(spark, source, max_files_per_trigger)
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        noted = f"{out}/versions/batch={batch_id}"
+        if _exists(spark, f"{noted}/_SUCCESS"):
+            version = spark.read.parquet(noted).first()["version"]
+        else:
+            known = versions(spark, bundle)
+            if not known:
+                raise FileNotFoundError(f"no complete engine version in {bundle}")
+            version = known[-1]
+            spark.createDataFrame([(version,)], "version int").write.mode("overwrite").parquet(noted)
+        scorer.use(version)
+        valid, bad = clean.validate_quotes(batch)
+        reps = diagnose_with_engine(scorer.engine, valid, market_index=scorer.index)
+        reps.withColumns({"batch": F.lit(batch_id), "engine_version": F.lit(version)}).write.mode("overwrite").parquet(
+            f"{out}/valid/batch={batch_id}")
+        bad.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/quarantine/batch={batch_id}")
+
+    w = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    w = w.trigger(**trigger) if trigger else w
+    return w.start()
+
+
 def read_stream_output(spark: SparkSession, out: str, kind: str = "valid") -> DataFrame:
     """Read back everything the stream wrote (all batches)."""
     return spark.read.option("basePath", f"{out}/{kind}").parquet(f"{out}/{kind}/batch=*")

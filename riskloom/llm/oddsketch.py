@@ -16,8 +16,9 @@ text is one shingle).  Documents link at a Jaccard similarity of 0.8 or more.
    (exact distribution of the count at similarity 0.8: a link is refused with
    probability ``RISK`` at most) are dropped; the others are confirmed on the
    full sets, which are hashed again from the texts of the nodes in question.
-   Only one pair per node is confirmed first, its most similar leader; pairs
-   that this has brought into one component need no confirmation any more.
+   Every node is tested against the leader of its largest bucket first; of its
+   other leaders only those that this has left in another component, the most
+   similar one before the rest.
 5. Buckets that still hold members of different components are searched whole:
    their members are cut into chunks (a component that fills chunks has its
    own), pairs of chunks that can hold a new link meet in one row each, and
@@ -286,13 +287,12 @@ def _rest(members: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return work.mapInArrow(pairs, "u long, v long, bits long").distinct()
 
 
-def _joined(pairs: DataFrame, found: DataFrame | None, nodes: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _joined(pairs: DataFrame, found: DataFrame, nodes: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The confirmed links, joined by those that ``pairs`` (u, v, bits) add,
     and their components: first the most similar partner of every node, then
     what this leaves in different components."""
     nearest = written(pairs.groupBy("v").agg(F.min_by("u", F.struct("bits", "u")).alias("u")).select("u", "v"), "oddsketch-nearest")
-    first = _confirmed(nearest, nodes, docs)
-    found = first if found is None else found.union(first)
+    found = found.union(_confirmed(nearest, nodes, docs))
     left = _unresolved(pairs.select("u", "v"), components(found)).join(nearest, ["u", "v"], "left_anti")
     found = found.union(_confirmed(written(left, "oddsketch-left"), nodes, docs))
     return found, components(found)
@@ -306,12 +306,18 @@ def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     order = F.struct(F.xxhash64("node", "key"), F.col("node"))
     shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min_by("node", order).alias("leader"))
                      .where("size > 1"), "oddsketch-buckets")
-    members = written(keyed.join(shared, "key").select("key", "node", "leader"), "oddsketch-members")
-    star = members.where("node <> leader").select(
-        F.least("node", "leader").alias("u"), F.greatest("node", "leader").alias("v")).distinct()
-    star = written(_sketched(star, nodes), "oddsketch-star")
-    found, roots = _joined(star, None, nodes, docs)
-    rest = _rest(members.select("key", "node"), nodes, roots).join(star.select("u", "v"), ["u", "v"], "left_anti")
+    members = written(keyed.join(shared, "key").select("key", "node", "leader", "size"), "oddsketch-members")
+    ends = [F.least("node", "leader").alias("u"), F.greatest("node", "leader").alias("v")]
+    followers = members.where("node <> leader")
+    # one leader per node first, that of its largest bucket
+    one = followers.groupBy("node").agg(F.max_by("leader", F.struct("size", "key")).alias("leader"))
+    first = written(_sketched(one.select(*ends).distinct(), nodes), "oddsketch-first")
+    found = _confirmed(first.select("u", "v"), nodes, docs)
+    open_pairs = _unresolved(followers.select(*ends), components(found)).distinct()
+    star = written(_sketched(open_pairs, nodes).join(first, ["u", "v"], "left_anti"), "oddsketch-star")
+    found, roots = _joined(star, found, nodes, docs)
+    tested = first.select("u", "v").union(star.select("u", "v"))
+    rest = _rest(members.select("key", "node"), nodes, roots).join(tested, ["u", "v"], "left_anti")
     return _joined(written(rest, "oddsketch-rest"), found, nodes, docs)[0]
 
 

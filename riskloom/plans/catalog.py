@@ -19,6 +19,7 @@ from riskloom.operators import (attribution, boosting, clean, features, glm, iso
 from riskloom.plans import engine, runs
 from riskloom.session import cut_lineage, ensure_checkpoint_dir
 from riskloom.streaming import quotes as quotes_stream
+from riskloom.sources import bundle
 from riskloom.sources import fixtures as fx
 from riskloom.sources import tables
 
@@ -285,6 +286,14 @@ def q_grouped_kfold(spark, sf_dir):
     return ordered.group_kfold(policy_frame(spark, sf_dir)).select("IDpol", "fold")
 
 
+def q_grouped_kfold_claims(spark, sf_dir):
+    """W05 over the claims: policies with several claims stay whole, folds are
+    balanced by claims."""
+    claims = fx.claims(spark, sf_dir)
+    folds = ordered.group_kfold(claims, n_folds=3)
+    return folds.groupBy("IDpol").agg(F.max("fold").alias("fold"), F.count(F.lit(1)).alias("n_claims"))
+
+
 def q_early_stopping_split(spark, sf_dir):
     train, _ = ordered.grouped_split(policy_frame(spark, sf_dir))
     tr2, val = ordered.early_stopping_split(train)
@@ -511,6 +520,56 @@ def q_engine_diagnosis(spark, sf_dir):
     return report.flatten_report(rep, extra=[F.col("drivers")[0]["feature"].alias("driver1")])
 
 
+def _stored_engine(spark, sf_dir):
+    """The engine of the training policies as a bundle in the shared folder."""
+    tr, te = ordered.grouped_split(cut_lineage(training_frame(spark, sf_dir)))
+    path = _scratch(spark, "bundle")
+    bundle.save_engine(engine.fit_engine(tr), path)
+    return path, te
+
+
+def q_bundle_diagnosis(spark, sf_dir):
+    """S07 → S08 → X02: the engine is fitted, saved, read back and diagnoses
+    every test policy."""
+    path, te = _stored_engine(spark, sf_dir)
+    rep = engine.diagnose_with_engine(bundle.load_engine(spark, path), te)
+    return report.flatten_report(rep, extra=[F.col("drivers")[0]["feature"].alias("driver1")])
+
+
+def q_bundle_stream_diagnosis(spark, sf_dir):
+    """T01 with the fitted engine of a bundle: all quotes as a stream of files."""
+    path, _ = _stored_engine(spark, sf_dir)
+    base = _scratch(spark, "bundle-stream")
+    fx.quotes(fx.policies(spark, sf_dir)).repartition(4, "IDpol").write.json(f"{base}/in")
+    query = quotes_stream.start_bundle_stream(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", path)
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    out = quotes_stream.read_stream_output(spark, f"{base}/out")
+    return report.flatten_report(out, extra=["engine_version"])
+
+
+def q_boosting_metrics(spark, sf_dir):
+    """GLM, boosted and Tweedie models with power search; metric table."""
+    return runs.boosting_run(*raw_frames(spark, sf_dir))
+
+
+def q_evaluation_metrics(spark, sf_dir):
+    """Gini, balance and auto-calibration before and after isotonic; the
+    global top factors are rows of model ``top_factors``."""
+    rows, factors = runs.evaluation_run(*raw_frames(spark, sf_dir))
+    return rows.unionByName(factors.select(
+        F.lit("evaluation").alias("run"), F.lit("top_factors").alias("model"), F.col("feature").alias("metric"),
+        F.col("mean_abs_effect").alias("value")))
+
+
+def q_diagnosis_examples(spark, sf_dir):
+    """Engine fit, bundle, reports of five example test policies."""
+    rep, _ = runs.diagnosis_run(*raw_frames(spark, sf_dir), _scratch(spark, "diagnosis-run"))
+    return report.flatten_report(rep, extra=[F.col("drivers")[0]["feature"].alias("driver1")])
+
+
 def q_stream_diagnosis(spark, sf_dir):
     """Quotes written as JSON files, read as a stream (one file per
     trigger), diagnosed per micro-batch against the policy market."""
@@ -588,6 +647,12 @@ QUERIES = {
     "top_factors": q_top_factors,
     "engine_diagnosis": q_engine_diagnosis,
     "stream_diagnosis": q_stream_diagnosis,
+    "grouped_kfold_claims": q_grouped_kfold_claims,
+    "bundle_diagnosis": q_bundle_diagnosis,
+    "bundle_stream_diagnosis": q_bundle_stream_diagnosis,
+    "boosting_metrics": q_boosting_metrics,
+    "evaluation_metrics": q_evaluation_metrics,
+    "diagnosis_examples": q_diagnosis_examples,
 }
 
 FLAGSHIP = "diagnosis_report"

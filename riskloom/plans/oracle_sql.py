@@ -254,7 +254,18 @@ FROM bins, bt""",
     "grouped_split": with_fixtures(*TRAINING_CTES) + f"""
 SELECT IDpol, CASE WHEN {split_hash_sql('IDpol')} < 2000 THEN 'test' ELSE 'train' END AS split FROM train""",
     "grouped_kfold": with_fixtures(*TRAINING_CTES) + f"""
-SELECT IDpol, CAST({split_hash_sql('IDpol')} % 5 AS INTEGER) AS fold FROM train""",
+SELECT IDpol, CAST((row_number() OVER (ORDER BY md5(concat('42:', CAST(IDpol AS VARCHAR))), IDpol) - 1) % 5 AS INTEGER) AS fold
+FROM train""",
+    # every policy, most claims first, to the fold with the fewest claims
+    "grouped_kfold_claims": with_fixtures("""groups AS (
+  SELECT IDpol, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, md5(concat('42:', CAST(IDpol AS VARCHAR))), IDpol) AS r
+  FROM claim GROUP BY IDpol)""", """dealt AS (
+  SELECT 0::BIGINT AS r, 0::BIGINT AS IDpol, 0::BIGINT AS n, 0 AS fold, [0::BIGINT, 0::BIGINT, 0::BIGINT] AS load
+  UNION ALL
+  SELECT g.r, g.IDpol, g.n, list_position(d.load, list_min(d.load)) - 1,
+         list_transform(d.load, lambda x, i: x + CASE WHEN i = list_position(d.load, list_min(d.load)) THEN g.n ELSE 0 END)
+  FROM dealt d JOIN groups g ON g.r = d.r + 1)""").replace("WITH ", "WITH RECURSIVE ", 1) + """
+SELECT IDpol, CAST(fold AS INTEGER) AS fold, CAST(n AS BIGINT) AS n_claims FROM dealt WHERE r > 0""",
     "early_stopping_split": with_fixtures(*TRAINING_CTES) + f"""
 SELECT IDpol, CASE WHEN {split_hash_sql('IDpol', '42:es')} < 1500 THEN 'validation' ELSE 'fit' END AS part
 FROM train WHERE {split_hash_sql('IDpol')} >= 2000""",

@@ -1,5 +1,8 @@
 """Model jobs: design frames, GLMs, boosting, attributions, isotonic,
 engine bundle round trip."""
+import dataclasses
+import uuid
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -7,7 +10,7 @@ from pyspark.sql import functions as F
 
 from riskloom.operators import attribution, boosting, features, glm, isotonic, metrics
 from riskloom.plans import catalog, engine
-from riskloom.sources.bundle import load_engine, save_engine
+from riskloom.sources.bundle import load_engine, save_engine, versions
 from tests.conftest import SF_SMALL
 
 
@@ -62,7 +65,7 @@ def test_gamma_glm_runs_with_weights(spark, train, enc):
 def gbm(train, enc):
     return boosting.fit_boosted(train, enc, "ClaimNb", "Exposure", None, "poisson", rounds=6,
                                 learning_rate=0.3, min_rows=20, valid=train, patience=None,
-                                checkpoint_every=3)
+                                state_every=3)
 
 
 def test_poisson_boosting_deviance_falls(gbm, train):
@@ -102,6 +105,55 @@ def test_isotonic_pools_by_hand(spark):
     assert got == pytest.approx([1.0, 1.0, 2.25, 2.25, (2.25 + 5.5) / 2, 5.5, 5.5])
 
 
+def plain_pav(points):
+    """[(x, y, w)] in order of x -> fitted value per point."""
+    stack = []
+    for x, y, w in points:
+        stack.append([y * w, w, 1])
+        while len(stack) > 1 and stack[-2][0] * stack[-1][1] > stack[-1][0] * stack[-2][1]:
+            a = stack.pop()
+            stack[-1] = [p + q for p, q in zip(stack[-1], a)]
+    return [s / w for s, w, n in stack for _ in range(n)]
+
+
+@pytest.mark.parametrize("shape", ["noisy", "reversed", "steps", "hot"])
+def test_isotonic_over_ranges_equals_plain_pooling(spark, shape):
+    """10^5 distinct predictions over many ranges: little pooling, one pool of
+    everything, blocks that reach over several ranges, half of the rows on one
+    prediction."""
+    rng = np.random.default_rng(1)
+    n = 100_000
+    x = np.sort(rng.uniform(0, 1000, n))
+    y = {"noisy": x + rng.normal(0, 300, n), "reversed": -x, "hot": x + rng.normal(0, 50, n),
+         "steps": np.where((x > 200) & (x < 700), 900 - x, x) + rng.normal(0, 5, n)}[shape]
+    w = rng.uniform(.5, 1.5, n)
+    if shape == "hot":
+        x[n // 4: 3 * n // 4] = x[n // 2]
+    pdf = pd.DataFrame({"p": x, "y": y, "w": w})
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        m = isotonic.fit_isotonic(spark.createDataFrame(pdf.sample(frac=1, random_state=0)), "p", "y", "w")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    pooled = pdf.assign(wy=pdf.y * pdf.w).groupby("p", as_index=False)[["wy", "w"]].sum()
+    fitted = plain_pav(list(zip(pooled.p, pooled.wy / pooled.w, pooled.w)))
+    at = spark.createDataFrame(pd.DataFrame({"i": range(len(pooled)), "p": pooled.p}).iloc[::37])
+    got = isotonic.apply_isotonic(m, at, "p", "c").toPandas().set_index("i").c
+    assert np.allclose(got, np.array(fitted)[got.index], rtol=1e-9, atol=1e-7)
+    ends = isotonic.apply_isotonic(m, spark.createDataFrame([(-1e9,), (1e9,), (float("nan"),), (None,)], "p double"), "p", "c")
+    got = {str(r.p): r.c for r in ends.collect()}
+    assert got["-1000000000.0"] == pytest.approx(fitted[0]) and got["1000000000.0"] == pytest.approx(fitted[-1])
+    assert got["nan"] is None and got["None"] is None
+
+
+def test_isotonic_of_nothing(spark):
+    none = spark.createDataFrame([(1.0, None, 1.0), (None, 2.0, 1.0), (3.0, 1.0, 0.0)], "p double, y double, w double")
+    m = isotonic.fit_isotonic(none, "p", "y", "w")
+    assert m.points.count() == 0
+    assert [r.c for r in isotonic.apply_isotonic(m, none, "p", "c").collect()] == [None] * 3
+
+
 def test_calibration_by_hand(spark):
     """Two bins of two rows: |1.5 - 1| + |2 - 3.5| of the weights, over the mean."""
     df = spark.createDataFrame([(1, 1.0, 0.5), (2, 2.0, 1.5), (3, 1.0, 3.0), (4, 3.0, 4.0)], "IDpol long, y double, p double")
@@ -122,7 +174,7 @@ def test_engine_bundle_round_trip(spark, train, tmp_path):
     eng = engine.fit_engine(train, rounds=3, learning_rate=0.3, patience=None, min_rows=20)
     rows = train.limit(50)
     before = engine.calibrated_pure_premium(eng, rows).select("IDpol", "premium").toPandas()
-    path = f"{spark.conf.get('spark.checkpoint.dir')}/bundle-test"
+    path = f"{spark.conf.get('spark.checkpoint.dir')}/bundle-{uuid.uuid4().hex}"
     save_engine(eng, path)
     eng2 = load_engine(spark, path)
     after = engine.calibrated_pure_premium(eng2, rows).select("IDpol", "premium").toPandas()
@@ -131,10 +183,23 @@ def test_engine_bundle_round_trip(spark, train, tmp_path):
     assert (m.premium_x >= 0).all()
     rep = engine.diagnose_with_engine(eng2, rows).toPandas()
     assert rep.risk_percentile.between(0, 100).all()
-    assert (rep.estimated_gross_premium > rep.pure_premium).all()
+    assert ((rep.estimated_gross_premium > rep.pure_premium) | (rep.pure_premium == 0)).all()   # the lowest pool may have no claim
     assert rep.cohort.notna().all()
+    assert rep.drivers.map(len).eq(3).all()
+    assert [t.rows.tolist() for t in eng2.freq.trees] == [t.rows.tolist() for t in eng.freq.trees]
     with pytest.raises(FileNotFoundError):
         load_engine(spark, path + "-missing")
+    with pytest.raises(FileNotFoundError):
+        load_engine(spark, path, 9)
+
+    # a save that is cut short leaves the version before in force
+    cut = dataclasses.replace(eng, factors=None)
+    with pytest.raises(AttributeError):
+        save_engine(cut, path)
+    assert versions(spark, path) == [eng2.version] and load_engine(spark, path).version == eng2.version
+    newer = save_engine(eng, path, keep=2)
+    assert newer == eng2.version + 2 and versions(spark, path) == [eng2.version, newer]
+    assert save_engine(eng, path, keep=1) == newer + 1 and versions(spark, path) == [newer + 1]
 
 
 def test_market_stats_histogram(spark):

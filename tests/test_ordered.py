@@ -154,11 +154,87 @@ def test_splits_are_grouped_and_stable(spark):
     assert tr.join(te, "IDpol").count() == 0
     assert 0.17 < te.count() / 5000 < 0.23
     f = ordered.group_kfold(df, n_folds=5).groupBy("fold").count().collect()
-    assert len(f) == 5 and all(800 < r["count"] < 1200 for r in f)
+    assert sorted(r["count"] for r in f) == [1000] * 5
     tr2, val = ordered.early_stopping_split(tr)
     assert 0.1 < val.count() / tr.count() < 0.2
 
 
+def plain_packing(sizes, k):
+    """Every group, largest first, to the lightest fold (the first of equal ones)."""
+    load, out = [0] * k, []
+    for s in sizes:
+        j = min(range(k), key=lambda i: (load[i], i))
+        load[j] += s
+        out.append(j)
+    return out
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 7])
+def test_packing_lines_equal_one_by_one_packing(k):
+    rng = np.random.default_rng(k)
+    for _ in range(40):
+        sizes = sorted(rng.choice([1, 1, 2, 3, 5, 8, 40, 300], rng.integers(1, 200)).tolist(), reverse=True)
+        classes = [(s, sizes.count(s)) for s in sorted(set(sizes), reverse=True)]
+        lines, got = ordered._packed(classes, k), []
+        for size, first, number, folds in lines:
+            assert first == len([g for g in got if g[0] == size])
+            got += [(size, folds[i % len(folds)]) for i in range(number)]
+        assert [f for _, f in got] == plain_packing(sizes, k)
+        assert len(lines) <= (k + 1) * len(classes)
+
+
+def test_folds_are_balanced_by_rows(spark):
+    """Groups of several rows, one with a third of them, and rows without an id."""
+    ids = [0] * 900 + [i for i in range(1, 200) for _ in range(i % 13)] + [None] * 50
+    df = spark.createDataFrame([(i, k) for k, i in enumerate(ids)], "IDpol long, row long")
+    rows = ordered.group_kfold(df, n_folds=3).collect()
+    assert sorted(r.row for r in rows) == list(range(len(ids)))
+    folds = {}
+    for r in rows:
+        folds.setdefault(r.IDpol, set()).add(r.fold)
+    assert all(len(f) == 1 for f in folds.values())
+    total = [sum(r.fold == j for r in rows) for j in range(3)]
+    sizes = sorted((ids.count(i) for i in set(ids)), reverse=True)
+    want = [0] * 3
+    for s, j in zip(sizes, plain_packing(sizes, 3)):
+        want[j] += s
+    assert total == want and max(total) - min(total) <= 900
+
+
+def test_gini_by_group_equals_single_runs(spark):
+    rng = np.random.default_rng(8)
+    n = 600
+    pdf = pd.DataFrame({"IDpol": range(n), "g": rng.integers(0, 4, n), "h": rng.integers(0, 2, n),
+                        "y": rng.integers(0, 4, n).astype(float), "p": rng.integers(0, 40, n) / 7.0, "w": rng.uniform(.3, 1, n)})
+    pdf.loc[pdf.g == 3, "y"] = 0.0
+    df = spark.createDataFrame(pdf)
+    got = {(r.g, r.h): r for r in ordered.gini_by(df, "y", "p", "w", keys=["g", "h"]).collect()}
+    assert len(got) == 8
+    for (g, h), r in got.items():
+        one = ordered.gini_parts(df.where((F.col("g") == g) & (F.col("h") == h)), "y", "p", "w")
+        assert [r.gini_raw, r.gini_perfect, r.gini] == pytest.approx([one["gini_raw"], one["gini_perfect"], one["gini"]], abs=1e-12)
+    assert got[3, 0].gini == 0.0
+    sub = pdf[(pdf.g == 1) & (pdf.h == 1)]
+
+    def area(order):
+        cw, cy = np.cumsum(order.w) / order.w.sum(), np.cumsum(order.y * order.w) / (order.y * order.w).sum()
+        return np.trapezoid(cy, cw) - 0.5
+    want = area(sub.sort_values(["p", "IDpol"], ascending=[False, True])), area(sub.sort_values(["y", "IDpol"], ascending=[False, True]))
+    assert [got[1, 1].gini_raw, got[1, 1].gini_perfect] == pytest.approx(want, abs=1e-12)
+
+
+@pytest.mark.parametrize("n", [1, 299, 2000, 9999, 10_000, 20_000])
+def test_sample_is_that_of_the_smallest_hashes(spark, monkeypatch, n):
+    monkeypatch.setattr(ordered, "_PREFIX", 1)
+    monkeypatch.setattr(ordered, "_ORDERED", 40)
+    ids = list(range(9_000)) + [77] * 997 + [None] * 3
+    df = spark.createDataFrame([(i,) for i in ids], "IDpol long")
+    import hashlib
+    key = {i: ("g" if i is None else hashlib.md5(f"42:{i}".encode()).hexdigest()) for i in set(ids)}
+    got = [r.IDpol for r in ordered.seeded_sample(df, n).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, sorted(ids, key=lambda i: key[i])[:n]))
+
+
 def test_seeded_sample_exact_size(spark):
     df = spark.range(1, 2001).withColumnRenamed("id", "IDpol")
     a = ordered.seeded_sample(df, 300)

@@ -9,14 +9,16 @@ text is one shingle).  Documents link at a Jaccard similarity of 0.8 or more.
    ``BITS`` bits.  A 128-bit digest names the set.
 2. Equal sets collapse to one node, so any number of copies costs one row.
 3. Candidates share a band.  A pair at 0.8 shares none of the 32 bands of four
-   rows with probability 5e-8.  In every band bucket a leader (the member of
-   smallest hash, another one in each band) meets all members: linear work.
+   rows with probability 5e-8.  In every band bucket a leader meets all members:
+   linear work.  The leader is the member that shares most buckets with most
+   others, so of an original and its edited copies the original, which is closer
+   to every copy than the copies are to each other.
 4. Samples that two sets share cancel in the XOR of their sketches, so its
    population count tells how many samples differ.  Pairs above ``reject_above``
    (exact distribution of the count at similarity 0.8: a link is refused with
    probability ``RISK`` at most) are dropped; the others are confirmed on the
    full sets, which are hashed again from the texts of the nodes in question.
-   Every node is tested against the leader of its largest bucket first; of its
+   Every node is tested against its leader of the highest rank first; of its
    other leaders only those that this has left in another component, the most
    similar one before the rest.
 5. Buckets that still hold members of different components are searched whole:
@@ -303,14 +305,16 @@ def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     "similarity at least ``SIMILARITY`` percent".  ``docs``: ``doc_id,
     text_hash, text``."""
     keyed = nodes.select("node", F.explode("bands").alias("key"))
-    order = F.struct(F.xxhash64("node", "key"), F.col("node"))
-    shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min_by("node", order).alias("leader"))
-                     .where("size > 1"), "oddsketch-buckets")
-    members = written(keyed.join(shared, "key").select("key", "node", "leader", "size"), "oddsketch-members")
+    sizes = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "oddsketch-buckets")
+    members = written(keyed.join(sizes, "key"), "oddsketch-members")
+    known = written(members.groupBy("node").agg(F.sum("size").alias("rank")), "oddsketch-ranks")
+    rank = F.struct("rank", F.xxhash64("node").alias("h"), "node")
+    leaders = written(members.join(known, "node").groupBy("key").agg(F.max(rank).alias("best")), "oddsketch-leaders")
     ends = [F.least("node", "leader").alias("u"), F.greatest("node", "leader").alias("v")]
-    followers = members.where("node <> leader")
-    # one leader per node first, that of its largest bucket
-    one = followers.groupBy("node").agg(F.max_by("leader", F.struct("size", "key")).alias("leader"))
+    followers = written(members.join(leaders, "key").where("node <> best.node").groupBy("node", "best").agg(F.lit(1))
+                        .select("node", "best", F.col("best.node").alias("leader")), "oddsketch-followers")
+    # one leader per node first, that of the highest rank
+    one = followers.groupBy("node").agg(F.max("best").alias("best")).select("node", F.col("best.node").alias("leader"))
     first = written(_sketched(one.select(*ends).distinct(), nodes), "oddsketch-first")
     found = _confirmed(first.select("u", "v"), nodes, docs)
     open_pairs = _unresolved(followers.select(*ends), components(found)).distinct()

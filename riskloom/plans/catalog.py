@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from riskloom import schema as S
 from riskloom.functions import bands
-from riskloom.functions.columns import average_claim, round_dp
-from riskloom.functions.columns import floor_at
+from riskloom.functions.columns import (average_claim, clamp_percentile, count_from_rate, floor_at, rate_from_count,
+                                        round_dp)
 from riskloom.operators import (attribution, boosting, clean, features, glm, isotonic, market, metrics,
                                 ordered, raking, report)
 from riskloom.plans import engine, runs
@@ -520,6 +520,67 @@ def q_engine_diagnosis(spark, sf_dir):
     return report.flatten_report(rep, extra=[F.col("drivers")[0]["feature"].alias("driver1")])
 
 
+def q_stat_rows_scan(spark, sf_dir):
+    """The statistics rows as one JSON list per table, read back."""
+    out = None
+    for name, rows in stat_frames(spark, sf_dir).items():
+        path = _scratch(spark, f"stat-{name}")
+        listed = rows.agg(F.to_json(F.collect_list(F.struct("ITM_NM", "C1_NM", "C2_NM", "DT"))))   # a row per published cell
+        listed.coalesce(1).write.text(path)
+        read = tables.read_stat_rows(spark, path).select(F.lit(name).alias("source"), "ITM_NM", "C1_NM", "C2_NM", "DT")
+        out = read if out is None else out.unionByName(read)
+    return out
+
+
+def q_report_json(spark, sf_dir):
+    """The reports as JSON lines, read back."""
+    pf = premium_frame(spark, sf_dir)
+    rep = report.diagnose(valid_quotes(spark, sf_dir), pf, market.cohort_stats(pf, "premium"),
+                          loading={"expense_ratio": 0.25, "profit_margin": 0.05})
+    path = _scratch(spark, "reports")
+    tables.write_reports(rep, path)
+    return report.flatten_report(spark.read.schema(rep.schema).json(path))
+
+
+def q_prediction_scale(spark, sf_dir):
+    """Claims per year of exposure, counts back from the rate, and the
+    floors of predictions."""
+    t = training_frame(spark, sf_dir).withColumn("rate", rate_from_count("ClaimNb", "Exposure"))
+    return t.select("IDpol", r6("rate").alias("rate"), r6(count_from_rate("rate", "Exposure")).alias("count"),
+                    floor_at(count_from_rate("rate", "Exposure"), S.COUNT_FLOOR).alias("floored_count"),
+                    r6(floor_at("sev_total", S.SEVERITY_FLOOR)).alias("floored_severity"),
+                    r6(floor_at("pure_premium", S.TWEEDIE_FLOOR)).alias("floored_premium"))
+
+
+def q_percentile_clamp(spark, sf_dir):
+    """P25 on positions that leave the scale, are missing or not a number."""
+    place = (F.when(F.col("IDpol") % 11 == 0, F.lit(float("nan"))).when(F.col("IDpol") % 13 == 0, F.lit(None))
+             .otherwise((F.col("BonusMalus") - 60) * 2.5))
+    return fx.policies(spark, sf_dir).select("IDpol", clamp_percentile(place).alias("percentile"))
+
+
+def q_rake_identity_margin(spark, sf_dir):
+    """G01 with P17 and F08: the area itself as a margin; a margin without a
+    target and one without its column are skipped."""
+    t = policy_frame(spark, sf_dir).withColumn("zone", bands.transformed("identity", "Area", {}))
+    target = {"A": 0.1, "B": 0.1, "C": 0.3, "D": 0.2, "E": 0.2, "F": 0.1}
+    w = raking.rake(t, {"zone": target, "VehGas": {}, "absent": {"x": 1.0}})
+    return w.select("IDpol", "zone", r6("rake_weight").alias("rake_weight"))
+
+
+def q_metric_comparison(spark, sf_dir):
+    """U02 over S10 rows: two models' metric rows side by side."""
+    s = scored_frame(spark, sf_dir).withColumn("flat", F.lit(250.0))
+    rows = None
+    for model, p in (("analytic", "pred"), ("constant", "flat")):
+        found = metrics.calibration_report(s, "pure_premium", p, "Exposure").first().asDict()
+        found["mean_prediction"] = s.agg(F.avg(p)).first()[0]
+        part = tables.metric_rows(spark, "comparison", model, found)
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.where("metric <> 'auto_cal_error'").groupBy("metric").pivot("model", ["analytic", "constant"]).agg(
+        r6(F.first("value"))).select("metric", "analytic", "constant")
+
+
 def _stored_engine(spark, sf_dir):
     """The engine of the training policies as a bundle in the shared folder."""
     tr, te = ordered.grouped_split(cut_lineage(training_frame(spark, sf_dir)))
@@ -648,6 +709,12 @@ QUERIES = {
     "engine_diagnosis": q_engine_diagnosis,
     "stream_diagnosis": q_stream_diagnosis,
     "grouped_kfold_claims": q_grouped_kfold_claims,
+    "stat_rows_scan": q_stat_rows_scan,
+    "report_json": q_report_json,
+    "prediction_scale": q_prediction_scale,
+    "percentile_clamp": q_percentile_clamp,
+    "rake_identity_margin": q_rake_identity_margin,
+    "metric_comparison": q_metric_comparison,
     "bundle_diagnosis": q_bundle_diagnosis,
     "bundle_stream_diagnosis": q_bundle_stream_diagnosis,
     "boosting_metrics": q_boosting_metrics,

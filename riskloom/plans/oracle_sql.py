@@ -256,16 +256,6 @@ SELECT IDpol, CASE WHEN {split_hash_sql('IDpol')} < 2000 THEN 'test' ELSE 'train
     "grouped_kfold": with_fixtures(*TRAINING_CTES) + f"""
 SELECT IDpol, CAST((row_number() OVER (ORDER BY md5(concat('42:', CAST(IDpol AS VARCHAR))), IDpol) - 1) % 5 AS INTEGER) AS fold
 FROM train""",
-    # every policy, most claims first, to the fold with the fewest claims
-    "grouped_kfold_claims": with_fixtures("""groups AS (
-  SELECT IDpol, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, md5(concat('42:', CAST(IDpol AS VARCHAR))), IDpol) AS r
-  FROM claim GROUP BY IDpol)""", """dealt AS (
-  SELECT 0::BIGINT AS r, 0::BIGINT AS IDpol, 0::BIGINT AS n, 0 AS fold, [0::BIGINT, 0::BIGINT, 0::BIGINT] AS load
-  UNION ALL
-  SELECT g.r, g.IDpol, g.n, list_position(d.load, list_min(d.load)) - 1,
-         list_transform(d.load, lambda x, i: x + CASE WHEN i = list_position(d.load, list_min(d.load)) THEN g.n ELSE 0 END)
-  FROM dealt d JOIN groups g ON g.r = d.r + 1)""").replace("WITH ", "WITH RECURSIVE ", 1) + """
-SELECT IDpol, CAST(fold AS INTEGER) AS fold, CAST(n AS BIGINT) AS n_claims FROM dealt WHERE r > 0""",
     "early_stopping_split": with_fixtures(*TRAINING_CTES) + f"""
 SELECT IDpol, CASE WHEN {split_hash_sql('IDpol', '42:es')} < 1500 THEN 'validation' ELSE 'fit' END AS part
 FROM train WHERE {split_hash_sql('IDpol')} >= 2000""",
@@ -548,3 +538,28 @@ SQL["calibrated_premium"] = with_fixtures(*TRAINING_CTES, *post_strat_sql("train
   FROM (SELECT a, b, min(m) OVER (PARTITION BY a ORDER BY b DESC) AS low FROM iso_mean) GROUP BY b)""") + """
 SELECT r.IDpol, round(r.pred, 6) AS pred, round(f.f, 4) AS calibrated
 FROM iso_rows r JOIN iso_at x ON x.pred = r.pred JOIN iso_fit f ON f.i = x.i"""
+
+_AREA_TARGET = {"A": 0.1, "B": 0.1, "C": 0.3, "D": 0.2, "E": 0.2, "F": 0.1}
+
+SQL.update({
+    "stat_rows_scan": with_fixtures() + """
+SELECT 'license_age' AS source, * FROM stat_age UNION ALL SELECT 'license_gender', * FROM stat_gender
+UNION ALL SELECT 'vehicle', * FROM stat_vehicle""",
+    "report_json": SQL["diagnosis_report"],
+    "prediction_scale": with_fixtures(*TRAINING_CTES, """rated AS (
+  SELECT *, ClaimNb / greatest(Exposure, 1e-6) AS rate, ClaimNb / greatest(Exposure, 1e-6) * Exposure AS c FROM train)""") + """
+SELECT IDpol, round(rate, 6) AS rate, round(c, 6) AS count, greatest(c, 1e-8) AS floored_count,
+       round(greatest(sev_total, 1e-3), 6) AS floored_severity, round(greatest(pure_premium, 1e-6), 6) AS floored_premium
+FROM rated""",
+    "percentile_clamp": with_fixtures() + """
+SELECT IDpol, CASE WHEN IDpol % 11 = 0 OR IDpol % 13 = 0 THEN 0e0
+                   ELSE least(greatest((BonusMalus - 60) * 2.5e0, 0e0), 100e0) END AS percentile FROM policy""",
+    # one margin: a share over the share that is there, once
+    "rake_identity_margin": with_fixtures(*TRAINING_CTES) + f"""
+SELECT IDpol, Area AS zone, round(share / (count(*) OVER (PARTITION BY Area) / count(*) OVER ()), 6) AS rake_weight
+FROM train JOIN (VALUES {", ".join(f"('{k}', {v}e0)" for k, v in _AREA_TARGET.items())}) t(level, share) ON level = Area""",
+    "metric_comparison": with_fixtures(*TRAINING_CTES, SCORED_CTE) + """
+SELECT 'balance' AS metric, round(sum(Exposure * pred) / sum(Exposure * pure_premium), 6) AS analytic,
+       round(sum(Exposure * 250e0) / sum(Exposure * pure_premium), 6) AS constant FROM scored
+UNION ALL SELECT 'mean_prediction', round(avg(pred), 6), 250e0 FROM scored""",
+})

@@ -31,7 +31,7 @@ def test_diagnosis_run_writes_bundle(spark):
 
 def test_boosting_run_metrics(spark):
     m = runs.boosting_run(*catalog.raw_frames(spark, SF_SMALL), grid=[1.5, 1.9], folds=2, rounds=2,
-                          learning_rate=0.3).toPandas()
+                          search_rounds=2, tweedie_rounds=2, learning_rate=0.3).toPandas()
     assert set(m.model) == {"data", "glm", "gbm", "tweedie_gbm"}
     assert m[m.metric == "tweedie_power"].value.iloc[0] in (1.5, 1.9)
     assert np.isfinite(m.value).all()
@@ -44,3 +44,18 @@ def test_evaluation_run_metrics(spark):
     bal = m[(m.metric == "balance")].set_index("model").value
     assert abs(bal["isotonic_train"] - 1) <= abs(bal["raw_train"] - 1) + 1e-9
     assert 0 < factors.count() <= 8
+
+
+def test_runs_ask_for_the_whole_job():
+    """Defaults of the composed runs and of the engine are the reference's."""
+    import inspect
+
+    from riskloom.plans import engine
+    want = {"rounds": 2000, "patience": 50, "learning_rate": 0.05}
+    for f in (runs.boosting_run, runs.evaluation_run, runs.diagnosis_run, engine.fit_engine):
+        args = inspect.signature(f).parameters
+        assert {k: args[k].default for k in want} == want
+    args = inspect.signature(runs.boosting_run).parameters
+    assert (args["search_rounds"].default, args["tweedie_rounds"].default, args["folds"].default) == (150, 100, 3)
+    args = inspect.signature(runs.tweedie_power_search).parameters
+    assert (args["rounds"].default, args["row_fraction"].default, args["feature_fraction"].default) == (150, 0.8, 0.8)

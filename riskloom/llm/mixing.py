@@ -183,7 +183,7 @@ def plan(docs: DataFrame, members: Column, text: str = "text", weights=WEIGHTS,
     chosen = written(rest.union(cut_rows), "mix-chosen")
     return _topped_up(chosen).select(
         "doc_id", "pattern", "size", "n_rows",
-        (F.col("passes") + F.col("extra").cast("int")).alias("copies")), sources
+        F.least(F.col("passes") + F.col("extra").cast("int"), F.lit(max_epochs)).alias("copies")), sources
 
 
 def _topped_up(chosen: DataFrame) -> DataFrame:

@@ -50,11 +50,20 @@ def test_query_meets_its_targets(spark, sf, near):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
 
 
+def test_empty_texts_are_not_taken_more_often_than_others(spark):
+    rows = [(i, "a", None if i % 2 else "") for i in range(40)] + [(100, "a", "one two"), (101, "b", "x " * 500)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    copies = Counter(r.doc_id for r in mixing.mix(docs, F.array("source")).collect())
+    assert max(copies.values()) <= mixing.MAX_EPOCHS
+
+
 def test_odd_rows(spark, odd_documents, no_documents):
     rows = mixing.mixture(odd_documents).collect()
     assert len(rows) == odd_documents.count()
     assert all(r.taken == 0 for r in rows if r.size == 0)
     copies = Counter(r.doc_id for r in mixing.mix(odd_documents, F.array("source")).collect())
+    here = Counter(r.doc_id for r in odd_documents.collect())
+    assert all(n <= mixing.MAX_EPOCHS * here[i] for i, n in copies.items())      # empty texts too
     taken = defaultdict(int)
     for r in rows:
         taken[r.doc_id] += r.taken // r.size if r.size else 0

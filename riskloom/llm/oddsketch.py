@@ -311,14 +311,19 @@ def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     rank = F.struct("rank", F.xxhash64("node").alias("h"), "node")
     leaders = written(members.join(known, "node").groupBy("key").agg(F.max(rank).alias("best")), "oddsketch-leaders")
     ends = [F.least("node", "leader").alias("u"), F.greatest("node", "leader").alias("v")]
-    followers = written(members.join(leaders, "key").where("node <> best.node").groupBy("node", "best").agg(F.lit(1))
-                        .select("node", "best", F.col("best.node").alias("leader")), "oddsketch-followers")
     # one leader per node first, that of the highest rank
-    one = followers.groupBy("node").agg(F.max("best").alias("best")).select("node", F.col("best.node").alias("leader"))
+    one = members.join(leaders, "key").groupBy("node").agg(F.max("best").alias("best")).select(
+        "node", F.col("best.node").alias("leader")).where("node <> leader")
     first = written(_sketched(one.select(*ends).distinct(), nodes), "oddsketch-first")
     found = _confirmed(first.select("u", "v"), nodes, docs)
-    open_pairs = _unresolved(followers.select(*ends), components(found)).distinct()
-    star = written(_sketched(open_pairs, nodes).join(first, ["u", "v"], "left_anti"), "oddsketch-star")
+    # of the other leaders those in another component
+    roots = written(components(found), "oddsketch-first-roots")
+    led = leaders.select("key", F.col("best.node").alias("leader")).join(
+        roots.select(F.col("node").alias("leader"), F.col("root").alias("led_by")), "leader", "left")
+    led = written(led.select("key", "leader", F.coalesce("led_by", "leader").alias("led_by")), "oddsketch-led")
+    named = members.select("key", "node").join(roots, "node", "left")
+    others = named.join(led, "key").where(F.coalesce("root", "node") != F.col("led_by"))
+    star = written(_sketched(others.select(*ends).distinct(), nodes).join(first, ["u", "v"], "left_anti"), "oddsketch-star")
     found, roots = _joined(star, found, nodes, docs)
     tested = first.select("u", "v").union(star.select("u", "v"))
     rest = _rest(members.select("key", "node"), nodes, roots).join(tested, ["u", "v"], "left_anti")

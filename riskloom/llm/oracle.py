@@ -68,19 +68,19 @@ WITH lines AS (
   FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x,
                unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i FROM documents)),
 real AS (
-  SELECT doc_id, i, key, len(regexp_extract_all(key, {W})) AS words,
-         row_number() OVER (PARTITION BY doc_id ORDER BY i) AS s
-  FROM lines WHERE key <> ''),
-win AS (
-  SELECT doc_id, s, list(key) OVER w AS run, list(i) OVER w AS held, sum(words) OVER w AS words
-  FROM real
-  WINDOW w AS (PARTITION BY doc_id ORDER BY s ROWS BETWEEN CURRENT ROW AND {line_dedup.RUN - 1} FOLLOWING)),
+  SELECT doc_id, i, key, len(regexp_extract_all(key, {W})) AS words FROM lines WHERE key <> ''),
+docs AS (
+  SELECT doc_id, list(key ORDER BY i) AS ks, list(words ORDER BY i) AS ws, list(i ORDER BY i) AS held
+  FROM real GROUP BY doc_id),
+spans AS (
+  SELECT *, unnest(range(s, least(s + {line_dedup.MIN_WORDS}, len(ks) + 1))) AS e
+  FROM (SELECT *, unnest(range(1, len(ks) + 1)) AS s FROM docs)),
 firsts AS (
-  SELECT *, min({{'d': doc_id, 's': s}}) OVER (PARTITION BY run) AS f
-  FROM win WHERE len(run) = {line_dedup.RUN} AND words >= {line_dedup.MIN_WORDS}),
+  SELECT doc_id, s, e, held[s:e] AS held, min({{'d': doc_id, 's': s}}) OVER (PARTITION BY ks[s:e]) AS f
+  FROM spans WHERE list_sum(ws[s:e]) >= {line_dedup.MIN_WORDS}),
 gone AS (
   SELECT DISTINCT doc_id, unnest(held) AS i FROM firsts
-  WHERE f.d <> doc_id OR s - f.s >= {line_dedup.RUN}),
+  WHERE f.d <> doc_id OR s - f.s > e - s),
 kept AS (
   SELECT l.doc_id, string_agg(l.x, chr(10) ORDER BY l.i) AS text
   FROM lines l ANTI JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id),

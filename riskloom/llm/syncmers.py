@@ -3,43 +3,43 @@
 A k-mer of characters is a closed syncmer when its smallest s-mer (by a mixed
 hash) is its first or its last one.  Whether a k-mer is chosen depends on the
 k-mer alone, never on its context, so the same passage gives the same anchors
-wherever it stands.  ``anchors`` lists (hash, position) of each whole text; the
-sketch of a text holds every distinct anchor hash, so it grows with the text,
-and the likeness of two texts is the Jaccard index of their whole sketches.
-The fingerprint, base64, is an index of the sketch only: its ``SKETCH``
-smallest 32-bit hashes.  Positions take no part in the likeness.
+wherever it stands.  ``anchors`` lists (hash, position) of each whole text.
+The fingerprint of a text is all its anchors, hash and position, in text order,
+base64; it grows with the text.  The likeness of two fingerprints matches equal
+anchors by position (``likeness``) and needs nothing beside the two strings.
 
 ``edited_neighbours`` compares each document with an edit of it (its last
 third replaced by the beginning of the next document in descending id order)
-and with that next document.  The order is global: texts are range-partitioned
-once, each task walks its range in order, and only the first and last text of
-every range meet afterwards.
+and with that next document.  Quantiles of the ids cut them into parts (bounds
+on the driver: four per shuffle partition); the first text of each part, one
+row per part, is added to the end of the part before it.  Texts then move once,
+by part, and each task walks its parts in order; nothing is written between.
 
 Defined cases: null text counts as empty; a text shorter than k has one anchor
 (its whole text), a longer one without a syncmer its k-mer of smallest hash, only
-the empty text none and the empty fingerprint, which is like itself only; null ids come last in descending order; equal ids are ordered by
-the hash of their texts, and equal rows each get a row; a single document is
-its own next one; empty table, empty result; extra columns are ignored.
+the empty text none and the empty fingerprint, which is like itself only; ids
+are numbers; null ids come last in descending order; equal ids (one task walks
+those of one id) and null ids (spread) are ordered by the hash of their texts,
+and equal rows each get a row; a single document is its own next one; empty table, empty result; extra columns are ignored.
 """
 from __future__ import annotations
 
 import base64
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from riskloom.llm.common import written
-
 K = 24
 S = 8
-SKETCH = 64
+BATCH_BYTES = 1 << 24
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -99,22 +99,53 @@ def anchors_of(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarra
     return hashes[at], at
 
 
-def sketch_of(text: str, k: int = K, s: int = S) -> np.ndarray:
-    """All distinct anchor hashes, ascending."""
-    return np.unique(anchors_of(text, k, s)[0])
+ANCHOR = np.dtype([("gap", "<u2"), ("hash", "<u4")])
+
+
+def to_string(hashes: np.ndarray, at: np.ndarray) -> str:
+    """Every anchor in text order: its distance from the one before (at most
+    k - s, as closed syncmers guarantee) and the upper half of its hash."""
+    out = np.empty(len(at), ANCHOR)
+    out["gap"], out["hash"] = np.diff(at, prepend=0), hashes >> np.uint64(32)
+    return base64.b64encode(out.tobytes()).decode()
+
+
+def fingerprint(text: str, k: int = K, s: int = S) -> str:
+    """The fingerprint of a whole text."""
+    return to_string(*anchors_of(text, k, s))
+
 
+def _ranked(fp: str) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, positions) of a fingerprint, ascending by key; a key is an anchor's
+    hash with its number among the anchors of that hash."""
+    found = np.frombuffer(base64.b64decode(fp), ANCHOR)
+    order = np.argsort(found["hash"], kind="stable")
+    h = found["hash"][order].astype(np.uint64)
+    number = np.arange(len(h), dtype=np.uint64)
+    number -= number[np.searchsorted(h, h)]
+    return (h << np.uint64(32)) | number, np.cumsum(found["gap"], dtype=np.int64)[order]
 
-def to_string(sketch: np.ndarray, size: int = SKETCH) -> str:
-    """The ``size`` smallest distinct 32-bit hashes of a sketch."""
-    return base64.b64encode(np.unique(sketch >> np.uint64(32))[:size].astype(">u4").tobytes()).decode()
 
+def _alike(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    (ka, pa_), (kb, pb) = a, b
+    if not len(ka) or not len(kb):
+        return float(len(ka) == len(kb))
+    near = np.minimum(np.searchsorted(kb, ka), len(kb) - 1)
+    same = kb[near] == ka
+    _, votes = np.unique(pb[near[same]] - pa_[same], return_counts=True)
+    matched = int(votes[votes >= min(2, len(ka), len(kb))].sum())
+    return matched / (len(ka) + len(kb) - matched)
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard index of the two anchor sets."""
-    if len(a) == 0 or len(b) == 0:
-        return float(len(a) == len(b))
-    shared = len(np.intersect1d(a, b, assume_unique=True))
-    return shared / (len(a) + len(b) - shared)
+
+def likeness(a: str, b: str) -> float:
+    """Positional likeness of two fingerprints, 0 to 1.
+
+    Equal anchors (the i-th of a hash with the i-th) vote for the offset between
+    their positions; an offset with two votes is a passage that both texts hold
+    and its anchors match, wherever it stands.  A single vote counts only where
+    a text has no more than one anchor.  The likeness is the number of matched
+    anchors over those of both texts, matched ones counted once."""
+    return _alike(_ranked(a), _ranked(b))
 
 
 def anchors(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, s: int = S) -> DataFrame:
@@ -133,64 +164,73 @@ def anchors(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K
         run, f"`{key}` {kind}, hash bigint, pos bigint")
 
 
-def _compare(key, text: str, own: np.ndarray, following: str, other: np.ndarray) -> tuple:
+def _compare(key, text: str, own: tuple, following: str, other: tuple) -> tuple:
     n = len(text)
     cut = n // 3
     edited = text[:n - cut] + following[:cut]
-    sk = sketch_of(edited) if cut else own
-    return (key, n, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), to_string(own),
-            to_string(sk), likeness(own, sk), likeness(own, other))
+    new = _read(edited) if cut else own
+    return (key, n, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), own[0], new[0],
+            _alike(own[1], new[1]), _alike(own[1], other[1]))
+
 
+def _read(text: str) -> tuple[str, tuple[np.ndarray, np.ndarray]]:
+    fp = fingerprint(text)
+    return fp, _ranked(fp)
 
-COLUMNS = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+
+def _parts(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``part``: ranges of ids of about equal row counts, numbered in
+    descending order of ids; rows without an id follow, by ranges of ``h``."""
+    spark = rows.sparkSession
+    n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = F.percentile_approx(F.col("doc_id").cast("double"), [i / n for i in range(1, n)], 10 * n)
+    bounds = sorted(set(rows.select(wanted).first()[0] or [0.0]))
+    cut = Bucketizer(splits=[-math.inf, *bounds, math.inf], inputCol="x", outputCol="bucket", handleInvalid="keep")
+    late = F.floor((F.col("h") / F.lit(2.0 ** 64) + 0.5) * n)
+    rows = cut.transform(rows.withColumn("x", F.coalesce(F.col("doc_id").cast("double"), F.lit(0.0))))
+    part = F.when(F.col("doc_id").isNull(), len(bounds) + 2 + late).otherwise(len(bounds) + 1 - F.col("bucket"))
+    return rows.select("doc_id", "t", "h", part.cast("int").alias("part"))
 
 
 def edited_neighbours(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row of ``COLUMNS`` per document."""
+    """One row (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
+    near_edited, near_next) per document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     result = (f"doc_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, "
               "edited_fingerprint string, near_edited double, near_next double")
+    out_schema = to_arrow_schema(StructType.fromDDL(result))
 
-    edged = f"{result}, part int, edge int, edge_text string"
-    out_schema, edged_schema = (to_arrow_schema(StructType.fromDDL(x)) for x in (result, edged))
-
-    def batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-        columns = zip(*rows) if rows else [[]] * len(schema)
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema.names)
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows) if rows else [[]] * len(out_schema)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out_schema)], out_schema.names)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Complete rows, plus the first and last text of the range."""
-        part = TaskContext.get().partitionId()
-        last, first = None, None
-        for b in batches:
-            out = []
-            for key, t in zip(b.column("doc_id").to_pylist(), b.column("t").to_pylist()):
-                sk = sketch_of(t)
-                if last is None:
-                    first = (key, t)
-                else:
-                    out.append((*_compare(*last, t, sk), part, 0, None))
-                last = (key, t, sk)
-            yield batch(out, edged_schema)
-        if last is not None:
-            blank = (None,) * 6
-            yield batch([(first[0], *blank, part, 1, first[1]), (last[0], *blank, part, 2, last[1])], edged_schema)
-
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, out, size = None, [], 0
         for b in batches:
-            yield batch([_compare(k, t, sketch_of(t), f, sketch_of(f)) for k, t, f in zip(
-                *(b.column(c).to_pylist() for c in ("doc_id", "t", "f")))], out_schema)
+            for edge, key, t in zip(*(b.column(c).to_pylist() for c in ("edge", "doc_id", "t"))):
+                own = _read(t)
+                if last is not None:
+                    out.append(_compare(*last, t, own))
+                    size += len(out[-1][3]) + len(out[-1][4])
+                last = None if edge else (key, t, own)
+                if size > BATCH_BYTES:
+                    yield batch(out)
+                    out, size = [], 0
+        yield batch(out)
 
     rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("t"))
-    ordered = (rows.repartitionByRange(F.col("doc_id").desc_nulls_last())
-               .sortWithinPartitions(F.col("doc_id").desc_nulls_last(), F.xxhash64("t")))
-    walked = written(ordered.mapInArrow(walk, edged), "syncmers")
-    # one pair of rows per range: each last text goes to the first text of the
-    # following range, and the very last to the very first
-    parts = walked.where("edge = 1").select("part")
+    rows = _parts(rows.withColumn("h", F.xxhash64("t")))
+    # the first text of every part once more, as the end of the part before; the very first ends the last part
+    firsts = rows.groupBy("part").agg(F.max(F.struct("doc_id", F.bitwise_not("h").alias("h"))).alias("first"))
     w = Window.partitionBy(F.lit(1))
-    follow = parts.select("part", F.coalesce(F.lead("part").over(w.orderBy("part")), F.min("part").over(w)).alias("to"))
-    heads = walked.where("edge = 1").select(F.col("part").alias("to"), F.col("edge_text").alias("f"))
-    tails = walked.where("edge = 2").select("part", "doc_id", F.col("edge_text").alias("t"))
-    joined = tails.join(follow, "part").join(heads, "to").select("doc_id", "t", "f")
-    return walked.where("edge = 0").select(*COLUMNS).union(joined.mapInArrow(close, result))
+    to = F.coalesce(F.lag("part").over(w.orderBy("part")), F.max("part").over(w))
+    firsts = firsts.select(F.col("part").alias("own"), to.alias("to"), F.col("first.doc_id").alias("i"),
+                           F.bitwise_not("first.h").alias("j"))
+    is_first = (F.col("part") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("j"))
+    edges = rows.join(F.broadcast(firsts), is_first).groupBy("own").agg(
+        *[F.first(c).alias(c) for c in ("to", "doc_id", "t", "h")])
+    every = rows.select("part", F.lit(False).alias("edge"), "doc_id", "t", "h").unionByName(
+        edges.select(F.col("to").alias("part"), F.lit(True).alias("edge"), "doc_id", "t", "h"))
+    ordered = every.repartitionByRange("part").sortWithinPartitions(
+        "part", "edge", F.col("doc_id").desc_nulls_last(), "h")
+    return ordered.select("edge", "doc_id", "t").mapInArrow(walk, result)

@@ -12,9 +12,10 @@ many small batches against the same market, so the market is indexed once:
 A batch then needs only the ranges its quotes fall in: each quote gets its
 range from the lowest values (``Bucketizer``, a JVM binary search), the
 touched range partitions are read (partition pruning), and one window per
-range counts the market values strictly below each quote; the range's
-offset completes the count.  Exact, and the work per batch is bounded by
-the touched ranges, not the market.
+range counts the market values strictly below each distinct quoted value; the
+range's offset completes the count, which comes back to the quotes by value.
+Exact; the work per batch is bounded by the touched ranges, not the market,
+and quotes that share a value do not meet in one task.
 """
 from __future__ import annotations
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from riskloom import schema as S
 from riskloom.functions.columns import finite
 from riskloom.operators.ordered import market_counts
-from riskloom.session import cut_lineage, ensure_checkpoint_dir
+from riskloom.session import broadcast_if_small, cut_lineage, ensure_checkpoint_dir
 
 
 @dataclass
@@ -81,19 +82,18 @@ def indexed_percentile(rows: DataFrame, index: MarketIndex, value: str = "premiu
     ok = cut_lineage(ok)          # one micro-batch, read three times below
     touched = [r[0] for r in ok.select("range").distinct().collect()]
     market = spark.read.parquet(index.path).filter(F.col("range").isin(touched))
-    row_struct = F.struct(*[F.col(c) for c in rows.columns])
     off = F.element_at(F.array(*[F.lit(o) for o in index.offsets]).cast("array<bigint>"),
                        F.col("_rk") + 1)
-    qs = ok.select("range", F.col("_qv").alias("_v"), F.lit(0).alias("_kind"),
-                   F.col(id_col).cast("long").alias("_id"), F.lit(0).cast("long").alias("_c"),
-                   off.alias("_off"), row_struct.alias("_row"))
-    ms = market.select("range", "_v", F.lit(1).alias("_kind"), F.lit(0).cast("long").alias("_id"),
-                       F.col("_c").cast("long").alias("_c"), F.lit(0).cast("long").alias("_off"),
-                       F.lit(None).cast(qs.schema["_row"].dataType).alias("_row"))
-    w = (Window.partitionBy("range").orderBy("_v", "_kind", "_id")
+    qs = ok.select("range", F.col("_qv").alias("_v"), F.lit(0).alias("_kind"), F.lit(0).cast("long").alias("_c"),
+                   off.alias("_off")).distinct()
+    ms = market.select("range", "_v", F.lit(1).alias("_kind"), F.col("_c").cast("long").alias("_c"),
+                       F.lit(0).cast("long").alias("_off"))
+    w = (Window.partitionBy("range").orderBy("_v", "_kind")
                .rowsBetween(Window.unboundedPreceding, -1))
-    scored = (qs.unionByName(ms)
-                .withColumn("_below", F.coalesce(F.sum("_c").over(w), F.lit(0)) + F.col("_off"))
-                .filter(F.col("_kind") == 0)
-                .select("_row.*", (F.lit(100.0) * F.col("_below") / F.lit(float(index.total))).alias(out)))
+    shares = cut_lineage(qs.unionByName(ms)
+                         .withColumn("_below", F.coalesce(F.sum("_c").over(w), F.lit(0)) + F.col("_off"))
+                         .filter(F.col("_kind") == 0)
+                         .select(F.col("_v").alias("_qv"),
+                                 (F.lit(100.0) * F.col("_below") / F.lit(float(index.total))).alias(out)))
+    scored = ok.join(broadcast_if_small(shares), "_qv", "left").select(*rows.columns, out)
     return scored.unionByName(bad)

@@ -597,12 +597,20 @@ def q_bundle_diagnosis(spark, sf_dir):
     return report.flatten_report(rep, extra=[F.col("drivers")[0]["feature"].alias("driver1")])
 
 
+def _quote_files(spark, sf_dir, path) -> int:
+    """All quotes as JSON files, written by as many tasks as the session runs
+    at once; returns the files of a quarter of them."""
+    at_once = max(1, spark.sparkContext.defaultParallelism // 4)
+    fx.quotes(fx.policies(spark, sf_dir)).repartition(4 * at_once, "IDpol").write.json(path)
+    return at_once
+
+
 def q_bundle_stream_diagnosis(spark, sf_dir):
     """T01 with the fitted engine of a bundle: all quotes as a stream of files."""
     path, _ = _stored_engine(spark, sf_dir)
     base = _scratch(spark, "bundle-stream")
-    fx.quotes(fx.policies(spark, sf_dir)).repartition(4, "IDpol").write.json(f"{base}/in")
-    query = quotes_stream.start_bundle_stream(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", path)
+    at_once = _quote_files(spark, sf_dir, f"{base}/in")
+    query = quotes_stream.start_bundle_stream(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", path, at_once)
     try:
         query.processAllAvailable()
     finally:
@@ -632,18 +640,17 @@ def q_diagnosis_examples(spark, sf_dir):
 
 
 def q_stream_diagnosis(spark, sf_dir):
-    """Quotes written as JSON files, read as a stream (one file per
-    trigger), diagnosed per micro-batch against the policy market."""
+    """Quotes written as JSON files, read as a stream (a quarter of the
+    files per trigger), diagnosed per micro-batch against the policy market."""
     base = _scratch(spark, "stream")
-    q = fx.quotes(fx.policies(spark, sf_dir))
-    q.repartition(4, "IDpol").write.json(f"{base}/in")
+    at_once = _quote_files(spark, sf_dir, f"{base}/in")
     pf = premium_frame(spark, sf_dir)
     cohorts = cut_lineage(market.cohort_stats(pf, "premium"))
     mk = cut_lineage(pf.select("IDpol", "premium"))
     query = quotes_stream.start_quote_stream(
         spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", mk, cohorts,
         lambda d: d.withColumn("premium", fx.analytic_premium_col()),
-        {"expense_ratio": 0.25, "profit_margin": 0.05})
+        {"expense_ratio": 0.25, "profit_margin": 0.05}, at_once)
     try:
         query.processAllAvailable()
     finally:

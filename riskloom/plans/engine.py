@@ -81,6 +81,7 @@ def diagnose_with_engine(eng: Engine, rows: DataFrame, with_drivers: bool = True
     if with_drivers and eng.freq.trees:
         carried = scored.columns
         scored = attribution.attributions(eng.freq, scored, id_col, keep=carried).select(*carried, "drivers")
+        scored = cut_lineage(scored)          # every tree for every row once: the report reads it several times
         drivers_col = "drivers"
     return report.diagnose(scored, eng.market, eng.cohorts, "premium", "premium", id_col,
                            eng.loading, drivers_col, market_index=market_index)

@@ -9,7 +9,7 @@ from riskloom import schema as S
 from riskloom.functions.columns import average_claim, floor_at
 from riskloom.operators import attribution, boosting, clean, features, glm, isotonic, market, ordered, report
 from riskloom.operators.raking import DEFAULT_CONFIG, training_weight
-from riskloom.session import cut_lineage
+from riskloom.session import beside, cut_lineage
 from riskloom.sources.bundle import Engine
 
 
@@ -45,19 +45,24 @@ def fit_engine(df: DataFrame, cfg: dict | None = DEFAULT_CONFIG, seed: int = 42,
     loading = loading if loading is not None else {"expense_ratio": S.EXPENSE_RATIO,
                                                     "profit_margin": S.PROFIT_MARGIN}
     enc = freq.encoding if freq is not None else features.fit_encoding(df)
-    if freq is None:
-        tr2, val = ordered.early_stopping_split(df, seed=seed)
-        tr2 = training_weight(tr2, cfg, "fremtpl2", out="_rw")
-        val = training_weight(val, cfg, "fremtpl2", out="_rw")
-        wcol = "_rw" if "_rw" in tr2.columns else None
-        freq = boosting.fit_boosted(tr2, enc, S.CLAIM_NB, S.EXPOSURE, wcol, "poisson", rounds=rounds,
-                                    learning_rate=learning_rate, max_depth=max_depth, min_rows=min_rows,
-                                    valid=val, patience=patience, seed=seed, row_fraction=S.GBM_ROW_FRACTION,
-                                    feature_fraction=S.GBM_FEATURE_FRACTION)
-    claims = clean.claim_policies(df).withColumn("avg_claim", average_claim("sev_total", "sev_count"))
-    claims = training_weight(claims, cfg, "fremtpl2", out="_rw")
-    sev = glm.fit_gamma_severity(features.design_frame(claims, enc, keep=["avg_claim", "sev_count", *(
-        ["_rw"] if "_rw" in claims.columns else [])]), weight="_rw" if "_rw" in claims.columns else None)
+
+    def severity():
+        claims = clean.claim_policies(df).withColumn("avg_claim", average_claim("sev_total", "sev_count"))
+        claims = training_weight(claims, cfg, "fremtpl2", out="_rw")
+        return glm.fit_gamma_severity(features.design_frame(claims, enc, keep=["avg_claim", "sev_count", *(
+            ["_rw"] if "_rw" in claims.columns else [])]), weight="_rw" if "_rw" in claims.columns else None)
+
+    with beside(df.sparkSession, severity) as severity_fit:
+        if freq is None:
+            tr2, val = ordered.early_stopping_split(df, seed=seed)
+            tr2 = training_weight(tr2, cfg, "fremtpl2", out="_rw")
+            val = training_weight(val, cfg, "fremtpl2", out="_rw")
+            wcol = "_rw" if "_rw" in tr2.columns else None
+            freq = boosting.fit_boosted(tr2, enc, S.CLAIM_NB, S.EXPOSURE, wcol, "poisson", rounds=rounds,
+                                        learning_rate=learning_rate, max_depth=max_depth, min_rows=min_rows,
+                                        valid=val, patience=patience, seed=seed, row_fraction=S.GBM_ROW_FRACTION,
+                                        feature_fraction=S.GBM_FEATURE_FRACTION)
+    sev = severity_fit.result()
     part = {"encoding": enc, "freq": freq, "severity": sev}
     scored = cut_lineage(pure_premium(part, df, "_raw_pp"))       # scored once, for isotonic and market
     weighted = training_weight(scored, cfg, "fremtpl2", base_weight=S.EXPOSURE, out="_iso_w")

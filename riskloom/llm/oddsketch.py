@@ -6,7 +6,8 @@ text is one shingle).  Documents link at a Jaccard similarity of 0.8 or more.
 1. One pass over the texts: shingles are hashed to 64 bits, ``SAMPLES`` MinHash
    samples are taken, the first ``BANDS x ROWS`` of them are banded, and all are
    folded into an odd sketch: sample i with value v flips bit hash(i, v) of
-   ``BITS`` bits.  A 128-bit digest names the set.
+   ``BITS`` bits.  The whole set is folded into a second one of ``WHOLE`` bits
+   (every hash flips a bit).  A 128-bit digest names the set.
 2. Equal sets collapse to one node, so any number of copies costs one row.
 3. Candidates share a band.  A pair at 0.8 shares none of the 32 bands of four
    rows with probability 5e-8.  In every band bucket a leader meets all members:
@@ -16,11 +17,15 @@ text is one shingle).  Documents link at a Jaccard similarity of 0.8 or more.
 4. Samples that two sets share cancel in the XOR of their sketches, so its
    population count tells how many samples differ.  Pairs above ``reject_above``
    (exact distribution of the count at similarity 0.8: a link is refused with
-   probability ``RISK`` at most) are dropped; the others are confirmed on the
+   probability ``RISK`` at most) are dropped.  Linked sets of a and b shingles
+   differ in (a + b) / 9 at most, which bounds the differing bits of the second
+   sketches in the same way (``whole_cuts``): for sets of some hundred shingles
+   nearly an exact count.  The pairs left are confirmed on the
    full sets, which are hashed again from the texts of the nodes in question.
    Every node is tested against its leader of the highest rank first; of its
    other leaders only those that this has left in another component, the most
-   similar one before the rest.
+   similar one before the rest; members and leaders bring their sketches to the
+   bucket, so that only the pairs that pass become rows.
 5. Buckets that still hold members of different components are searched whole:
    their members are cut into chunks (a component that fills chunks has its
    own), pairs of chunks that can hold a new link meet in one row each, and
@@ -56,6 +61,7 @@ BANDS = 32
 ROWS = 4
 SAMPLES = 256
 BITS = 512
+WHOLE = 1024
 RISK = 1e-7
 CHUNK = 128
 #: Shingles hashed at once (memory bound for long texts).
@@ -105,6 +111,12 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def whole_sketch(hashes: np.ndarray) -> np.ndarray:
+    """Parity bitmap of the set itself, as 64-bit words."""
+    bits = np.bincount((_mixed(hashes ^ np.uint64(_TURN)) % np.uint64(WHOLE)).astype(np.int64), minlength=WHOLE) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def bands(samples: np.ndarray) -> np.ndarray:
     """One key per band; equal keys of different bands differ."""
     key = _mixed(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(_TURN))
@@ -133,6 +145,20 @@ def reject_above(similarity: float = SIMILARITY / 100, samples: int = SAMPLES, b
     return int(np.flatnonzero(beyond > risk)[-1])
 
 
+@lru_cache
+def whole_cuts(risk: float = RISK, bits: int = WHOLE) -> np.ndarray:
+    """Entry m: the largest number of bits in which the sketches of sets that
+    differ in m shingles or fewer differ with a probability above ``risk``;
+    the last entry, for any larger m, refuses nothing."""
+    odd, places, cuts = np.zeros(bits + 1), np.arange(bits + 1), []
+    odd[0] = 1.0
+    for _ in range(2 * bits):
+        cuts.append(int(np.flatnonzero(odd[::-1].cumsum()[::-1] > risk)[-1]))
+        up, down = odd * (bits - places) / bits, odd * places / bits
+        odd = np.concatenate(([0.0], up[:-1])) + np.concatenate((down[1:], [0.0]))
+    return np.maximum.accumulate([*cuts, bits])
+
+
 def estimate(differing: float, samples: int = SAMPLES, bits: int = BITS) -> float:
     """Similarity from the number of bits in which two sketches differ."""
     inside = max(1 - 2 * differing / bits, 1e-9)
@@ -141,7 +167,7 @@ def estimate(differing: float, samples: int = SAMPLES, bits: int = BITS) -> floa
 
 # --------------------------------------------------------------------- nodes
 
-_SIGNED = "doc_id long, text_hash long, n_shingles long, digest binary, bands array<long>, sketch array<long>"
+_SIGNED = "doc_id long, text_hash long, n_shingles long, digest binary, bands array<long>, sketch array<long>, whole array<long>"
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,20 +178,22 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(values) if values else [], pa.int64()))
 
     for b in batches:
-        sizes, digests, keys, sketches = [], [], [], []
+        sizes, digests, keys, sketches, wholes = [], [], [], [], []
         for text in b.column("text"):
             h = shingles(text.as_py())
             sizes.append(len(h))
             if not len(h):
-                digests.append(None), keys.append(None), sketches.append(None)
+                digests.append(None), keys.append(None), sketches.append(None), wholes.append(None)
                 continue
             samples = minhash(h)
             digests.append(xxhash.xxh3_128_digest(h.tobytes()))
             keys.append(bands(samples))
             sketches.append(odd_sketch(samples))
+            wholes.append(whole_sketch(h))
         yield pa.RecordBatch.from_arrays(
             [b.column("doc_id"), b.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-             flat(keys), flat(sketches)], ["doc_id", "text_hash", "n_shingles", "digest", "bands", "sketch"])
+             flat(keys), flat(sketches), flat(wholes)],
+            ["doc_id", "text_hash", "n_shingles", "digest", "bands", "sketch", "whole"])
 
 
 def _nodes(rows: DataFrame) -> DataFrame:
@@ -174,8 +202,8 @@ def _nodes(rows: DataFrame) -> DataFrame:
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     sets = rows.where("n_shingles > 0").groupBy("digest").agg(
         F.min(first).alias("m"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"),
-        F.first("sketch").alias("sketch"))
-    return written(sets.select("digest", "m.doc_id", "m.text_hash", "n", "bands", "sketch")
+        F.first("sketch").alias("sketch"), F.first("whole").alias("whole"))
+    return written(sets.select("digest", "m.doc_id", "m.text_hash", "n", "bands", "sketch", "whole")
                    .withColumn("node", F.monotonically_increasing_id()), "oddsketch-nodes")
 
 
@@ -187,13 +215,18 @@ def differing(a: str, b: str) -> Column:
     return out
 
 
+def _near(a: str, b: str, sa: str, sb: str) -> Column:
+    """Whether sizes and sketches leave a pair."""
+    sized = 100 * F.least(a, b) >= SIMILARITY * F.greatest(a, b)
+    return sized & (differing(sa, sb) <= reject_above())
+
+
 def _sketched(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs (u, v) that sizes and sketches leave, with ``bits``."""
     u = nodes.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("su"))
     v = nodes.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("sv"))
     both = pairs.join(v, "v").join(u, "u")
-    sized = both.where(100 * F.least("nu", "nv") >= SIMILARITY * F.greatest("nu", "nv"))
-    return sized.select("u", "v", differing("su", "sv").alias("bits")).where(F.col("bits") <= reject_above())
+    return both.where(_near("nu", "nv", "su", "sv")).select("u", "v", differing("su", "sv").alias("bits"))
 
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -253,7 +286,7 @@ def _rest(members: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
              .withColumn("pure", F.when(F.col("own").isNotNull(), F.col("root")))
              .withColumn("parts", F.ceil(F.coalesce("own", "others") / CHUNK).cast("long"))
              .withColumn("part", F.pmod(F.xxhash64("node", "key"), "parts")))
-    sketches = nodes.select("node", "n", "sketch")
+    sketches = nodes.select("node", "n", F.concat("sketch", "whole").alias("sketch"))   # the whole one behind the other
     chunks = written(dealt.join(sketches, "node").groupBy("key", "pure", "part").agg(
         F.collect_list("node").alias("nodes"), F.collect_list("root").alias("roots"), F.collect_list("n").alias("sizes"),
         F.flatten(F.collect_list("sketch")).alias("sketches")).withColumn("chunk", F.monotonically_increasing_id()),
@@ -264,7 +297,7 @@ def _rest(members: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
         "pure is null or pure2 is null or pure <> pure2").select("chunk", "chunk2")
     right = chunks.select(F.col("chunk").alias("chunk2"), *[F.col(c).alias(f"{c}2") for c in ("nodes", "roots", "sizes", "sketches")])
     work = met.join(right, "chunk2").join(chunks.drop("key", "pure", "part"), "chunk")
-    most = reject_above()
+    most, own = reject_above(), BITS // 64
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def column(b: pa.RecordBatch, name: str, i: int) -> np.ndarray:
@@ -278,11 +311,17 @@ def _rest(members: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
                 s1, s2 = column(b, "sketches", i).reshape(len(n1), -1), column(b, "sketches2", i).reshape(len(n2), -1)
                 s1, s2 = s1.view(np.uint64), s2.view(np.uint64)
                 bits = np.zeros((len(n1), len(n2)), np.int64)
-                for w in range(s1.shape[1]):
+                for w in range(own):
                     bits += np.bitwise_count(s1[:, w, None] ^ s2[None, :, w])
                 ok = (bits <= most) & (r1[:, None] != r2) & (
                     100 * np.minimum(z1[:, None], z2) >= SIMILARITY * np.maximum(z1[:, None], z2))
                 x, y = np.nonzero(ok)
+                cuts = whole_cuts()
+                whole = np.zeros(len(x), np.int64)
+                for w in range(own, s1.shape[1]):
+                    whole += np.bitwise_count(s1[x, w] ^ s2[y, w])
+                near = whole <= cuts[np.minimum((z1[x] + z2[y]) // 9, len(cuts) - 1)]
+                x, y = x[near], y[near]
                 u, v = np.minimum(n1[x], n2[y]), np.maximum(n1[x], n2[y])
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(bits[x, y])], ["u", "v", "bits"])
 
@@ -320,10 +359,17 @@ def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     roots = written(components(found), "oddsketch-first-roots")
     led = leaders.select("key", F.col("best.node").alias("leader")).join(
         roots.select(F.col("node").alias("leader"), F.col("root").alias("led_by")), "leader", "left")
-    led = written(led.select("key", "leader", F.coalesce("led_by", "leader").alias("led_by")), "oddsketch-led")
-    named = members.select("key", "node").join(roots, "node", "left")
-    others = named.join(led, "key").where(F.coalesce("root", "node") != F.col("led_by"))
-    star = written(_sketched(others.select(*ends).distinct(), nodes).join(first, ["u", "v"], "left_anti"), "oddsketch-star")
+    named = members.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    split = written(named.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key"),
+                    "oddsketch-split")
+    at_leader = nodes.select(F.col("node").alias("leader"), F.col("n").alias("nl"), F.col("sketch").alias("sl"))
+    led = written(led.join(split, "key").join(at_leader, "leader").select(
+        "key", "leader", F.coalesce("led_by", "leader").alias("led_by"), "nl", "sl"), "oddsketch-led")
+    here = named.join(split, "key").join(nodes.select("node", "n", "sketch"), "node").alias("here")
+    others = here.join(led.alias("led"), (F.col("here.key") == F.col("led.key")) & (F.col("root") != F.col("led_by"))
+                       & _near("n", "nl", "sketch", "sl"))
+    star = others.select(*ends, differing("sketch", "sl").alias("bits")).distinct()
+    star = written(star.join(first, ["u", "v"], "left_anti"), "oddsketch-star")
     found, roots = _joined(star, found, nodes, docs)
     tested = first.select("u", "v").union(star.select("u", "v"))
     rest = _rest(members.select("key", "node"), nodes, roots).join(tested, ["u", "v"], "left_anti")

@@ -116,3 +116,49 @@ def test_odd_rows(spark, odd_documents, no_documents):
     assert oddsketch.near_dedup(no_documents).count() == 0
     lone = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (7, None)], "doc_id long, text string")
     assert found(oddsketch.near_components(lone)) == sorted([(None, 3, None), (None, 3, None), (7, 0, 7)], key=str)
+
+
+def test_whole_sketch_bounds_the_difference(spark):
+    """No linked pair is refused, and of sets of some hundred shingles those at
+    0.7, which the sketches of the samples leave, are."""
+    rng = np.random.default_rng(5)
+    cuts = oddsketch.whole_cuts()
+    assert cuts[0] == 0 and cuts[1] == 1 and cuts[40] <= 40 and cuts[-1] == oddsketch.WHOLE
+
+    def passed(shared, own, trials=100):
+        n = 0
+        for _ in range(trials):
+            h = rng.integers(0, 2 ** 63, shared + 2 * own, dtype=np.uint64)
+            a = oddsketch.whole_sketch(h[:shared + own])
+            b = oddsketch.whole_sketch(np.concatenate((h[:shared], h[shared + own:])))
+            n += int(np.bitwise_count((a ^ b).view(np.uint64)).sum()) <= cuts[min((2 * shared + 2 * own) // 9, len(cuts) - 1)]
+        return n
+
+    for size in (1, 30, 200, 1000, 20_000):
+        assert passed(8 * size, size) == 100
+    assert passed(210, 45) == 0 and passed(210, 45, 1) == 0                # 0.7: 300 shingles in either or both
+
+
+def test_pairs_below_the_similarity_make_no_rows(spark, monkeypatch):
+    """A group whose members are about 0.7 alike, all in one bucket or another:
+    the search of whole buckets gives back no pair for confirmation."""
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(5000)}" for _ in range(400)]
+    rows = list(enumerate(near_copies(rng, words, 120, 11)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes, real = [], oddsketch._rest
+
+    def counted(*a):
+        found = real(*a)
+        sizes.append(found.count())
+        return found
+
+    monkeypatch.setattr(oddsketch, "_rest", counted)
+    want = plain_components(rows)
+    assert found(oddsketch.near_components(docs)) == want
+    links = 0
+    sets = [plain_set(t) for _, t in rows]
+    for i, a in enumerate(sets):
+        for b in sets[:i]:
+            links += 80 <= 100 * len(a & b) / len(a | b)
+    assert sizes[0] <= links + 300, (sizes, links)

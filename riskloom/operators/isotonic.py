@@ -113,14 +113,13 @@ def apply_isotonic(model: IsotonicFit, df: DataFrame, pred: str, out: str = "cal
     values = known.unionByName(asked.withColumn("_y", F.lit(None).cast("double"))).groupBy("_x").agg(F.max("_y").alias("_y"))
     ranged = cut_lineage(values.repartitionByRange("_x").withColumn("_part", F.spark_partition_id()))
     point = F.when(F.col("_y").isNotNull(), F.struct("_x", "_y"))
-    w = Window.partitionBy("_part").orderBy("_x")
-    every = Window.partitionBy(F.lit(1)).orderBy("_part")                                   # one row per range
+    # Spark sums a frame that ends with the partition anew for every row, so what follows is looked for backwards
+    up, down = (Window.partitionBy("_part").orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc("_x"), F.desc("_x")))
+    lower, upper = (Window.partitionBy(F.lit(1)).orderBy(o).rowsBetween(Window.unboundedPreceding, -1)
+                    for o in (F.asc("_part"), F.desc("_part")))                             # one row per range
     ends = ranged.groupBy("_part").agg(F.min(point).alias("first"), F.max(point).alias("last"))
-    ends = ends.select("_part", F.last("last", True).over(every.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
-                       F.first("first", True).over(every.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
-    near = ranged.withColumns({
-        "_lo": F.last(point, True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        "_hi": F.first(point, True).over(w.rowsBetween(0, Window.unboundedFollowing))}).join(F.broadcast(ends), "_part")
+    ends = ends.select("_part", F.last("last", True).over(lower).alias("_before"), F.last("first", True).over(upper).alias("_after"))
+    near = ranged.withColumns({"_lo": F.last(point, True).over(up), "_hi": F.last(point, True).over(down)}).join(F.broadcast(ends), "_part")
     near = near.select("_x", F.coalesce("_lo", "_before").alias("lo"), F.coalesce("_hi", "_after").alias("hi"))
     x0, y0, x1, y1 = (F.col(c) for c in ("lo._x", "lo._y", "hi._x", "hi._y"))
     value = F.when(x0.isNull(), y1).when(x1.isNull() | (x0 == x1), y0).otherwise(

@@ -147,6 +147,25 @@ def test_isotonic_over_ranges_equals_plain_pooling(spark, shape):
     assert got["nan"] is None and got["None"] is None
 
 
+def test_isotonic_map_is_linear_work(spark, monkeypatch):
+    """No frame reaches from a row to the end of its range: Spark would read
+    the rest of the range for every row.  Values between points, beyond the
+    ends and in ranges without points."""
+    plans, real = [], isotonic.cut_lineage
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().toString().lower())
+        return real(df)
+
+    monkeypatch.setattr(isotonic, "cut_lineage", noted)
+    points = spark.createDataFrame([(10.0 * i, float(i * i)) for i in range(1, 20)], "x double, y double")
+    at = spark.range(5000).select((F.col("id") / 20).alias("p"))
+    got = isotonic.apply_isotonic(isotonic.IsotonicFit(points), at, "p", "c").toPandas()
+    x = np.arange(1, 20)
+    assert np.allclose(got.c, np.interp(got.p, 10.0 * x, x ** 2.0)) and len(got) == 5000
+    assert any("unboundedpreceding" in p for p in plans) and not any("unboundedfollowing" in p for p in plans)
+
+
 def test_isotonic_of_nothing(spark):
     none = spark.createDataFrame([(1.0, None, 1.0), (None, 2.0, 1.0), (3.0, 1.0, 0.0)], "p double, y double, w double")
     m = isotonic.fit_isotonic(none, "p", "y", "w")

@@ -61,6 +61,26 @@ def test_gamma_glm_runs_with_weights(spark, train, enc):
     assert np.isfinite(p.sev).all() and (p.sev > 0).all()
 
 
+def test_gamma_glm_reads_its_rows_once(spark):
+    """The iterations do not work out the claim policies again."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def noted(x):
+        seen.add(1)
+        return x
+
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"g": rng.choice(list("abc"), 300), "avg_claim": rng.gamma(2, 400, 300), "sev_count": 1})
+    df = spark.createDataFrame(pdf)
+    e = features.fit_encoding(df, ["g"], [])
+    df = df.withColumn("avg_claim", F.udf(noted, "double").asNondeterministic()("avg_claim"))
+    m = glm.fit_gamma_severity(features.design_frame(df, e))
+    assert m.summary.numIterations > 2 and seen.value == 300
+    got = {r.g: r.prediction for r in glm.predict_glm(m, features.design_frame(spark.createDataFrame([("a",), ("b",), ("c",)], "g string"), e)).collect()}
+    for g, x in pdf.groupby("g"):
+        assert got[g] == pytest.approx(x.avg_claim.mean(), rel=1e-6)
+
+
 @pytest.fixture(scope="module")
 def gbm(train, enc):
     return boosting.fit_boosted(train, enc, "ClaimNb", "Exposure", None, "poisson", rounds=6,
